@@ -14,12 +14,12 @@ from tillweave.catalog.features import (
     sql_text,
 )
 from tillweave.catalog.registry import query
-from tillweave.catalog.storage import scratch_root
 from tillweave.functions.maths import binomial_pmf
 from tillweave.operators.panel import flag_out_of_stock, trim_before_first_sale
 from tillweave.operators.relational import quoted, unnest_struct
 from tillweave.plans import calendar_features as calendars
 from tillweave.plans import design, events, interim, panels, raw, runner
+from tillweave.session import scratch_folder
 from tillweave.sources import sample_tables as tables
 from tillweave.sources.sample_tables import EVENT_NAMES
 
@@ -218,9 +218,7 @@ def hierarchy_panel(spark, data_dir):
     return panels.hierarchy_panel(flagged_sales(spark, data_dir))
 
 
-@query(
-    "oos_report",
-    """SELECT department, category_dep, state_store,
+OOS_REPORT_SQL = """SELECT department, category_dep, state_store,
         round(CAST(sum("OOS") AS DOUBLE) / nullif(sum(zero_sales_ind), 0) * 100, 6) AS pct_oos_of_zero_sale,
         round(CAST(sum("OOS") AS DOUBLE) / count(*) * 100, 6) AS pct_oos_of_total_sales,
         round(CAST(sum(zero_sales_ind) AS DOUBLE) / count(*) * 100, 6) AS pct_zero_of_total_sales,
@@ -231,10 +229,16 @@ def hierarchy_panel(spark, data_dir):
         median(sales) FILTER (WHERE "OOS" = 0) AS median_excl_oos, round(log10(sum(sales)), 6) AS "log10Sum",
         round(var_samp(sales), 6) AS var, round(var_samp(sales) FILTER (WHERE "OOS" = 0), 6) AS var_excl_oos,
         round(stddev_samp(sales), 6) AS std, round(stddev_samp(sales) FILTER (WHERE "OOS" = 0), 6) AS std_excl_oos
-       FROM levels GROUP BY department, category_dep, state_store""",
-    LEVELS,
-)
+       FROM levels GROUP BY department, category_dep, state_store"""
+
+
+@query("oos_report", OOS_REPORT_SQL, LEVELS)
 def oos_report(spark, data_dir):
+    return panels.oos_report(flagged_sales(spark, data_dir), digits=6)
+
+
+@query("wide_to_oos_report", OOS_REPORT_SQL, LEVELS)
+def wide_to_oos_report(spark, data_dir):
     """The whole flow: wide file, long panel, trim, flags, report."""
     long = raw.sales_raw(tables.sales_wide(spark, data_dir), tables.calendar(spark, data_dir))
     return panels.oos_report(interim.sales_interim(long, SAMPLE_THRESHOLD), digits=6)
@@ -309,6 +313,6 @@ def build_interim(spark, data_dir):
         prices=tables.sell_prices(spark, data_dir),
         event_names=EVENT_NAMES,
     )
-    root = scratch_root(spark)
+    root = scratch_folder(spark, "zones")
     written = runner.build_all(spark, root, inputs, SAMPLE_THRESHOLD)
     return runner.row_counts(spark, root, written)

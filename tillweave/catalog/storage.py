@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tillweave.catalog.registry import query
+from tillweave.session import scratch_folder
 from tillweave.sources import zones
 from tillweave.sources.sample_tables import sales_long, table
 
 
-def scratch_root(spark) -> str:
-    """Folder for zones written by queries: the shared checkpoint folder, or a
-    temporary one in a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/zones-{zones.new_stamp()}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="tillweave-zones-")
-
-
 @query("scan_parquet", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def scan_parquet(spark, data_dir):
     return zones.scan_parquet(spark, f"{data_dir}/orders.parquet").select(
@@ -45,7 +33,7 @@ def latest_snapshot(spark, data_dir):
 @query("write_zone", "SELECT id, date, sales FROM sales_long")
 def write_zone(spark, data_dir):
     """Write the panel twice as snapshots of one zone data set, read the newest."""
-    root = scratch_root(spark)
+    root = scratch_folder(spark, "zones")
     panel = sales_long(spark, data_dir).withColumn("sales", F.col("sales").cast("int"))
     zones.write_zone(panel.limit(0), root, "2.raw", "sales_raw", stamp="20200101_000000_000000")
     zones.write_zone(panel, root, "2.raw", "sales_raw", sort_by=["id", "date"])

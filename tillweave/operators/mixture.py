@@ -1,9 +1,11 @@
 """One-dimensional Gaussian mixtures, fitted by Spark aggregates.
 
-Every round of Lloyd or EM is one aggregation over the distinct values, for
-all groups at once: partial sums on the map side, one short row per group
-after the shuffle. Components are ordered by mean, so their numbers are
-stable.
+A fit reads the data once, into counts per distinct value. Groups with few
+distinct values (a weekday, a day number, a position) are then solved whole,
+each in one task. Larger groups are never gathered: every round of Lloyd or EM
+is one aggregation over the counts, with partial sums on the map side and one
+short row per group after the shuffle. Both ways do the same steps and agree.
+Components are ordered by mean, so their numbers are stable.
 """
 
 from __future__ import annotations
@@ -12,8 +14,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillweave.operators.relational import quoted
 from tillweave.session import ensure_checkpoint_dir
@@ -23,6 +28,8 @@ TOLERANCE = 1e-3
 MAX_ROUNDS = 100
 VARIANCE_FLOOR = 1e-6
 LLOYD_ROUNDS = 20
+# Groups with more distinct values than this are fitted by Spark aggregates.
+SMALL_GROUP_VALUES = 20_000
 # Parameter tables of more groups than this are not broadcast.
 BROADCAST_GROUPS = 20_000
 
@@ -147,46 +154,123 @@ def _histogram(df: DataFrame, value_col: str, keys: list[str]) -> DataFrame:
     )
 
 
+def _quantile_starts(x: np.ndarray, k: int) -> np.ndarray:
+    ranks = np.ceil(np.asarray(_start_means(k)) * len(x)).astype(int)
+    return x[np.clip(ranks - 1, 0, len(x) - 1)]
+
+
+def _solve_counts(
+    x: np.ndarray, n: np.ndarray, k: int, tolerance: float, max_rounds: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """The rounds of one group on its sorted distinct values x with counts n."""
+    total, spread = n.sum(), x.var()
+
+    def moments(r: np.ndarray, means: np.ndarray):
+        gap = x[:, None] - means
+        size = (n[:, None] * r).sum(axis=0)
+        used = size > 1e-12
+        safe = np.where(used, size, 1.0)
+        shift = (n[:, None] * r * gap).sum(axis=0) / safe
+        variance = np.maximum((n[:, None] * r * gap * gap).sum(axis=0) / safe - shift * shift, 0.0)
+        return (
+            np.maximum(size / total, 1e-300),
+            np.where(used, means + shift, means),
+            np.where(used, variance, spread) + VARIANCE_FLOOR,
+        )
+
+    means = _quantile_starts(x, k)
+    for _ in range(LLOYD_ROUNDS):
+        nearest = np.abs(x[:, None] - means).argmin(axis=1)
+        weights, moved, variances = moments(np.eye(k)[nearest], means)
+        gap, means = np.abs(moved - means).max(), moved
+        if gap < 1e-9:
+            break
+    last, rounds = None, 0
+    while rounds < max_rounds:
+        logs = np.log(weights) - 0.5 * np.log(2 * np.pi * variances)
+        logs = logs - (x[:, None] - means) ** 2 / (2.0 * variances)
+        top = logs.max(axis=1, keepdims=True)
+        lse = top + np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
+        weights, means, variances = moments(np.exp(logs - lse), means)
+        mean_ll = float((n * lse[:, 0]).sum() / total)
+        rounds += 1
+        if last is not None and abs(mean_ll - last) < tolerance:
+            last = mean_ll
+            break
+        last = mean_ll
+    order = np.argsort(means, kind="stable")
+    return weights[order], means[order], variances[order], last, rounds
+
+
+def _solve_small_groups(
+    histogram: DataFrame, keys: list[str], k: int, tolerance: float, max_rounds: int
+) -> DataFrame:
+    """One row (keys, weights, means, variances, ll, rounds) per group."""
+
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_x")
+        w, m, v, ll, rounds = _solve_counts(
+            pdf["_x"].to_numpy(), pdf["_n"].to_numpy(), k, tolerance, max_rounds
+        )
+        row = {**dict(zip(keys, key)), "weights": [w], "means": [m], "variances": [v], "ll": ll, "rounds": rounds}
+        return pd.DataFrame(row)
+
+    fields = [histogram.schema[c] for c in keys]
+    fields += [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("weights", "means", "variances")]
+    fields += [T.StructField("ll", T.DoubleType()), T.StructField("rounds", T.IntegerType())]
+    return histogram.groupBy(*keys).applyInPandas(solve, T.StructType(fields))
+
+
 def fit_mixture(
     df: DataFrame,
     value_col: str,
     components: int = 3,
     tolerance: float = TOLERANCE,
     max_rounds: int = MAX_ROUNDS,
+    small_group: int = SMALL_GROUP_VALUES,
 ) -> Mixture:
     """Fit one mixture to a column. Only its 3k numbers reach the driver."""
     k = components
     histogram = _histogram(df, value_col, []).persist()
     try:
-        means = histogram.agg(F.percentile_approx("_x", _start_means(k))).first()[0]
-        if means is None:
+        distinct = histogram.count()
+        if distinct == 0:
             raise ValueError(f"no values in {value_col!r}")
-        row, done, rounds = None, False, 0
-        for _ in range(LLOYD_ROUNDS):
-            row = _one_round(histogram, [], k, True, None, [F.lit(m) for m in means], None).first()
-            moved = max(abs(a - b) for a, b in zip(means, row["means"]))
-            means = row["means"]
-            if moved < 1e-9:
-                break
-        last = None
-        while not done and rounds < max_rounds:
-            literal = [[F.lit(float(v)) for v in row[c]] for c in ("weights", "means", "variances")]
-            row = _one_round(histogram, [], k, False, *literal).first()
-            rounds += 1
-            done = last is not None and abs(row["ll"] - last) < tolerance
-            last = row["ll"]
-        order = sorted(range(k), key=lambda j: row["means"][j])
-        return Mixture(
-            [row["weights"][j] for j in order],
-            [row["means"][j] for j in order],
-            [row["variances"][j] for j in order],
-            last,
-            rounds,
-        )
+        if distinct <= small_group:
+            whole = histogram.withColumn("_all", F.lit(0))
+            row = _solve_small_groups(whole, ["_all"], k, tolerance, max_rounds).first()
+            return Mixture(row["weights"], row["means"], row["variances"], row["ll"], row["rounds"])
+        return _fit_by_rounds(histogram, k, tolerance, max_rounds)
     finally:
         histogram.unpersist()
 
 
+def _fit_by_rounds(histogram: DataFrame, k: int, tolerance: float, max_rounds: int) -> Mixture:
+    means = histogram.agg(F.percentile_approx("_x", _start_means(k))).first()[0]
+    row = None
+    for _ in range(LLOYD_ROUNDS):
+        row = _one_round(histogram, [], k, True, None, [F.lit(m) for m in means], None).first()
+        moved = max(abs(a - b) for a, b in zip(means, row["means"]))
+        means = row["means"]
+        if moved < 1e-9:
+            break
+    last, rounds, done = None, 0, False
+    while not done and rounds < max_rounds:
+        literal = [[F.lit(float(v)) for v in row[c]] for c in ("weights", "means", "variances")]
+        row = _one_round(histogram, [], k, False, *literal).first()
+        rounds += 1
+        done = last is not None and abs(row["ll"] - last) < tolerance
+        last = row["ll"]
+    order = sorted(range(k), key=lambda j: row["means"][j])
+    return Mixture(
+        [row["weights"][j] for j in order],
+        [row["means"][j] for j in order],
+        [row["variances"][j] for j in order],
+        last,
+        rounds,
+    )
+
+
 def fit_mixtures(
     df: DataFrame,
     value_col: str,
@@ -194,35 +278,47 @@ def fit_mixtures(
     group_cols: Sequence[str],
     tolerance: float = TOLERANCE,
     max_rounds: int = MAX_ROUNDS,
+    small_group: int = SMALL_GROUP_VALUES,
 ) -> DataFrame:
     """Fit one mixture per group, all groups in the same jobs.
 
-    Returns (groups, weights, means, variances, ll). The parameter table is
-    checkpointed every round, which keeps the plan flat and survives lost
-    executors. A group that has converged keeps its parameters.
+    Returns (groups, weights, means, variances, ll), cut from the lineage of
+    the data by a checkpoint.
     """
-    spark, k, keys = df.sparkSession, components, list(group_cols)
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
+    k, keys = components, list(group_cols)
     histogram = _histogram(df, value_col, keys).persist()
     try:
-        params = (
-            histogram.groupBy(*keys)
-            .agg(F.percentile_approx("_x", _start_means(k)).alias("means"))
-            .select(*keys, *_constant_parts(k), "means", F.lit(None).cast("double").alias("ll"), F.lit(False).alias("done"))
-            .checkpoint()
-        )
-        small = params.count() <= BROADCAST_GROUPS
-        for hard, limit in ((True, LLOYD_ROUNDS), (False, max_rounds)):
-            params = params.withColumn("done", F.lit(False)).withColumn("ll", F.lit(None).cast("double"))
-            for _ in range(limit):
-                params = _advance(histogram, params, keys, k, hard, tolerance, small).checkpoint()
-                if params.agg(F.bool_and("done")).first()[0]:
-                    break
-        return _ordered(params, keys)
+        largest = histogram.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if largest <= small_group:
+            solved = _solve_small_groups(histogram, keys, k, tolerance, max_rounds)
+            return solved.drop("rounds").checkpoint()
+        return _fit_groups_by_rounds(histogram, keys, k, tolerance, max_rounds)
     finally:
         histogram.unpersist()
 
 
+def _fit_groups_by_rounds(
+    histogram: DataFrame, keys: list[str], k: int, tolerance: float, max_rounds: int
+) -> DataFrame:
+    """The parameter table is checkpointed every round, which keeps the plan
+    flat and survives lost executors. A converged group keeps its parameters."""
+    params = (
+        histogram.groupBy(*keys)
+        .agg(F.percentile_approx("_x", _start_means(k)).alias("means"))
+        .select(*keys, *_constant_parts(k), "means", F.lit(None).cast("double").alias("ll"), F.lit(False).alias("done"))
+        .checkpoint()
+    )
+    small = params.count() <= BROADCAST_GROUPS
+    for hard, limit in ((True, LLOYD_ROUNDS), (False, max_rounds)):
+        params = params.withColumn("done", F.lit(False)).withColumn("ll", F.lit(None).cast("double"))
+        for _ in range(limit):
+            params = _advance(histogram, params, keys, k, hard, tolerance, small).checkpoint()
+            if params.agg(F.bool_and("done")).first()[0]:
+                break
+    return _ordered(params, keys)
+
+
 def _constant_parts(k: int) -> list[Column]:
     return [
         F.array(*[F.lit(1.0 / k)] * k).alias("weights"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,3 +47,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="tillweave-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for tables that one job writes and reads back.
+
+    It lies in the shared folder that ``spark.checkpoint.dir`` names; only a
+    local session gets a temporary one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix=f"tillweave-{purpose}-")

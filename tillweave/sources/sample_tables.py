@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillweave.operators.panel import densify_daily
+from tillweave.schemas import PRODLOC_COLUMNS, wide_sales_schema
+from tillweave.session import scratch_folder
 
 LAUNCH_STEP_DAYS = 30
 
@@ -69,7 +71,7 @@ def prodloc(spark: SparkSession, data_dir: str) -> DataFrame:
     """One row per product-location."""
     return (
         sales_lines(spark, data_dir)
-        .select("id", "item_id", "dept_id", "cat_id", "store_id", "state_id")
+        .select(*PRODLOC_COLUMNS)
         .distinct()
     )
 
@@ -95,8 +97,10 @@ def sales_long(spark: SparkSession, data_dir: str) -> DataFrame:
 def sales_wide(spark: SparkSession, data_dir: str) -> DataFrame:
     """Wide file: descriptive columns and one column per day, d_1 .. d_N.
 
-    Column names are part of a plan, so the day count is read first (one
-    number). A row holds one value per day of the range, whatever the volume.
+    Written as a file and read back, as the external input is a file: the
+    thousands of columns then stay out of the plans that build it. The day
+    count is read first (one number), because column names are part of a plan.
+    A row holds one value per day of the range, whatever the volume.
     """
     first_day, last_day = date_bounds(spark, data_dir)
     days = spark.range(1).select((F.datediff(last_day, first_day) + 1).alias("n")).first()["n"]
@@ -106,14 +110,14 @@ def sales_wide(spark: SparkSession, data_dir: str) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("date", "sales"))).alias("days"))
         .select("id", F.col("days.sales").alias("units"))
     )
-    return (
+    path = scratch_folder(spark, "wide") + "/sales_wide"
+    (
         prodloc(spark, data_dir)
         .join(series, "id")
-        .selectExpr(
-            "id", "item_id", "dept_id", "cat_id", "store_id", "state_id",
-            *[f"units[{i}] AS d_{i + 1}" for i in range(days)],
-        )
+        .selectExpr(*PRODLOC_COLUMNS, *[f"units[{i}] AS d_{i + 1}" for i in range(days)])
+        .write.parquet(path)
     )
+    return spark.read.schema(wide_sales_schema(days)).parquet(path)
 
 
 def sell_prices(spark: SparkSession, data_dir: str) -> DataFrame:
