@@ -1,0 +1,295 @@
+"""Splits, weights, regressions, back-test and outlier reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillweave.catalog.pipelines import flagged_sales, regressors
+from tillweave.catalog.registry import query
+from tillweave.operators import regression
+from tillweave.operators.relational import unnest_struct
+from tillweave.operators.windows import day_trend, linear_ramp, rolling_std_days
+from tillweave.plans import backtest, design, events
+from tillweave.plans.calendar_features import calendar_fourier, weekday_flags
+from tillweave.sources import sample_tables as tables
+from tillweave.sources.sample_tables import EVENT_NAMES
+
+TRAIN_DAYS, TEST_DAYS = backtest.TRAIN_DAYS, backtest.TEST_DAYS
+
+
+def sample_splits(spark, data_dir) -> backtest.Splits:
+    """Three years of training before the first test date, to the last date."""
+    first_day, last_day = tables.date_bounds(spark, data_dir)
+    return backtest.Splits(F.date_add(first_day, TRAIN_DAYS), last_day)
+
+
+def daily_store_sales(spark, data_dir):
+    """(date, store_id, state_id, sales, trend) with a day number as trend."""
+    first_day, _ = tables.date_bounds(spark, data_dir)
+    return (
+        tables.sales_long(spark, data_dir)
+        .join(tables.prodloc(spark, data_dir).select("id", "store_id", "state_id"), "id")
+        .groupBy("date", "store_id", "state_id")
+        .agg(F.sum("sales").alias("sales"))
+        .withColumn("trend", F.datediff("date", first_day))
+    )
+
+
+def store_panel(spark, data_dir):
+    return design.store_panel(
+        flagged_sales(spark, data_dir), tables.prodloc(spark, data_dir), regressors(spark, data_dir)
+    )
+
+
+SPLITS_SQL = f"""SELECT CAST(i AS INTEGER) AS set_index, CAST(lo + {TRAIN_DAYS} + {TEST_DAYS} * i AS DATE) AS set_first_date
+FROM bounds, (SELECT CAST(unnest(generate_series(0, 2000)) AS INTEGER) AS i) WHERE lo + {TRAIN_DAYS} + {TEST_DAYS} * (i + 1) <= hi"""
+DAILY_SQL = """SELECT s.date, p.store_id, p.state_id, CAST(sum(s.sales) AS BIGINT) AS sales, CAST(s.date - lo AS INTEGER) AS trend
+FROM sales_long s JOIN prodloc p ON s.id = p.id, bounds GROUP BY ALL"""
+CTES = {"split_rows": SPLITS_SQL, "store_days": DAILY_SQL}
+
+
+@query(
+    "rolling_splits",
+    f"""SELECT d.date, d.sales, s.set_index, s.set_first_date,
+               CASE WHEN d.date < s.set_first_date THEN 'train' ELSE 'pred' END AS set_type
+        FROM (SELECT date, CAST(sum(sales) AS BIGINT) AS sales FROM sales_long GROUP BY date) d
+        JOIN split_rows s ON d.date >= s.set_first_date - {TRAIN_DAYS} AND d.date < s.set_first_date + {TEST_DAYS}""",
+    CTES,
+)
+def rolling_splits(spark, data_dir):
+    daily = tables.sales_long(spark, data_dir).groupBy("date").agg(F.sum("sales").alias("sales"))
+    return backtest.rolling_splits(daily, sample_splits(spark, data_dir))
+
+
+@query(
+    "sample_weights",
+    f"""SELECT set_index, date, round(CASE WHEN holiday THEN 1 ELSE ramp END, 9) AS sample_weights,
+               round(CASE WHEN holiday THEN 1 ELSE ramp * ramp END, 9) AS sample_weights_x2,
+               round(CASE WHEN holiday THEN 1 ELSE 1 / (1 + exp(-(trend - mid) * 0.01::DOUBLE)) END, 9) AS sample_weights_shifted_logistic
+        FROM (SELECT s.set_index, c.date, c.date - lo AS trend, c.event_name_1 IS NOT NULL OR c.event_name_2 IS NOT NULL AS holiday,
+                     0.2::DOUBLE + CAST(row_number() OVER (PARTITION BY s.set_index ORDER BY c.date) - 1 AS DOUBLE)
+                       / (count(*) OVER (PARTITION BY s.set_index) - 1) * 0.8::DOUBLE AS ramp
+              FROM calendar c JOIN split_rows s ON c.date >= s.set_first_date - {TRAIN_DAYS} AND c.date < s.set_first_date, bounds)
+        JOIN (SELECT s.set_index, median(c.date - lo) AS mid FROM calendar c
+              JOIN split_rows s ON c.date BETWEEN s.set_first_date - {TRAIN_DAYS} AND s.set_first_date + {TEST_DAYS}, bounds
+              GROUP BY s.set_index) USING (set_index)""",
+    CTES,
+)
+def sample_weights(spark, data_dir):
+    calendar = tables.calendar(spark, data_dir)
+    splits = sample_splits(spark, data_dir)
+    dates = day_trend(calendar.select("date")).join(
+        events.event_flags(calendar, EVENT_NAMES).select("date", "holiday_bool.*"), "date"
+    )
+    midpoints = backtest.trend_midpoints(backtest.split_windows(dates, splits))
+    made = backtest.sample_weights(dates, midpoints, splits, EVENT_NAMES)
+    return made.select("set_index", "date", *[F.round(c, 9).alias(c) for c in made.columns if c.startswith("sample")])
+
+
+@query("trend_regimes_per_split")
+def trend_regimes_per_split(spark, data_dir):
+    dates = day_trend(tables.calendar(spark, data_dir).select("date"))
+    _, memberships = backtest.trend_regimes_per_split(dates, sample_splits(spark, data_dir))
+    return unnest_struct(memberships, "trend_guassian_splines")
+
+
+def feature_panel(spark, data_dir):
+    """Store sales with weekday flags, waves and events as plain columns."""
+    calendar = tables.calendar(spark, data_dir)
+    waves = calendar_fourier(calendar)
+    features = (
+        weekday_flags(waves)
+        .select("date", "weekday_bool.*", "year_month_trigonometric.*")
+        .join(events.event_flags(calendar, EVENT_NAMES).select("date", "holiday_bool.*"), "date")
+    )
+    names = [c for c in features.columns if c != "date"]
+    return daily_store_sales(spark, data_dir).join(features, "date"), names
+
+
+@query("lasso_by_group")
+def lasso_by_group(spark, data_dir):
+    """Predictions and residuals of one lasso per state and store."""
+    panel, names = feature_panel(spark, data_dir)
+    keys = ["state_id", "store_id"]
+    fitted = regression.fit_by_group(panel, keys, names, "sales", alpha=backtest.LASSO_ALPHA)
+    return regression.predict_by_group(panel, fitted, keys, names, "sales").select(
+        "date", *keys, "sales", "prediction", "residual"
+    )
+
+
+def ramp_weighted(panel):
+    return panel.withColumn("sample_weights", linear_ramp(0.2, 1.0, ["state_id", "store_id"], "date"))
+
+
+@query("weighted_lasso_by_group")
+def weighted_lasso_by_group(spark, data_dir):
+    """Coefficients of one weighted lasso per state and store."""
+    panel, names = feature_panel(spark, data_dir)
+    keys = ["state_id", "store_id"]
+    fitted = regression.fit_by_group(
+        ramp_weighted(panel), keys, names, "sales", alpha=backtest.LASSO_ALPHA, weight="sample_weights"
+    )
+    return regression.coefficients_long(fitted, keys, names)
+
+
+@query("weighted_ols_by_group")
+def weighted_ols_by_group(spark, data_dir):
+    """Residuals of weighted least squares per state and store."""
+    panel, names = feature_panel(spark, data_dir)
+    keys = ["state_id", "store_id"]
+    fitted = regression.fit_by_group(ramp_weighted(panel), keys, names, "sales", weight="sample_weights")
+    return regression.predict_by_group(panel, fitted, keys, names, "sales").select("date", *keys, "residual")
+
+
+@query(
+    "weighted_ols_one_regressor",
+    """SELECT state_id, store_id, round(slope, 6) AS slope, round((swy - slope * swx) / sw, 6) AS intercept
+       FROM (SELECT *, (sw * swxy - swx * swy) / (sw * swxx - swx * swx) AS slope
+             FROM (SELECT state_id, store_id, sum(w) AS sw, sum(w * trend) AS swx, sum(w * sales) AS swy, sum(w * trend * sales) AS swxy,
+                          sum(w * trend * trend) AS swxx
+                   FROM (SELECT *, 0.2::DOUBLE + CAST(row_number() OVER (PARTITION BY store_id ORDER BY date) - 1 AS DOUBLE)
+                                   / (count(*) OVER (PARTITION BY store_id) - 1) * 0.8::DOUBLE AS w FROM store_days)
+                   GROUP BY state_id, store_id))""",
+    CTES,
+)
+def weighted_ols_one_regressor(spark, data_dir):
+    keys = ["state_id", "store_id"]
+    panel = ramp_weighted(daily_store_sales(spark, data_dir))
+    fitted = regression.fit_by_group(panel, keys, ["trend"], "sales", weight="sample_weights")
+    return fitted.select(
+        *keys, F.round(F.col("coefficients")[0], 6).alias("slope"), F.round("intercept", 6).alias("intercept")
+    )
+
+
+def simple_coefficients(daily):
+    """Straight line per store by aggregates, in the shape of fitted models.
+    The second feature has coefficient 0."""
+    return daily.groupBy("store_id").agg(
+        F.array(F.regr_slope("sales", "trend"), F.lit(0.0)).alias("coefficients"),
+        F.regr_intercept("sales", "trend").alias("intercept"),
+    )
+
+
+LINES = {
+    **CTES,
+    "lines": "SELECT store_id, regr_slope(sales, trend) AS slope, regr_intercept(sales, trend) AS intercept FROM store_days GROUP BY store_id",
+    "residual_rows": """SELECT d.date, d.store_id, d.state_id, d.sales, d.trend, round(intercept + slope * trend, 6) AS prediction,
+        round(sales - (intercept + slope * trend), 6) AS residual FROM store_days d JOIN lines l ON d.store_id = l.store_id""",
+}
+
+
+def line_residuals(spark, data_dir):
+    daily = daily_store_sales(spark, data_dir)
+    shown = regression.predict_by_group(
+        daily.withColumn("zero", F.lit(0.0)), simple_coefficients(daily), ["store_id"], ["trend", "zero"], "sales"
+    )
+    return shown.withColumns({c: F.round(c, 6) for c in ("prediction", "residual")}).drop("zero")
+
+
+@query("predict_from_coefficients", "SELECT * FROM residual_rows", LINES)
+def predict_from_coefficients(spark, data_dir):
+    return line_residuals(spark, data_dir)
+
+
+@query("backtest_panel")
+def backtest_panel(spark, data_dir):
+    """All splits, both models, train and test rows."""
+    rows, _ = backtest.backtest_panel(store_panel(spark, data_dir), sample_splits(spark, data_dir))
+    return rows.select(*backtest.BACKTEST_COLUMNS)
+
+
+@query("backtest_metrics")
+def backtest_metrics(spark, data_dir):
+    """Errors of both models on train and test rows."""
+    from tillweave.functions import metrics
+
+    rows, _ = backtest.backtest_panel(store_panel(spark, data_dir), sample_splits(spark, data_dir))
+    measures = []
+    for model in ("lasso", "weigthed_lasso"):
+        y, f = F.col("sales"), F.col(f"{model}_prediction")
+        for name in ("wape", "rmse", "bias"):
+            measures.append(getattr(metrics, name)(y, f).alias(f"{model}_{name}"))
+    return rows.groupBy("set_type").agg(*measures)
+
+
+@query(
+    "coefficients_long",
+    "SELECT store_id, 'trend' AS variable, round(slope, 6) AS value FROM lines UNION ALL SELECT store_id, 'zero', 0.0 FROM lines",
+    LINES,
+)
+def coefficients_long(spark, data_dir):
+    fitted = simple_coefficients(daily_store_sales(spark, data_dir))
+    return regression.coefficients_long(fitted, ["store_id"], ["trend", "zero"]).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "unused_features",
+    "SELECT DISTINCT 'zero' AS variable FROM lines",
+    LINES,
+)
+def unused_features(spark, data_dir):
+    fitted = simple_coefficients(daily_store_sales(spark, data_dir))
+    return regression.unused_features(regression.coefficients_long(fitted, ["store_id"], ["trend", "zero"]))
+
+
+OUTLIERS = {
+    **LINES,
+    "tail_rows": """SELECT r.*, CAST(month(date) AS INTEGER) AS month, CAST(day(date) AS INTEGER) AS day_month FROM residual_rows r,
+        (SELECT quantile_disc(residual, 0.01) AS q_lo, quantile_disc(residual, 0.99) AS q_hi FROM residual_rows)
+        WHERE residual <= q_lo OR residual >= q_hi""",
+}
+
+
+@query(
+    "outlier_days",
+    """SELECT month, day_month, CAST(count(*) AS BIGINT) AS residual_count, round(ln(sum(abs(residual))), 6) AS residual_sum,
+              round(ln(avg(abs(residual))), 6) AS residual_mean, string_agg(DISTINCT CAST(date AS VARCHAR), ',' ORDER BY CAST(date AS VARCHAR)) AS dates,
+              string_agg(DISTINCT store_id, ',' ORDER BY store_id) AS stores FROM tail_rows GROUP BY month, day_month""",
+    OUTLIERS,
+)
+def outlier_days(spark, data_dir):
+    made = backtest.outlier_days(line_residuals(spark, data_dir))
+    return made.withColumns(
+        {
+            "residual_sum": F.round("residual_sum", 6),
+            "residual_mean": F.round("residual_mean", 6),
+            "dates": F.array_join(F.col("dates").cast("array<string>"), ","),
+            "stores": F.array_join("stores", ","),
+        }
+    )
+
+
+@query("outlier_clusters")
+def outlier_clusters(spark, data_dir):
+    made = backtest.outlier_clusters(backtest.outlier_days(line_residuals(spark, data_dir)))
+    return unnest_struct(
+        made.drop("dates", "stores"), "residual_sum_regimes", "residual_mean_regimes", "residual_count_regimes"
+    )
+
+
+@query(
+    "outlier_events",
+    """SELECT DISTINCT e.event_name AS variable FROM event_days e JOIN tail_rows t ON month(e.date) = t.month AND day(e.date) = t.day_month""",
+    OUTLIERS,
+)
+def outlier_events(spark, data_dir):
+    outliers = backtest.outlier_days(line_residuals(spark, data_dir))
+    return backtest.outlier_events(outliers, events.event_flags(tables.calendar(spark, data_dir), EVENT_NAMES))
+
+
+@query(
+    "forecast_long",
+    """SELECT store_id, date, variable, value FROM (
+         SELECT store_id, date, CAST(sales AS DOUBLE) AS sales_value, prediction, residual,
+                round(stddev_samp(sales) OVER (PARTITION BY store_id ORDER BY date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW), 6) AS rolling_row_std
+         FROM residual_rows) UNPIVOT INCLUDE NULLS (value FOR variable IN (sales_value, prediction, residual, rolling_row_std))""",
+    LINES,
+)
+def forecast_long(spark, data_dir):
+    rolling = F.round(rolling_std_days("sales", "store_id", "date", 30), 6)
+    rows = line_residuals(spark, data_dir).withColumns(
+        {"rolling_row_std": rolling, "sales_value": F.col("sales").cast("double")}
+    )
+    return backtest.forecast_long(
+        rows, ["store_id", "date"], ["sales_value", "prediction", "residual", "rolling_row_std"]
+    )

@@ -1,0 +1,90 @@
+"""One row of features per series, for every product-location."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillweave.catalog.registry import query
+from tillweave.operators import series
+from tillweave.sources import sample_tables as tables
+
+
+def rounded(df, digits=6):
+    return df.select(
+        *[F.round(f.name, digits).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in df.schema]
+    )
+
+
+@query(
+    "detrend_linear",
+    """SELECT id, date, round(sales - (regr_intercept(sales, t) OVER w + regr_slope(sales, t) OVER w * t), 6) AS sales
+       FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) - 1 AS t FROM sales_long) WINDOW w AS (PARTITION BY id)""",
+)
+def detrend_linear(spark, data_dir):
+    return rounded(series.detrend_linear(tables.sales_long(spark, data_dir)))
+
+
+@query("deseasonalize_fourier")
+def deseasonalize_fourier(spark, data_dir):
+    yearly = series.deseasonalize_fourier(tables.sales_long(spark, data_dir), 365, 4)
+    return series.deseasonalize_fourier(yearly, 7, 3)
+
+
+@query("trend_season_strength")
+def trend_season_strength(spark, data_dir):
+    return series.trend_season_strength(tables.sales_long(spark, data_dir))
+
+
+@query(
+    "binned_entropy",
+    """SELECT id, round(-sum(p * ln(p)), 6) AS binned_entropy
+       FROM (SELECT id, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY id) AS p
+             FROM (SELECT id, least(floor(coalesce(CAST(sales - lo AS DOUBLE) / nullif(hi - lo, 0), 0) * 10), 9) AS bin
+                   FROM (SELECT id, sales, min(sales) OVER (PARTITION BY id) AS lo, max(sales) OVER (PARTITION BY id) AS hi FROM sales_long))
+             GROUP BY id, bin) GROUP BY id""",
+)
+def binned_entropy(spark, data_dir):
+    return rounded(series.binned_entropy(tables.sales_long(spark, data_dir), 10))
+
+
+@query(
+    "c3",
+    """SELECT id, round(avg(p), 6) AS c3 FROM (
+         SELECT id, CAST(lead(sales, 56) OVER w AS DOUBLE) * lead(sales, 28) OVER w * sales AS p FROM sales_long
+         WINDOW w AS (PARTITION BY id ORDER BY date)) GROUP BY id""",
+)
+def c3(spark, data_dir):
+    return rounded(series.c3(tables.sales_long(spark, data_dir), 28))
+
+
+@query(
+    "cid_ce",
+    """SELECT id, round(sqrt(sum(step * step)), 6) AS cid_ce FROM (
+         SELECT id, z - lag(z) OVER (PARTITION BY id ORDER BY date) AS step FROM (
+           SELECT id, date, (sales - avg(sales) OVER w) / nullif(stddev_samp(sales) OVER w, 0) AS z FROM sales_long WINDOW w AS (PARTITION BY id)))
+       GROUP BY id""",
+)
+def cid_ce(spark, data_dir):
+    return rounded(series.cid_ce(tables.sales_long(spark, data_dir)))
+
+
+def _phi(m: int) -> str:
+    return f"""SELECT id, sum(n * ln(n)) / sum(n) - ln(sum(n)) AS phi FROM (
+        SELECT id, w, CAST(count(*) AS DOUBLE) AS n FROM (SELECT id, list(sales) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING) AS w
+        FROM sales_long) WHERE len(w) = {m} GROUP BY id, w) GROUP BY id"""
+
+
+@query(
+    "approximate_entropy",
+    "SELECT id, round(abs(a.phi - b.phi), 6) AS approximate_entropy FROM phi_five a JOIN phi_six b USING (id)",
+    {"phi_five": _phi(5), "phi_six": _phi(6)},
+)
+def approximate_entropy(spark, data_dir):
+    """Sales are whole numbers and the tolerance is below 1 here, so the twin
+    counts identical windows; the distance form is tested on small series."""
+    return rounded(series.approximate_entropy(tables.sales_long(spark, data_dir), 5, 0.0001))
+
+
+@query("spectral_ar_entropy")
+def spectral_ar_entropy(spark, data_dir):
+    return series.spectral_ar_entropy(tables.sales_long(spark, data_dir))

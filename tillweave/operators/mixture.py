@@ -207,7 +207,7 @@ def _solve_small_groups(
 ) -> DataFrame:
     """One row (keys, weights, means, variances, ll, rounds) per group."""
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_x")
         w, m, v, ll, rounds = _solve_counts(
             pdf["_x"].to_numpy(), pdf["_n"].to_numpy(), k, tolerance, max_rounds
