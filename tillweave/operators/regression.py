@@ -53,7 +53,7 @@ def gram_by_group(
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for batch in batches:
-            for key, rows in batch.groupby(keys, sort=False):
+            for key, rows in batch.dropna().groupby(keys, sort=False):
                 z = np.ones((len(rows), size))
                 z[:, 1:-1] = rows[features].to_numpy(dtype=float)
                 z[:, -1] = rows[target].to_numpy(dtype=float)
@@ -68,7 +68,9 @@ def gram_by_group(
         if sums:
             yield emit(sums)
 
-    rows = df.select(*[F.col(quoted(c)) for c in needed]).dropna()
+    # Nulls go inside the tasks: a filter over all columns would make Spark
+    # derive a constraint for every combination of their aliases.
+    rows = df.select(*[F.col(quoted(c)) for c in needed])
     fields = [rows.schema[c] for c in keys]
     fields += [
         T.StructField("model", T.StringType()),
