@@ -21,7 +21,7 @@ from tillweave.operators.regression import gram_by_group, predict_by_group, solv
 from tillweave.operators.relational import quoted, struct_fields, unnest_struct
 from tillweave.operators.reshape import list_of, unpivot_columns
 from tillweave.operators.windows import linear_ramp, rolling_std_days
-from tillweave.session import ensure_checkpoint_dir
+from tillweave.session import ensure_checkpoint_dir, scratch_folder
 
 # Training and test length, penalty, mixture size, weights.
 TRAIN_DAYS = 3 * 365
@@ -180,11 +180,15 @@ def backtest_panel(
     """Fit a lasso and a weighted lasso per split, state and store, and predict
     train and test rows. Returns (rows with predictions, coefficients).
 
-    The panel (stores x days) and its rows per split are checkpointed: several
-    passes read them, and none should start from the sales facts again.
+    Several passes read the panel (stores x days) and its rows per split, and
+    none should start from the sales facts again: the panel is checkpointed and
+    the rows are written as a table, which later passes read column by column.
     """
-    ensure_checkpoint_dir(panel.sparkSession)
-    rows = backtest_rows(panel.checkpoint(), splits, components).checkpoint()
+    spark = panel.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = scratch_folder(spark, "backtest") + "/rows"
+    backtest_rows(panel.checkpoint(), splits, components).write.parquet(path)
+    rows = spark.read.parquet(path)
     common = [f for s in DAY_STRUCTS for f in struct_fields(rows, s)]
     trend, weekday = struct_fields(rows, "trend_regimes"), struct_fields(rows, "weekday_bool")
     wday = struct_fields(rows, "wday_guassian_splines")
