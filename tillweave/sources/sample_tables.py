@@ -37,8 +37,12 @@ def date_bounds(spark: SparkSession, data_dir: str) -> tuple[Column, Column]:
     return ship.agg(F.min("date")).scalar(), ship.agg(F.max("date")).scalar()
 
 
-def sales_lines(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Order lines with product-location keys, ship date, quantity and cents."""
+# Short keys of a product-location, used up to the first aggregation.
+SHORT_KEYS = ["brand_no", "state_id", "store_no"]
+
+
+def short_lines(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Order lines with short keys, ship date, quantity and cents."""
     lines = table(spark, data_dir, "lineitem").select(
         F.col("l_partkey").alias("part"),
         F.col("l_shipdate").cast("date").alias("date"),
@@ -53,13 +57,17 @@ def sales_lines(spark: SparkSession, data_dir: str) -> DataFrame:
         F.col("p_partkey").alias("part"),
         F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("brand_no"),
     )
+    return lines.join(parts, "part")
+
+
+def with_names(df: DataFrame) -> DataFrame:
+    """Add the id and its parts to rows that carry the short keys."""
     department = F.element_at(
         F.array(*[F.lit(d) for d in DEPARTMENTS]),
         F.expr(f"(brand_no - 1) div {BRANDS_PER_DEPARTMENT} + 1").cast("int"),
     )
     return (
-        lines.join(parts, "part")
-        .withColumn("dept_id", department)
+        df.withColumn("dept_id", department)
         .withColumn("cat_id", F.substring_index("dept_id", "_", 1))
         .withColumn("item_id", F.concat("dept_id", F.lit("_"), F.lpad(F.col("brand_no").cast("string"), 3, "0")))
         .withColumn("store_id", F.concat("state_id", F.lit("_"), F.col("store_no").cast("string")))
@@ -67,25 +75,26 @@ def sales_lines(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+def sales_lines(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Order lines with product-location keys, ship date, quantity and cents."""
+    return with_names(short_lines(spark, data_dir))
+
+
 def prodloc(spark: SparkSession, data_dir: str) -> DataFrame:
     """One row per product-location."""
-    return (
-        sales_lines(spark, data_dir)
-        .select(*PRODLOC_COLUMNS)
-        .distinct()
-    )
+    return with_names(short_lines(spark, data_dir).select(*SHORT_KEYS).distinct()).select(*PRODLOC_COLUMNS)
 
 
 def sales_daily(spark: SparkSession, data_dir: str) -> DataFrame:
     """Units per product-location and day with a line; 0 before launch."""
     first_day, _ = date_bounds(spark, data_dir)
     launched = F.col("date") >= F.date_add(first_day, F.col("brand_no") * LAUNCH_STEP_DAYS)
-    return (
-        sales_lines(spark, data_dir)
-        .select("id", "date", F.when(launched, F.col("quantity")).otherwise(0).alias("units"))
-        .groupBy("id", "date")
-        .agg(F.sum("units").cast("int").alias("sales"))
+    daily = (
+        short_lines(spark, data_dir)
+        .groupBy(*SHORT_KEYS, "date")
+        .agg(F.sum("quantity").cast("int").alias("units"))
     )
+    return with_names(daily).select("id", "date", F.when(launched, F.col("units")).otherwise(0).alias("sales"))
 
 
 def sales_long(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -123,12 +132,12 @@ def sales_wide(spark: SparkSession, data_dir: str) -> DataFrame:
 def sell_prices(spark: SparkSession, data_dir: str) -> DataFrame:
     """Unit price per store, item and week with a sale."""
     first_day, _ = date_bounds(spark, data_dir)
-    return (
-        sales_lines(spark, data_dir)
-        .withColumn("wm_yr_wk", F.floor(F.datediff("date", first_day) / 7).cast("int"))
-        .groupBy("store_id", "item_id", "wm_yr_wk")
+    weekly = (
+        short_lines(spark, data_dir)
+        .groupBy(*SHORT_KEYS, F.floor(F.datediff("date", first_day) / 7).cast("int").alias("wm_yr_wk"))
         .agg((F.sum("cents") / (F.lit(100.0) * F.sum("quantity"))).alias("sell_price"))
     )
+    return with_names(weekly).select("store_id", "item_id", "wm_yr_wk", "sell_price")
 
 
 # Fixed rules for the events of the calendar: name, type and the condition on
