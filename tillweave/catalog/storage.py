@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillweave.catalog.registry import query
 from tillweave.session import scratch_folder
 from tillweave.sources import zones
-from tillweave.sources.sample_tables import sales_long, table
+from tillweave.sources.sample_tables import sales_daily, sales_long, table
 
 
 @query("scan_parquet", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
@@ -32,10 +32,10 @@ def latest_snapshot(spark, data_dir):
 
 @query("write_zone", "SELECT id, date, sales FROM sales_long")
 def write_zone(spark, data_dir):
-    """Write the panel twice as snapshots of one zone data set, read the newest."""
+    """Write the sparse sales, then the panel as snapshots of one data set; read the newest."""
     root = scratch_folder(spark, "zones")
     panel = sales_long(spark, data_dir).withColumn("sales", F.col("sales").cast("int"))
-    zones.write_zone(panel.limit(0), root, "2.raw", "sales_raw", stamp="20200101_000000_000000")
+    zones.write_zone(sales_daily(spark, data_dir), root, "2.raw", "sales_raw", stamp="20200101_000000_000000")
     zones.write_zone(panel, root, "2.raw", "sales_raw", sort_by=["id", "date"])
     return zones.read_latest(spark, root, "2.raw", "sales_raw")
 
