@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import line_dedup
+from tillweave.llm import line_dedup, simhash
 from tillweave.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup of all documents, digest per document."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_simhash_near_dedup")
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash groups of all documents: three-word shingles, at most three differing bits."""
+    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
