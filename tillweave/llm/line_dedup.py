@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillweave.llm.common import BLANKS, map_batches
+from tillweave.llm.common import BLANKS, map_batches, materialize
 
 _UPPER = bytes(range(65, 91))
 _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -78,8 +78,9 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 def lines_to_drop(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
     """(id, hashes): per document the hashes of the lines it loses.
 
-    The distinct count is partial on (hash, id), so a line of every document meets no single task. The
-    join back is a plain equi-join, which adaptive execution splits where a hash is hot.
+    The distinct count is partial on (hash, id), so a line of every document meets no single task. Shared
+    hashes are written, so that the join back is of two plain shuffles, which adaptive execution can split
+    where a hash is hot.
     """
     rows = line_hashes(docs, id_col, text_col, min_chars)
     counted = rows.groupBy("hash").agg(
@@ -88,6 +89,7 @@ def lines_to_drop(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
         F.max(F.col("id").isNull().cast("int")).alias("without_id"),
     )
     shared = counted.where(F.col("ids") + F.col("without_id") >= min_docs).select("hash", "keep")
+    shared = materialize(shared, "shared-lines")
     lost = rows.join(shared, "hash").where(~F.col("id").eqNullSafe(F.col("keep")))
     return lost.groupBy("id").agg(F.collect_set("hash").alias("hashes"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import line_dedup, simhash
+from tillweave.llm import line_dedup, mixing, simhash, warc
 from tillweave.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,73 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: three-word shingles, at most three differing bits."""
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+def _mixing_sql(rounds: int = 40) -> str:
+    """Raking as unrolled common table expressions."""
+    steps = []
+    dims = mixing.DIMENSIONS
+    goals = ", ".join(
+        f"g_{d} AS (SELECT {d}, power(sum(base), {mixing.TEMPERATURE}) AS raw FROM cells WHERE base > 0 GROUP BY {d})" for d in dims
+    )
+    for k in range(rounds * len(dims)):
+        d = dims[k % len(dims)]
+        steps.append(
+            f"w{k + 1} AS MATERIALIZED (SELECT w.* REPLACE (CASE WHEN s.now > 0 THEN w.weight * w.{d}_goal / s.now ELSE 0 END AS weight) "
+            f"FROM w{k} w JOIN (SELECT {d}, sum(weight) AS now FROM w{k} GROUP BY {d}) s USING ({d}))"
+        )
+    joins = " ".join(
+        f"LEFT JOIN (SELECT {d}, raw / (SELECT sum(raw) FROM g_{d}) * (SELECT sum(base) FROM cells) AS {d}_goal FROM g_{d}) USING ({d})"
+        for d in dims
+    )
+    return f"""
+WITH rows AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+    CASE WHEN contains(text, 'License') THEN 'notice' WHEN contains(text, ' | ') THEN 'table' ELSE 'prose' END AS topic,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens
+  FROM documents
+), cells AS MATERIALIZED (
+  SELECT source, lang, topic, sum(tokens) AS base FROM rows GROUP BY ALL
+), {goals},
+w0 AS MATERIALIZED (SELECT *, CAST(base AS DOUBLE) AS weight FROM cells {joins}),
+{", ".join(steps)},
+chances AS (
+  SELECT source, lang, topic, coalesce(CASE WHEN base > 0 THEN weight / base END
+    / (SELECT max(weight / base) FROM w{len(steps)} WHERE base > 0), 1.0) AS p FROM w{len(steps)}
+)
+SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability,
+  CAST('0x' || substr(md5('7:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 < p AS kept
+FROM rows JOIN chances USING (source, lang, topic)
+"""
+
+
+@query("op2_source_mixing", _mixing_sql())
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked sampling of all documents; targets are the observed shares flattened by the temperature."""
+    plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
+    return plan.withColumn("probability", F.round("probability", 6))
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), h AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p
+), f AS (
+  SELECT hex, min(page_id) AS first_page,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST((3 - i % 4) * 5 AS INT)) & 31) + 1 AS INT), 1)), '') AS digest
+  FROM h GROUP BY hex
+)
+SELECT page_id, payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_page THEN NULL ELSE first_page END AS refers_to
+FROM h JOIN f USING (hex)
+"""
+
+
+@query("op4_arc_to_warc", WARC_SQL)
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through ARC and WARC files and back."""
+    out = warc.pages_through_archives(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
