@@ -422,7 +422,8 @@ def near_duplicate_groups(
     )
     lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"))
     groups = named.join(lowest, "label").groupBy("key").agg(F.min("component_id").alias("component_id"))
-    out = marked.join(groups, "key", "left")
+    # Written, so that the join is of two plain shuffles and a hot fingerprint can be split.
+    out = marked.join(materialize(groups, "groups"), "key", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.hex("key")).alias("fingerprint"), "component_id")
 
 
