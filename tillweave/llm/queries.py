@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import line_dedup, mixing, simhash, warc
+from tillweave.llm import langid, line_dedup, mixing, simhash, warc
 from tillweave.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,9 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through ARC and WARC files and back."""
     out = warc.pages_through_archives(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return langid.identify(table(spark, sf_dir, "documents"))
