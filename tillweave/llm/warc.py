@@ -13,7 +13,9 @@ written and read through Spark's sources, so any shared file system serves; a fi
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from tillweave.llm.common import materialize
 from tillweave.session import scratch_folder
 
-#: Records are gathered to files of about this size; a larger record has a file of its own.
-FILE_BYTES = 16 << 20
+#: Compressed records are gathered to files of about this size; a larger record has a file of its own.
+FILE_BYTES = 8 << 20
 #: Bytes of records in one Arrow batch that a reader hands on.
 BATCH_BYTES = 4 << 20
 #: Fixed texts of the two ARC versions.
@@ -145,17 +147,34 @@ def http_field(head: bytes, name: str) -> str | None:
     return None
 
 
+# Compression: one gzip member a record, as both formats have it
+
+
+def packed(record: bytes) -> bytes:
+    return gzip.compress(record, 6, mtime=0)
+
+
+def unpacked(data: bytes) -> bytes:
+    """A file's bytes, its members decompressed; plain files pass. One line feed after the last member is no part."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    end = len(data) - data.endswith(b"\n")
+    with gzip.GzipFile(fileobj=io.BytesIO(data[:end])) as members:
+        return members.read()
+
+
 # Spark jobs
 
 
 class _Files:
-    """Gather records to file bodies of about FILE_BYTES."""
+    """Gather records, each compressed, to file bodies of about FILE_BYTES."""
 
     def __init__(self) -> None:
         self.parts: list[bytes] = []
         self.size = 0
 
-    def add(self, part: bytes) -> bool:
+    def add(self, record: bytes) -> bool:
+        part = packed(record)
         self.parts.append(part)
         self.size += len(part)
         return self.size >= FILE_BYTES
@@ -230,7 +249,7 @@ def read_arc(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for r in parse_arc(content.as_py()):
+                for r in parse_arc(unpacked(content.as_py())):
                     head, payload = split_http(r["body"])
                     rows.append((r["url"], r["ip"], r["date"], r["mime"], http_field(head, PAGE_ID), head, payload, digest32(payload)))
                     size += len(r["body"])
@@ -312,7 +331,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for h, block in parse_warc(content.as_py()):
+                for h, block in parse_warc(unpacked(content.as_py())):
                     head, payload = split_http(block)
                     revisit = h.get("warc-type") == "revisit"
                     rows.append((
