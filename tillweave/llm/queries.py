@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import langid, line_dedup, mixing, simhash, warc
+from tillweave.llm import langid, line_dedup, mixing, simhash, toxicity, warc
 from tillweave.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,9 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
