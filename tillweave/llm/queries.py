@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import langid, line_dedup, mixing, simhash, toxicity, warc
+from tillweave.llm import langid, line_dedup, mixing, secrets, simhash, toxicity, warc
 from tillweave.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of all documents."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
