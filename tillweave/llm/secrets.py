@@ -4,9 +4,9 @@ Tokens are tagged as begin, inside or outside of a secret from their shape, thei
 the file, decoded by Viterbi. The field is trained here: the fixed patterns label a bounded sample of
 documents, whose secrets are also replaced by made-up ones of other alphabets.
 
-Decoding is exact on whole texts. A line without any token that could lift the score of a tag other than
-"outside" is all "outside" on its best path; the bound is taken from the weights, and only the
-other lines are decoded.
+Two constraints are part of the field: "begin" needs a token of some length with a digit in it, or a very long
+one, and "inside" needs a token that touches the one before. A line without a possible beginning is thus
+all "outside", so that only the other lines of a text need decoding.
 """
 
 from __future__ import annotations
@@ -33,8 +33,14 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 #: Documents that training sees at most, those with the smallest id hash; lines of one of them; characters of a line.
 TRAIN_DOCS = 8000
 TRAIN_LINES = 4
-TRAIN_CHARS = 300
-ITERATIONS = 120
+TRAIN_CHARS = 160
+TRAIN_TOKENS = 32
+#: Lines with and without secrets in training at most.
+TRAIN_SECRETS, TRAIN_PLAIN = 700, 1000
+ITERATIONS = 100
+#: Least characters of a token that may begin a secret: with a digit, and without.
+BEGIN_DIGIT, BEGIN_LETTERS = 6, 16
+_NEVER = -1e9
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 #: Words that often stand before a secret.
@@ -42,6 +48,7 @@ KEYWORDS = frozenset(
     "password passwd pwd pass passphrase secret token key apikey api_key auth authorization bearer credential credentials "
     "private access signature sas hmac salt".split()
 )
+_KEYWORD_LIST = sorted(KEYWORDS)
 SHAPES = (
     "edge", "lower", "capital", "upper", "upper_long", "number", "number_long", "mixed", "mixed_mid", "mixed_long",
     "hex_mid", "hex_long", "foreign", "keyword", "equals", "colon", "quote", "dash", "symbol",
@@ -108,6 +115,13 @@ def _length(token: str) -> int:
     return 0 if n < 2 else 1 if n < 6 else 2 if n < 10 else 3 if n < 16 else 4 if n < 24 else 5 if n < 48 else 6
 
 
+def may_begin(token: str) -> bool:
+    """Whether the field lets a secret begin with this token."""
+    if not token.isascii() or len(token) < BEGIN_DIGIT:
+        return False
+    return len(token) >= BEGIN_LETTERS or any(map(str.isdigit, token))
+
+
 def file_class(text: str) -> int:
     """How much a text looks like code or settings."""
     marks = text.count("=") + text.count(";") + text.count("{")
@@ -115,9 +129,9 @@ def file_class(text: str) -> int:
     return 0 if share < 1 else 1 if share < 8 else 2
 
 
-def encode(line: str, file: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Token spans of a line, and per token one feature index of each group."""
-    spans, shapes, rows = [], [], []
+def encode(line: str, file: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Token spans of a line, per token one feature index of each group, and what the constraints add per tag."""
+    spans, shapes, rows, bars = [], [], [], []
     for m in TOKEN.finditer(line):
         spans.append(m.span())
         shapes.append(shape(m[0]))
@@ -131,27 +145,26 @@ def encode(line: str, file: int) -> tuple[list[tuple[int, int]], np.ndarray]:
             shapes[i + 1] if i + 1 < len(spans) else edge, near, glued, file,
         )
         rows.append([b + v for b, v in zip(_BASES, values)])
+        bars.append((0.0 if may_begin(line[s:e]) else _NEVER, 0.0 if glued else _NEVER, 0.0))
         since = 1 if shapes[i] == key else since + 1
-    return spans, np.array(rows, np.int64).reshape(len(rows), 8)
+    return spans, np.array(rows, np.int64).reshape(len(rows), 8), np.array(bars).reshape(len(rows), 3)
 
 
 @dataclass
 class Field:
-    """Weights: features x tags, tags x tags."""
+    """Weights: features x tags, tags x tags; "inside" never follows "outside"."""
 
     emit: np.ndarray
     move: np.ndarray
 
-    def decode(self, rows: np.ndarray) -> list[int]:
-        """The best tag path; a path can't begin with "inside" or go from "outside" to it."""
-        scores = self.emit[rows].sum(1)
-        move = self.move.copy()
-        move[O, I] = -np.inf
+    def decode(self, rows: np.ndarray, bars: np.ndarray) -> list[int]:
+        """The best tag path; of equal ones the first tag in the order begin, inside, outside."""
+        scores = self.emit[rows].sum(1) + bars
         best = scores[0].copy()
-        best[I] = -np.inf
+        best[I] = _NEVER
         back = np.zeros((len(rows), 3), np.int64)
         for t in range(1, len(rows)):
-            step = best[:, None] + move
+            step = best[:, None] + self.move
             back[t] = step.argmax(0)
             best = step.max(0) + scores[t]
         path = [int(best.argmax())]
@@ -159,37 +172,30 @@ class Field:
             path.append(int(back[t, path[-1]]))
         return path[::-1]
 
-    def ceiling(self) -> float:
-        """What context and moves add to a token's gain over "outside" at most."""
-        gain = self.emit[:, :2] - self.emit[:, 2:]
-        rest = sum(gain[_BASES[g] : _BASES[g + 1]].max(0) for g in range(2, 8))
-        moves = np.delete(self.move.ravel(), 3 * O + O) - self.move[O, O]
-        return float(rest.max() + 2 * max(0.0, moves.max()))
-
-    def own_gain(self, token: str) -> float:
-        gain = self.emit[:, :2] - self.emit[:, 2:]
-        return float((gain[_BASES[0] + shape(token)] + gain[_BASES[1] + _length(token)]).max())
-
 
 def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     top = a.max(axis, keepdims=True)
     return (top + np.log(np.exp(a - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(lines: list[tuple[np.ndarray, np.ndarray]]) -> Field:
+def train(lines: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Field:
     """Maximum likelihood by Adam, with forward-backward sums over padded lines; a little weight decay."""
-    width = max(len(tags) for _, tags in lines)
+    width = max(len(tags) for _, _, tags in lines)
     n, groups = len(lines), 8
     pad = _BASES[-1]
     x = np.full((n, width, groups), pad, np.int64)
     y = np.full((n, width), O)
     mask = np.zeros((n, width), bool)
-    for i, (rows, tags) in enumerate(lines):
+    bars = np.zeros((n, width, 3))
+    for i, (rows, bar, tags) in enumerate(lines):
+        bars[i, : len(tags)] = bar
+        bars[i, 0, I] = _NEVER
         x[i, : len(tags)], y[i, : len(tags)], mask[i, : len(tags)] = rows, tags, True
     emit, move = np.zeros((pad + 1, 3)), np.zeros((3, 3))
-    state = [np.zeros_like(w) for w in (emit, move, emit, move)]
+    move[O, I] = _NEVER
+    state = [np.zeros(w.shape) for w in (emit, move, emit, move)]
     for step in range(1, ITERATIONS + 1):
-        scores = emit[x].sum(2)
+        scores = emit[x].sum(2) + bars
         forward, backward = np.zeros((n, width, 3)), np.zeros((n, width, 3))
         forward[:, 0] = scores[:, 0]
         for t in range(1, width):
@@ -215,8 +221,8 @@ def train(lines: list[tuple[np.ndarray, np.ndarray]]) -> Field:
             m, v = state[k], state[k + 2]
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        emit[pad] = 0
+            w -= 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        emit[pad], move[O, I] = 0, _NEVER
     return Field(emit[:pad], move)
 
 
@@ -253,22 +259,27 @@ _ALPHABETS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
     "abcdefghijklmnopqrstuvwxyz0123456789",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
-    "0123456789abcdef",
+    "0123456789abcdefghijklmnopqrstuvwxyz-",
 )
 
 
-def _example(line: str, parts: list[tuple[int, int]], file: int) -> tuple[np.ndarray, np.ndarray] | None:
-    spans, rows = encode(line, file)
+def _example(line: str, parts: list[tuple[int, int]], file: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    spans, rows, bars = encode(line, file)
     if not spans:
         return None
     tags = np.full(len(spans), O)
     for s, e in sorted(parts):
-        first = True
+        last = None
         for i, (a, b) in enumerate(spans):
             if a >= s and b <= e:
-                tags[i] = B if first else I
-                first = False
-    return rows, tags
+                if last is None and bars[i, B] == 0:
+                    tags[i], last = B, i
+                elif last == i - 1 and bars[i, I] == 0:
+                    tags[i], last = I, i
+    if len(tags) > TRAIN_TOKENS:
+        at = max(0, int((tags == B).argmax()) - TRAIN_TOKENS // 2)
+        rows, bars, tags = (a[at : at + TRAIN_TOKENS] for a in (rows, bars, tags))
+    return rows, bars, tags
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str) -> Field | None:
@@ -290,39 +301,33 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> Field | None:
             continue
         examples.append(made)
         s, e = parts[0]
-        for alphabet in _ALPHABETS[:4]:  # the same place with another secret
-            size = int(rng.integers(16, 48))
+        for k, alphabet in enumerate(_ALPHABETS):  # another secret, in the same place or after another keyword
+            size = int(rng.integers(12, 48))
             fake = "".join(rng.choice(list(alphabet), size))
-            made = _example(r["line"][:s] + fake + r["line"][e:], [(s, s + size)], r["file"])
+            left = r["line"][:s]
+            if k % 2:
+                quote = str(rng.choice(["", '"', "'"]))
+                left = left[: left.rfind(" ", 0, max(0, s - 12)) + 1] + str(rng.choice(_KEYWORD_LIST))
+                left += str(rng.choice([" = ", "=", ": ", " "])) + quote
+            made = _example(left + fake + r["line"][e:], [(len(left), len(left) + size)], r["file"])
             if made is not None:
                 examples.append(made)
     if not examples:
         return None
     # Few secrets would drown in plain lines; both sides are bounded.
-    order = rng.permutation(len(plain))[: max(500, 3 * len(examples))]
-    return train(examples[:4000] + [plain[i] for i in order][:6000])
+    some = rng.permutation(len(examples))[:TRAIN_SECRETS]
+    rest = rng.permutation(len(plain))[:TRAIN_PLAIN]
+    return train([examples[i] for i in some] + [plain[i] for i in rest])
 
 
 # Scan
 
 
 class _Possible(dict):
-    """Whether any token of a white-space word could be part of a secret; made when first seen."""
-
-    def __init__(self, field: Field) -> None:
-        super().__init__()
-        self.field, self.top = field, field.ceiling()
-        self.by_facts: dict[tuple[int, int], bool] = {}
+    """Whether a secret may begin inside a white-space word; made when first seen."""
 
     def __missing__(self, word: str) -> bool:
-        found = False
-        for m in TOKEN.finditer(word):
-            facts = (shape(m[0]), _length(m[0]))
-            if facts not in self.by_facts:
-                self.by_facts[facts] = self.field.own_gain(m[0]) + self.top > 0
-            if self.by_facts[facts]:
-                found = True
-                break
+        found = len(word) >= BEGIN_DIGIT and any(may_begin(m[0]) for m in TOKEN.finditer(word))
         if len(self) > 300_000:  # only a cache: bounded, and made anew
             self.clear()
         self[word] = found
@@ -335,9 +340,9 @@ def field_spans(text: str, field: Field, possible: dict[str, bool]) -> list[tupl
     for line in text.split("\n"):
         if any(map(possible.__getitem__, line.split())):
             file = file_class(text) if file is None else file
-            spans, rows = encode(line, file)
+            spans, rows, bars = encode(line, file)
             if spans:
-                tags = field.decode(rows)
+                tags = field.decode(rows, bars)
                 i = 0
                 while i < len(tags):
                     if tags[i] == B:
@@ -353,7 +358,7 @@ def field_spans(text: str, field: Field, possible: dict[str, bool]) -> list[tupl
 
 
 def _scan(field: Field | None):
-    possible = _Possible(field) if field is not None else None
+    possible = _Possible()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, hashes, spans = [[], [], []], [], []
