@@ -69,7 +69,7 @@ def hash_order_sample(df: DataFrame, key: Column, rows: int, count: int) -> Data
     hashed = df.withColumn("__h", F.xxhash64(key))
     if count > 4 * rows:
         share = min(1.0, 1.5 * rows / count + 200 / count)
-        low = -(2**63) + int(share * 2**64)
+        low = min(2**63 - 1, -(2**63) + int(share * 2**64))
         hashed = hashed.where(F.col("__h") < F.lit(low))
     return hashed.orderBy("__h", *[F.col(c) for c in df.columns]).limit(rows).drop("__h")
 

@@ -174,7 +174,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         return None
     langs = sorted(counts)
     # A threshold on the hash leaves about TRAIN_DOCS of each language; the ordered limit makes it a bound.
-    limits = [x for k in langs for x in (F.lit(k), F.lit(-(2**63) + int(min(1.0, TRAIN_DOCS / counts[k]) * (2**64 - 1))))]
+    top = {k: min(2**63 - 1, -(2**63) + int(TRAIN_DOCS / counts[k] * 2**64)) for k in langs}
+    limits = [x for k in langs for x in (F.lit(k), F.lit(top[k]))]
     drawn = rows.where(F.col("h") <= F.create_map(*limits)[F.col("lang")])
     drawn = drawn.orderBy("h", "lang").limit(2 * TRAIN_DOCS * len(langs)).select("lang", "text")
     got = map_batches(drawn, lambda: _training_windows(TRAIN_WINDOWS), "lang string, window binary").collect()
