@@ -272,9 +272,12 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, id_type: str
     records = read_arc(spark, arc_folder).withColumn("page_key", F.col("page").cast(id_type))
     sizes = F.octet_length("payload")
     firsts = records.where(sizes >= min_bytes).groupBy("digest").agg(
-        F.min("page_key").alias("first_page"), F.min_by("url", "page_key").alias("first_url"), F.min_by("date", "page_key").alias("first_date")
-    )
-    # Written, so that the join below is of two plain shuffles and a hot digest can be split.
+        F.count(F.lit(1)).alias("copies"), F.min("page_key").alias("first_page"),
+        F.min_by("url", "page_key").alias("first_url"), F.min_by("date", "page_key").alias("first_date"),
+    )
+    # Single payloads need no look-up, so they are left out: where few payloads repeat, payloads aren't shuffled.
+    # Written, so that the join below knows its size, and else is of two plain shuffles and a hot digest can be split.
+    firsts = firsts.where("copies > 1").drop("copies")
     firsts = materialize(firsts, "warc-firsts").withColumnRenamed("digest", "first_digest")
     joined = records.join(firsts, F.col("digest") == F.col("first_digest"), "left").select(
         "url", "ip", "date", "mime", "page", "head", "payload", "digest",
