@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import langid, line_dedup, mixing, secrets, simhash, toxicity, warc
+from tillweave.llm import decontam, langid, line_dedup, mixing, secrets, simhash, token_counts, toxicity, warc
 from tillweave.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +157,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items held by each of all documents."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by the pieces of a public vocabulary."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.load_pieces())

@@ -35,7 +35,7 @@ SAMPLE_ROWS = 4000
 #: Members of one bucket that one task compares.
 CHUNK = 4096
 #: Cost of one probe row against one candidate pair, for the choice of thresholds.
-PROBE_COST = 60.0
+PROBE_COST = 150.0
 #: Odd multipliers that turn one 64-bit hash into further ones.
 _MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 

@@ -7,6 +7,7 @@ lexicon, one the trees, one the calibration. Every document is then scored whole
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +46,7 @@ FEATURES = (
     "mixed_rate", "stretched_rate", "log_words", "mean_word",
 )
 
-_EDGES = " \t\r\n.,;:!?\"'()[]{}|<>*#$&"
+_EDGES = string.whitespace + string.punctuation + "“”‘’«»¿¡…"
 _RUN = re.compile(r"[!?#$*&]{2,}")
 _STRETCH = re.compile(r"(\w)\1{2,}")
 
