@@ -14,7 +14,7 @@ from tillweave.llm.common import BLANKS_CLASS, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponent that flattens observed shares to default targets.
-TEMPERATURE = 0.8
+TEMPERATURE = 0.9
 #: Raking ends when every marginal share is within this of its target.
 TOLERANCE = 1e-9
 #: Rounds in one job, and jobs at most.

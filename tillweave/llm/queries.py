@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import decontam, langid, line_dedup, mixing, secrets, simhash, token_counts, toxicity, warc
+from tillweave.llm import decontam, langid, line_dedup, mixing, search, secrets, simhash, token_counts, toxicity, warc
 from tillweave.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents by the pieces of a public vocabulary."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.load_pieces())
+
+
+@query("op3_top_k_search")
+def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 20, asked with its whole text."""
+    docs = table(spark, sf_dir, "documents")
+    found = search.top_k(docs, docs.where(F.col("doc_id") % 20 == 0))
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
