@@ -111,34 +111,42 @@ class Predictor:
         self.third = np.ascontiguousarray(three[2])
         self.tail = np.ascontiguousarray((four[2][:, None, :] + four[3][None, :, :]).reshape(65536, FILTERS))
 
-    def logits(self, flat: np.ndarray) -> np.ndarray:
-        """Logits of each window of a flat run of whole windows."""
+    def logits(self, flat: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """Logits of each window of a flat run of whole windows; past the end of its text a filter sees zeros."""
         out = np.empty((len(flat) // WINDOW, self.lead.shape[1]), np.float32)
-        spare = np.zeros(max(WIDTHS), np.uint8)
+        ends = np.array([len(flat)]) if ends is None else ends
+        after = []
+        for ahead in range(1, max(WIDTHS)):
+            moved = np.roll(flat, -ahead)
+            for back in range(1, ahead + 1):
+                moved[ends - back] = 0
+            after.append(moved)
+        pairs = (flat.astype(np.int32) << 8) | after[0]
+        tails = (after[1].astype(np.int32) << 8) | after[2]
         for at in range(0, len(flat), 64 * WINDOW):
-            part = flat[at : at + 64 * WINDOW]
-            ahead = np.concatenate([flat[at : at + 64 * WINDOW + 3], spare])[: len(part) + 3].astype(np.int32)
-            pairs = (ahead[:-1] << 8) | ahead[1:]
-            response = self.lead.take(pairs[: len(part)], 0)
-            response[:, FILTERS : 2 * FILTERS] += self.third.take(ahead[2 : len(part) + 2], 0)
-            response[:, 2 * FILTERS :] += self.tail.take(pairs[2 : len(part) + 2], 0)
-            first = at // WINDOW
-            response.reshape(-1, WINDOW, response.shape[1]).max(1, out=out[first : first + len(part) // WINDOW])
+            here = slice(at, at + 64 * WINDOW)
+            response = self.lead.take(pairs[here], 0)
+            response[:, FILTERS : 2 * FILTERS] += self.third.take(after[1][here], 0)
+            response[:, 2 * FILTERS :] += self.tail.take(tails[here], 0)
+            first, count = at // WINDOW, len(response) // WINDOW
+            response.reshape(-1, WINDOW, response.shape[1]).max(1, out=out[first : first + count])
         hidden = np.maximum(out + self.net.bias, 0)
         return hidden @ self.net.out + self.net.out_bias
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
         flats = [windows_of(t) for t in texts]
         flat = np.concatenate(flats)
-        logits = self.logits(flat)
+        ends = np.cumsum([len(f) for f in flats])
+        logits = self.logits(flat, ends)
         weight = _LETTERS[flat].reshape(-1, WINDOW).sum(1).astype(np.float64)
-        starts = np.cumsum([0] + [len(f) // WINDOW for f in flats[:-1]])
-        sums = np.add.reduceat(logits * weight[:, None], starts, 0)
+        starts = np.concatenate([[0], ends[:-1]]) // WINDOW
+        sums = np.add.reduceat(logits.astype(np.float64) * weight[:, None], starts, 0)
         mean = sums / np.maximum(np.add.reduceat(weight, starts), 1)[:, None]
         shift = np.exp(mean - mean.max(1, keepdims=True))
         share = shift / shift.sum(1, keepdims=True)
         best = share.argmax(1)
-        return [(self.net.langs[b], float(share[i, b])) for i, b in enumerate(best)]
+        # Rounded, as sums of other texts' neighbours may differ in the last bits.
+        return [(self.net.langs[b], round(float(share[i, b]), 6)) for i, b in enumerate(best)]
 
 
 def _training_windows(per_doc: int):
