@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows.where(F.col("fold") >= 9).select("text", "fold", "toxic"), lambda: _feature_rows(lexicon), "fold int, toxic int, x array<double>"
     ).collect()
     made.sort(key=lambda r: (r["fold"], r["x"], r["toxic"]))
-    x = np.array([r["x"] for r in made]).reshape(len(made), -1)
+    x = np.array([r["x"] for r in made]).reshape(len(made), len(FEATURES))
     y = np.array([r["toxic"] for r in made], np.float64)
     trees_part = np.array([r["fold"] < 16 for r in made], bool)
     if not (len(set(y[trees_part])) == 2 and len(set(y[~trees_part])) == 2):
