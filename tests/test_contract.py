@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillweave.operators.relational import hash_column, join_tables, lookup_strict, sample_rows
-from tillweave.operators.reshape import distinct_values, pivot_fill
+from tillweave.operators.reshape import pivot_fill
 from tillweave.sources.zones import read_latest, write_zone
 
 
@@ -23,12 +23,10 @@ def test_join_arguments(two):
 
 
 def test_pivot_arguments(two):
-    for missing in ({"index": "k", "on": "v"}, {"index": "k", "values": "v"}, {"on": "v", "values": "k"}):
+    for missing in ({"index": "k", "on": "v", "values": "k"}, {"index": "k", "on": "v"}, {"index": "k", "values": "v"}, {"on": "v", "values": "k"}):
         with pytest.raises(ValueError):
             pivot_fill(two, **missing)
-    with pytest.raises(ValueError, match="distinct values"):
-        distinct_values(two, "k", limit=1)
-    assert pivot_fill(two, "k", "v", "k").orderBy("k").collect() == [(1, 1, 0), (2, 0, 2)]
+    assert pivot_fill(two, "k", "v", "k", ["a", "b"]).orderBy("k").collect() == [(1, 1, 0), (2, 0, 2)]
 
 
 def test_zone_arguments(two, spark, tmp_path):
@@ -47,6 +45,11 @@ def test_newest_snapshot(two, spark, tmp_path):
     with pytest.raises(Exception):
         write_zone(two, root, "2.raw", "t", stamp="20240102_000000")
     assert read_latest(spark, root, "2.raw", "t").count() == 2
+    wider = two.withColumn("extra", F.lit(1))
+    write_zone(wider.limit(0), root, "2.raw", "t", stamp="20240103_000000")
+    newest = read_latest(spark, root, "2.raw", "t")
+    assert newest.columns == ["k", "v", "extra"] and newest.count() == 0
+    assert read_latest(spark, root, "2.raw", "t", stamp="20240101_000000").collect() == [(1, "a")]
 
 
 def test_lookup(two):

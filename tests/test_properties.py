@@ -96,7 +96,7 @@ def test_exact_quantiles_need_no_gathering(spark):
     ordered = np.sort(x)
     for p in (0.01, 0.5, 0.99):
         expected = ordered[int(np.ceil(p * len(x) - 1e-9)) - 1]
-        assert exact_quantiles(df, "x", [p], bracket_rows=50) == [expected]
+        assert exact_quantiles(df, "x", [p], accuracy=20) == [expected]
         assert exact_quantiles(df, "x", [p]) == [expected]
 
 
@@ -151,3 +151,62 @@ def test_spectral_entropy_tells_noise_from_waves(spark):
     assert got["noise"] > 0.9
     assert got["wave"] < got["noise"] - 0.2
     assert got["flat"] is None
+
+
+def test_quantiles_of_few_values_need_no_sort(spark):
+    df = spark.createDataFrame([(float(i % 2), None if i else 3) for i in range(1000)], "x double, y int")
+    assert exact_quantiles(df, "x", [0.0, 0.5, 0.501, 1.0], accuracy=10) == [0.0, 0.0, 1.0, 1.0]
+    assert exact_quantiles(df, "y", [0.5]) == [3]
+    assert exact_quantiles(df.where("x > 5"), "x", [0.5]) == [None]
+
+
+def test_grouped_quantiles_of_many_values(spark):
+    from tillweave.operators.summaries import grouped_quantiles
+
+    rng = np.random.default_rng(2)
+    rows = [("a", float(v)) for v in rng.normal(size=5000)] + [(None, float(i)) for i in range(7)] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in grouped_quantiles(df, ["g"], "x", {"lo": 0.0, "mid": 0.37, "hi": 1.0}).collect()}
+    a = np.sort([v for g, v in rows if g == "a"])
+    assert got == {"a": (a[0], a[int(np.ceil(0.37 * 5000)) - 1], a[-1]), None: (0.0, 2.0, 6.0)}
+
+
+def test_backward_fill_is_linear_and_right(spark):
+    from tillweave.operators.nulls import fill_backward
+
+    df = spark.createDataFrame([("a", d, v) for d, v in enumerate([None, 1, None, None, 2, None])], "id string, date int, v int")
+    filled = df.withColumn("f", fill_backward(F.col("v"), "id", "date"))
+    assert [r["f"] for r in filled.orderBy("date").collect()] == [1, 1, 2, 2, 2, None]
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().toString().lower().replace(" ", "")
+
+
+def test_a_missing_weight_concerns_its_own_model(spark):
+    rows = [("g", float(i), 2.0 * i + 1, None if i == 0 else 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, w double")
+    grams = regression.gram_by_group(df, ["g"], ["x"], "y", {"plain": None, "weighted": "w"})
+    assert {r["model"]: r["rows"] for r in grams.collect()} == {"plain": 4, "weighted": 3}
+
+
+def test_short_series_keep_their_row(spark):
+    from tillweave.operators.series import approximate_entropy
+
+    days = [("long", d, d % 3) for d in range(30)] + [("short", d, d) for d in range(3)] + [("empty", d, None) for d in range(30)]
+    df = spark.createDataFrame(days, "id string, date int, sales int")
+    got = {r[0]: r[1] for r in approximate_entropy(df).collect()}
+    assert got["long"] is not None and got["short"] is None and got["empty"] is None
+
+
+def test_factorial_of_large_numbers(spark):
+    from tillweave.functions.maths import factorial
+
+    got = spark.range(26).select(factorial(F.col("id").cast("int"))).collect()
+    for n, (value,) in enumerate(got):
+        assert abs(value / float(np.prod(np.arange(1, n + 1, dtype=float))) - 1) < 1e-9
+
+
+def test_text_is_taken_literally(spark):
+    from tillweave.functions.text import strip_prefix, take_parts
+
+    df = spark.createDataFrame([("a.b-c", "x^y]z")], "p string, q string")
+    row = df.select(strip_prefix(F.col("p"), "a.b"), strip_prefix(F.col("p"), "a-b"), take_parts(F.col("q"), [1], "^"), take_parts(F.col("q"), [0], "]")).first()
+    assert tuple(row) == ("-c", "a.b-c", "y]z", "x^y")

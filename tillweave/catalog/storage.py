@@ -17,17 +17,26 @@ def scan_parquet(spark, data_dir):
     )
 
 
-@query(
-    "latest_snapshot",
-    """SELECT o_orderkey, o_orderstatus FROM orders
-       WHERE o_orderstatus = (SELECT max(o_orderstatus) FROM orders)""",
-)
+def _two_snapshots(spark, data_dir) -> str:
+    """Customers as written twice: first without, then with their balance."""
+    root = scratch_folder(spark, "zones")
+    customers = table(spark, data_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    zones.write_zone(customers.drop("c_acctbal"), root, "2.raw", "customers", stamp="20200101_000000_000000")
+    zones.write_zone(customers.drop("c_nationkey"), root, "2.raw", "customers", stamp="20200102_000000_000000")
+    return root
+
+
+@query("latest_snapshot", "SELECT c_custkey, c_acctbal FROM customer")
 def latest_snapshot(spark, data_dir):
-    """The order status plays the stamp: two or more snapshots of one table."""
-    snapshots = table(spark, data_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", F.col("o_orderstatus").alias("snapshot")
-    )
-    return zones.latest_snapshot(snapshots)
+    """The newer of two snapshots with different columns."""
+    return zones.read_latest(spark, _two_snapshots(spark, data_dir), "2.raw", "customers")
+
+
+@query("named_snapshot", "SELECT c_custkey, c_nationkey FROM customer")
+def named_snapshot(spark, data_dir):
+    """The older of them, by its stamp."""
+    root = _two_snapshots(spark, data_dir)
+    return zones.read_latest(spark, root, "2.raw", "customers", stamp="20200101_000000_000000")
 
 
 @query("write_zone", "SELECT id, date, sales FROM sales_long")

@@ -25,8 +25,3 @@ def date_span(start: Column, end: Column) -> Column:
 def days_around(day: Column, before: int, after: int) -> Column:
     """The dates from ``before`` days earlier to ``after`` days later."""
     return date_span(F.date_add(day, -before), F.date_add(day, after))
-
-
-def day_index(day: Column, origin: Column) -> Column:
-    """0-based position of a date counted from an origin date."""
-    return F.datediff(day, origin)

@@ -19,11 +19,14 @@ def fill_zero(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def fill_backward(value: Column, id_col: str | Sequence[str], date_col: str) -> Column:
-    """The next non-null value of the same series."""
+    """The next non-null value of the same series.
+
+    As the last one so far in falling order: each row is visited once.
+    """
     keys = [id_col] if isinstance(id_col, str) else list(id_col)
-    ahead = (
+    falling = (
         Window.partitionBy(*keys)
-        .orderBy(date_col)
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        .orderBy(F.col(date_col).desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return F.first(value, ignorenulls=True).over(ahead)
+    return F.last(value, ignorenulls=True).over(falling)

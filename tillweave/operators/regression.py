@@ -38,7 +38,8 @@ def gram_by_group(
 
     ``weights`` names the models and the weight column of each (None for equal
     weights). ``gram`` is the upper triangle of Z'WZ for Z = [1, features,
-    target]. Rows with a null in a used column do not count.
+    target]. A row counts for a model if key, features, target and that model's
+    own weight are there; NaN is taken as missing.
     """
     keys, features, models = list(keys), list(features), dict(weights)
     used = [c for c in models.values() if c is not None]
@@ -53,18 +54,24 @@ def gram_by_group(
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for batch in batches:
-            for key, rows in batch.dropna().groupby(keys, sort=False):
+            whole = batch.dropna(subset=[*keys, *features, target])
+            for key, rows in whole.groupby(keys, sort=False):
                 z = np.ones((len(rows), size))
                 z[:, 1:-1] = rows[features].to_numpy(dtype=float)
                 z[:, -1] = rows[target].to_numpy(dtype=float)
                 for model, weight in models.items():
-                    w = None if weight is None else rows[weight].to_numpy(dtype=float)[:, None]
-                    gram = z.T @ (z if w is None else z * w)
-                    count, old = sums.get((key, model), (0, 0.0))
-                    sums[key, model] = (count + len(rows), old + gram)
-            if len(sums) > GROUPS_IN_TASK:
-                yield emit(sums)
-                sums = {}
+                    if weight is None:
+                        held, gram = len(rows), z.T @ z
+                    else:
+                        w = rows[weight].to_numpy(dtype=float)
+                        known = ~np.isnan(w)
+                        held, gram = int(known.sum()), z[known].T @ (z[known] * w[known, None])
+                    if held:
+                        count, old = sums.get((key, model), (0, 0.0))
+                        sums[key, model] = (count + held, old + gram)
+                if len(sums) > GROUPS_IN_TASK:
+                    yield emit(sums)
+                    sums = {}
         if sums:
             yield emit(sums)
 

@@ -46,17 +46,6 @@ def unpivot_columns(
     )
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = 10_000) -> list:
-    """Sorted distinct values of a column that names pivot columns.
-
-    More than ``limit`` values cannot be columns and raise ValueError.
-    """
-    rows = df.select(column).where(F.col(quoted(column)).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct values in {column!r}")
-    return sorted(r[0] for r in rows)
-
-
 def pivot_fill(
     df: DataFrame,
     index: str | Sequence[str] | None = None,
@@ -66,15 +55,15 @@ def pivot_fill(
     how: str = "max",
     fill=0,
 ) -> DataFrame:
-    """Pivot with nulls filled. Give ``value_list`` to fix the schema and save a job.
+    """Pivot with nulls filled. ``value_list`` names the columns, so no job has to find them.
 
     Several value columns give columns ``<key>_<value>``.
     """
-    if index is None or on is None or values is None:
-        raise ValueError("index, on and values must all be given")
+    if index is None or on is None or values is None or value_list is None:
+        raise ValueError("index, on, values and value_list must all be given")
     keys = [index] if isinstance(index, str) else list(index)
     cells = [values] if isinstance(values, str) else list(values)
-    value_list = list(value_list) if value_list is not None else distinct_values(df, on)
+    value_list = list(value_list)
     aggregate = getattr(F, how)
     pivoted = df.groupBy(*keys).pivot(on, value_list)
     if len(cells) == 1:
@@ -88,11 +77,11 @@ def pivot_fill(
 
 
 def pivot_count(
-    df: DataFrame, index: str | Sequence[str], on: str, value_list: Sequence | None = None
+    df: DataFrame, index: str | Sequence[str], on: str, value_list: Sequence
 ) -> DataFrame:
     """Pivot that counts rows; 0 where there are none."""
     keys = [index] if isinstance(index, str) else list(index)
-    value_list = list(value_list) if value_list is not None else distinct_values(df, on)
+    value_list = list(value_list)
     wide = df.groupBy(*keys).pivot(on, value_list).agg(F.count(F.lit(1)))
     return wide.select(
         *keys, *[F.coalesce(F.col(quoted(str(v))), F.lit(0)).alias(str(v)) for v in value_list]

@@ -164,15 +164,17 @@ def approximate_entropy(
     each window. Whole numbers closer than 1 are equal, so below a tolerance of
     1 similar windows are identical ones and are simply counted. Only series
     with a wider tolerance (or fractional values) are compared window by
-    window, one series per task group.
+    window, one series per task group. Series of fewer than m + 1 days, and
+    those with a null value, have null.
     """
     whole_numbers = isinstance(df.schema[value].dataType, T.IntegralType)
     level = df.groupBy(id_col).agg((F.lit(filtering_level) * F.stddev_pop(value)).alias("_r"))
     rows = df.select(id_col, date_col, F.col(value).cast("double").alias("_x")).join(level, id_col)
-    exact = F.lit(whole_numbers) & (F.col("_r") < 1.0)
+    exact = F.lit(whole_numbers) & F.coalesce(F.col("_r") < 1.0, F.lit(False))
     counted = _entropy_by_counts(rows.where(exact), run_length, id_col, date_col)
     compared = _entropy_by_distance(rows.where(~exact), run_length, id_col, date_col)
-    return counted.unionByName(compared)
+    # Series without enough days, or without values, keep their row.
+    return level.select(id_col).join(counted.unionByName(compared), id_col, "left")
 
 
 def _entropy_by_counts(rows: DataFrame, m: int, id_col: str, date_col: str) -> DataFrame:
@@ -207,8 +209,9 @@ def _similar_share(x: np.ndarray, m: int, r: float) -> float:
 def _entropy_by_distance(rows: DataFrame, m: int, id_col: str, date_col: str) -> DataFrame:
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date_col)
-        x, r = pdf["_x"].to_numpy(), float(pdf["_r"].iloc[0])
-        if len(x) <= m:
+        x = pdf["_x"].to_numpy(dtype=float)
+        r = float(pdf["_r"].iloc[0]) if pdf["_r"].notna().any() else np.nan
+        if len(x) <= m or np.isnan(x).any():
             return pd.DataFrame(columns=[id_col, "approximate_entropy"])
         entropy = abs(_similar_share(x, m, r) - _similar_share(x, m + 1, r))
         return pd.DataFrame({id_col: [key[0]], "approximate_entropy": [entropy]})

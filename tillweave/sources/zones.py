@@ -1,12 +1,14 @@
 """Zone storage: every data set keeps its snapshots under one folder.
 
 Layout ``<root>/<zone>/<name>/snapshot=<stamp>/part-*.parquet``. The newest
-snapshot is the largest stamp, and reading it prunes every other partition.
+snapshot is the largest stamp, and only its folder is read.
 """
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,13 +57,10 @@ def write_zone(
     return stamp
 
 
-def read_snapshots(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
-    """All snapshots of a data set, with the stamp as column ``snapshot``."""
-    reader = spark.read
-    if schema is not None:
-        fields = [f for f in schema.fields if f.name != "snapshot"]
-        reader = reader.schema(T.StructType([*fields, T.StructField("snapshot", T.StringType())]))
-    return reader.parquet(folder)
+def snapshot_stamps(spark: SparkSession, folder: str) -> list[str]:
+    """Stamps of a data set, oldest first, from the names of its files alone."""
+    files = spark.read.schema("snapshot string").parquet(folder).inputFiles()
+    return sorted({unquote(m[1]) for f in files if (m := re.search(r"/snapshot=([^/]+)/", f))})
 
 
 def read_latest(
@@ -70,22 +69,23 @@ def read_latest(
     zone: str | None = None,
     name: str | None = None,
     subfolder: str | None = None,
+    stamp: str | None = None,
 ) -> DataFrame:
-    """The newest snapshot of a data set; raises ValueError without a place."""
+    """The newest snapshot of a data set, or the one named by ``stamp``.
+
+    Only that snapshot's folder is read, so columns are its own, whatever
+    older or newer snapshots hold. Raises ValueError without a place or a
+    snapshot.
+    """
     if zone is None and subfolder is None:
         raise ValueError("give a zone or a subfolder")
     folder = zone_path(root, zone or "3.interim", name, subfolder)
-    return latest_snapshot(read_snapshots(spark, folder))
-
-
-def latest_snapshot(snapshots: DataFrame, stamp_col: str = "snapshot") -> DataFrame:
-    """Rows that carry the largest stamp, without the stamp column.
-
-    Written as an uncorrelated subquery: on a partition column Spark resolves
-    it before the scan and prunes all other folders.
-    """
-    newest = snapshots.agg(F.max(stamp_col)).scalar()
-    return snapshots.where(F.col(stamp_col) == newest).drop(stamp_col)
+    if stamp is None:
+        stamps = snapshot_stamps(spark, folder)
+        if not stamps:
+            raise ValueError(f"no snapshot in {folder}")
+        stamp = stamps[-1]
+    return spark.read.parquet(f"{folder}/snapshot={stamp}")
 
 
 def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
