@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tillweave.catalog import QUERIES
 from tillweave.operators.panel import trim_before_first_sale
 from tillweave.operators.relational import quoted
 from tillweave.plans import design, interim, raw
@@ -51,6 +52,11 @@ def test_design_matrix_broadcasts_small_sides(written):
     assert plan.count("BroadcastHashJoin") == 2
 
 
+def test_registered_design_matrix_shuffles_the_panel_once(spark, data_dir):
+    plan = plan_of(QUERIES["design_matrix"](spark, data_dir))
+    assert not re.findall(r"Exchange hashpartitioning\(date\S*, state_id", plan)
+
+
 def test_filters_and_columns_reach_the_scan(spark, data_dir):
     df = tables.table(spark, data_dir, "lineitem").where(F.col("l_quantity") > 10).select("l_orderkey")
     plan = plan_of(df)

@@ -20,6 +20,7 @@ from tillweave.operators.relational import quoted, unnest_struct
 from tillweave.plans import calendar_features as calendars
 from tillweave.plans import design, events, interim, panels, raw, runner
 from tillweave.session import scratch_folder
+from tillweave.sources import zones
 from tillweave.sources import sample_tables as tables
 from tillweave.sources.sample_tables import EVENT_NAMES
 
@@ -170,6 +171,13 @@ def regressor_table_mixture(spark, data_dir):
     )
 
 
+def written_regressors(spark, data_dir):
+    """The regressor table as a data set: its size is known when facts meet it."""
+    root = scratch_folder(spark, "regressors")
+    zones.write_zone(regressors(spark, data_dir), root, "3.interim", "regressor_table")
+    return zones.read_latest(spark, root, "3.interim", "regressor_table")
+
+
 @query(
     "design_matrix",
     """SELECT o.*, p.* EXCLUDE (id, state_id), r.* EXCLUDE (date) FROM sales_oos o JOIN prodloc p ON o.id = p.id
@@ -178,7 +186,7 @@ def regressor_table_mixture(spark, data_dir):
 )
 def design_matrix(spark, data_dir):
     matrix = design.design_matrix(
-        flagged_sales(spark, data_dir), tables.prodloc(spark, data_dir), regressors(spark, data_dir)
+        flagged_sales(spark, data_dir), tables.prodloc(spark, data_dir), written_regressors(spark, data_dir)
     )
     facts = ["id", "date", "sales", "zero_sales_ind", "OOS", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
     return matrix.select(*facts, *plain_regressors(matrix))
@@ -195,7 +203,7 @@ def design_matrix(spark, data_dir):
 )
 def store_panel(spark, data_dir):
     panel = design.store_panel(
-        flagged_sales(spark, data_dir), tables.prodloc(spark, data_dir), regressors(spark, data_dir)
+        flagged_sales(spark, data_dir), tables.prodloc(spark, data_dir), written_regressors(spark, data_dir)
     )
     facts = ["date", "state_id", "store_id", "sales", "OOS_COUNT", "ProductPlaces"]
     return panel.select(*facts, *plain_regressors(panel))

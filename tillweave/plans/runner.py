@@ -44,6 +44,7 @@ DATA_SETS = [
     ("3.interim", "snap_features"),
     ("3.interim", "calender_features"),
     ("3.interim", "calendar_event_gmm_features"),
+    ("3.interim", "regressor_table"),
     ("4.processed", "designmatrix"),
 ]
 
@@ -105,7 +106,10 @@ def build_design(spark: SparkSession, root: str, stamp: str) -> None:
         newest("calendar_event_bool_features"),
         newest("calendar_event_gmm_features"),
     )
-    matrix = design.design_matrix(newest("sales"), newest("prodlocs"), regressors)
+    # Written and read again: with its true size known, the join to the facts
+    # is a broadcast from the start and the panel is shuffled once.
+    write_zone(regressors, root, "3.interim", "regressor_table", stamp=stamp)
+    matrix = design.design_matrix(newest("sales"), newest("prodlocs"), newest("regressor_table"))
     write_zone(matrix, root, "4.processed", "designmatrix", stamp=stamp, sort_by=["id", "date"])
 
 
