@@ -159,7 +159,7 @@ def lookup_strict(spark, data_dir):
     )
 
 
-@query("hash_column")
+@query("hash_column", "SELECT *, CAST('0x' || substr(md5('4:' || id), 1, 15) AS BIGINT) AS id_seq_num FROM prodloc")
 def hash_column(spark, data_dir):
     return tables.prodloc(spark, data_dir).transform(relational.hash_column, "id", "id_seq_num")
 

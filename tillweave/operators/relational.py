@@ -92,8 +92,9 @@ def lookup_strict(
 
 
 def hash_column(df: DataFrame, column: str, new_name: str, seed: int = 4) -> DataFrame:
-    """64-bit surrogate id; equal values get equal ids in every run."""
-    return df.withColumn(new_name, F.xxhash64(F.lit(seed), F.col(column)))
+    """60-bit surrogate id; equal values get equal ids in every run and engine. Null stays null."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")).cast("binary")), 1, 15)
+    return df.withColumn(new_name, F.conv(digits, 16, 10).cast("bigint"))
 
 
 def attach_group_stat(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
@@ -110,8 +111,10 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, by: Sequence[str] | None
     """Exactly n rows (or all), the same ones for the same seed and data.
 
     Orders by a hash of the row, so the choice does not depend on how the data
-    is partitioned; Spark keeps n rows per task and merges them.
+    is partitioned; Spark keeps n rows per task and merges them. Other engines
+    draw the same rows.
     """
     columns = list(by) if by else df.columns
-    order = F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in columns])
+    text = F.concat_ws(",", F.lit(str(seed)), *[F.col(quoted(c)).cast("string") for c in columns])
+    order = F.md5(text.cast("binary"))
     return df.orderBy(order, *[F.col(quoted(c)) for c in columns]).limit(n)
