@@ -168,30 +168,42 @@ def approximate_entropy(
     those with a null value, have null.
     """
     whole_numbers = isinstance(df.schema[value].dataType, T.IntegralType)
-    level = df.groupBy(id_col).agg((F.lit(filtering_level) * F.stddev_pop(value)).alias("_r"))
-    rows = df.select(id_col, date_col, F.col(value).cast("double").alias("_x")).join(level, id_col)
-    exact = F.lit(whole_numbers) & F.coalesce(F.col("_r") < 1.0, F.lit(False))
+    # All windows are over the days of one series, so one shuffle serves them.
+    series = Window.partitionBy(id_col)
+    rows = df.select(
+        id_col,
+        date_col,
+        F.col(value).cast("double").alias("_x"),
+        (F.lit(filtering_level) * F.stddev_pop(value).over(series)).alias("_r"),
+        F.max(F.col(value).isNull()).over(series).alias("_gap"),
+    )
+    exact = F.lit(whole_numbers) & ~F.col("_gap") & F.coalesce(F.col("_r") < 1.0, F.lit(False))
     counted = _entropy_by_counts(rows.where(exact), run_length, id_col, date_col)
     compared = _entropy_by_distance(rows.where(~exact), run_length, id_col, date_col)
-    # Series without enough days, or without values, keep their row.
-    return level.select(id_col).join(counted.unionByName(compared), id_col, "left")
+    return counted.unionByName(compared)
 
 
 def _entropy_by_counts(rows: DataFrame, m: int, id_col: str, date_col: str) -> DataFrame:
-    w = _ordered(id_col, date_col)
-
-    def phi(length: int) -> DataFrame:
-        window = F.collect_list("_x").over(w.rowsBetween(0, length - 1))
-        windows = rows.select(id_col, window.alias("_w")).where(F.size("_w") == length)
-        seen = windows.groupBy(id_col, "_w").agg(F.count(F.lit(1)).alias("_n"))
-        # Each of the n identical windows has n similar ones.
-        return seen.groupBy(id_col).agg(
-            (F.sum(F.col("_n") * F.log("_n")) / F.sum("_n") - F.log(F.sum("_n"))).alias(f"_phi_{length}")
-        )
-
-    return phi(m).join(phi(m + 1), id_col).select(
-        id_col, F.abs(F.col(f"_phi_{m}") - F.col(f"_phi_{m + 1}")).alias("approximate_entropy")
+    """Windows of length m + 1 are counted once; those of length m are their heads, and the last m days."""
+    ahead = F.collect_list("_x").over(_ordered(id_col, date_col).rowsBetween(0, m))
+    full = F.size("_w") == m + 1
+    windows = rows.select(id_col, ahead.alias("_w")).select(
+        id_col,
+        F.when(F.size("_w") >= m, F.slice("_w", 1, m)).alias("_head"),
+        F.when(full, F.col("_w")).alias("_full"),
+    )
+    seen = windows.groupBy(id_col, "_head", "_full").agg(F.count(F.lit(1)).alias("_n"))
+    known = F.col("_full").isNotNull()
+    heads = seen.groupBy(id_col, "_head").agg(
+        F.sum("_n").alias("_n"),
+        F.sum(F.when(known, F.col("_n"))).alias("_full_n"),
+        F.sum(F.when(known, F.col("_n") * F.log("_n"))).alias("_full_log"),
     )
+    n = F.when(F.col("_head").isNotNull(), F.col("_n"))
+    # Each of the n identical windows has n similar ones.
+    short = F.sum(n * F.log(n)) / F.sum(n) - F.log(F.sum(n))
+    long = F.sum("_full_log") / F.sum("_full_n") - F.log(F.sum("_full_n"))
+    return heads.groupBy(id_col).agg(F.abs(short - long).alias("approximate_entropy"))
 
 
 def _similar_share(x: np.ndarray, m: int, r: float) -> float:
@@ -212,7 +224,7 @@ def _entropy_by_distance(rows: DataFrame, m: int, id_col: str, date_col: str) ->
         x = pdf["_x"].to_numpy(dtype=float)
         r = float(pdf["_r"].iloc[0]) if pdf["_r"].notna().any() else np.nan
         if len(x) <= m or np.isnan(x).any():
-            return pd.DataFrame(columns=[id_col, "approximate_entropy"])
+            return pd.DataFrame({id_col: [key[0]], "approximate_entropy": [None]})
         entropy = abs(_similar_share(x, m, r) - _similar_share(x, m + 1, r))
         return pd.DataFrame({id_col: [key[0]], "approximate_entropy": [entropy]})
 
