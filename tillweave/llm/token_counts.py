@@ -51,33 +51,34 @@ class Counter(dict):
         self.bytes_known = all(f"<0x{b:02X}>" in self.scores for b in range(256))
 
     def count(self, word: str) -> int:
-        """Best score first, then, as paths are met by their start, the earliest start of the last piece."""
-        n = len(word)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        single = [False] * n
-        for end, (length, score) in self.automaton.iter(word):
-            ending[end].append((length, score))
-            if length == 1:
-                single[end] = True
-        best = [0.0] * (n + 1)
-        pieces = [0] * (n + 1)
-        # Whether the best path into a place ends in an unknown run: it then goes on as the same run.
-        running = [False] * (n + 1)
-        for end in range(n):
-            top, at, run = None, 0, False
-            # Longer pieces start earlier, and only a higher score replaces what an earlier start gave.
-            for length, score in sorted(ending[end], reverse=True):
-                start = end + 1 - length
+        """Best score first, then, as paths are met by their start, the earliest start of the last piece.
+
+        The automaton gives matches by their end, of one end the longest first, which is the earliest start.
+        """
+        best, pieces, running = [0.0], [0], [False]
+        matches = self.automaton.iter(word)
+        end, found = next(matches, (-1, None))
+        for at in range(len(word)):
+            single, top, count, run = False, None, 0, False
+            while end == at:
+                length, score = found
+                start = at + 1 - length
                 total = best[start] + score
                 if top is None or total > top:
-                    top, at, run = total, pieces[start] + 1, False
-            if not single[end]:
-                total = best[end] + self.unknown
+                    top, count = total, pieces[start] + 1
+                if length == 1:
+                    single = True
+                end, found = next(matches, (-1, None))
+            if not single:
+                total = best[at] + self.unknown
                 if top is None or total > top:
-                    size = len(word[end].encode()) if self.bytes_known else 0 if running[end] else 1
-                    top, at, run = total, pieces[end] + size, True
-            best[end + 1], pieces[end + 1], running[end + 1] = top, at, run
-        return pieces[n]
+                    # A run of unknown characters is one piece, unless its bytes are pieces.
+                    size = len(word[at].encode()) if self.bytes_known else 0 if running[at] else 1
+                    top, count, run = total, pieces[at] + size, True
+            best.append(top)
+            pieces.append(count)
+            running.append(run)
+        return pieces[-1]
 
     def __missing__(self, word: str) -> int:
         found = self.count(MARK + word)
