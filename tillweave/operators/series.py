@@ -5,7 +5,7 @@ A series has one value per day, so its length is bounded by the date range.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillweave.functions.maths import harmonic_angle, safe_divide
-from tillweave.operators.regression import fit_by_group
+from tillweave.operators.regression import fit_by_group, gram_by_group, solve_ols
 from tillweave.operators.relational import quoted
 
 # The longest lag of the autoregression and the prior weight that
@@ -83,26 +83,62 @@ def trend_season_strength(
     """(id, strength_trend, strength_seasonal): variance ratios per series.
 
     Variance with trend and season removed, over the variance with only the
-    season and only the trend removed.
+    season and only the trend removed. Series are read once, into one matrix of
+    products of 1, time, all waves and the value; every residual is a
+    combination of these columns, so its variance follows from the matrix.
     """
-
-    def without_season(frame: DataFrame) -> DataFrame:
-        for period, harmonics in seasons:
-            frame = deseasonalize_fourier(frame, period, harmonics, value, id_col, date_col)
-        return frame
-
-    def spread(frame: DataFrame, name: str) -> DataFrame:
-        return frame.groupBy(id_col).agg(F.var_samp(value).alias(name))
-
-    detrended = detrend_linear(df, value, id_col, date_col)
-    both = spread(without_season(detrended), "_both")
-    season_only = spread(without_season(df), "_season")
-    trend_only = spread(detrended, "_trend")
-    return both.join(season_only, id_col).join(trend_only, id_col).select(
-        id_col,
-        safe_divide(F.col("_both"), F.col("_season")).alias("strength_trend"),
-        safe_divide(F.col("_both"), F.col("_trend")).alias("strength_seasonal"),
-    )
+    waves: dict[str, Column] = {}
+    steps: list[list[str]] = []
+    for i, (period, harmonics) in enumerate(seasons):
+        names = []
+        for k in range(1, harmonics + 1):
+            angle = harmonic_angle(F.col("_t"), period, k)
+            waves[f"_sin_{i}_{k}"], waves[f"_cos_{i}_{k}"] = F.sin(angle), F.cos(angle)
+            names += [f"_sin_{i}_{k}", f"_cos_{i}_{k}"]
+        steps.append(names)
+    features = ["_t", *waves]
+    staged = df.withColumn("_t", _position(id_col, date_col)).withColumns(waves)
+    grams = gram_by_group(staged, [id_col], features, value, {"model": None})
+    places = [[1 + features.index(c) for c in names] for names in steps]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ratios = [_strengths(np.asarray(g), len(features) + 2, places) for g in batch["gram"]]
+            yield pd.DataFrame({id_col: batch[id_col], "strength_trend": [r[0] for r in ratios], "strength_seasonal": [r[1] for r in ratios]})
+
+    fields = [df.schema[id_col]]
+    fields += [T.StructField(c, T.DoubleType()) for c in ("strength_trend", "strength_seasonal")]
+    return grams.select(id_col, "gram").mapInPandas(solve, T.StructType(fields))
+
+
+def _strengths(upper: np.ndarray, size: int, seasons: list[list[int]]) -> tuple[float | None, float | None]:
+    """Both ratios from the upper triangle of the products of (1, t, waves, y)."""
+    gram = np.zeros((size, size))
+    gram[np.triu_indices(size)] = upper
+    gram = gram + np.triu(gram, 1).T
+    start = np.zeros(size)
+    start[-1] = 1.0
+
+    def without(residual: np.ndarray, columns: list[int], level: bool) -> np.ndarray:
+        """The residual less its fit on some columns; the level goes too if asked."""
+        basis = np.zeros((size, len(columns) + 2))
+        basis[0, 0], basis[columns, range(1, len(columns) + 1)], basis[:, -1] = 1.0, 1.0, residual
+        beta, intercept = solve_ols((basis.T @ gram @ basis)[None])
+        left = residual.copy()
+        left[columns] -= beta[0]
+        if level:
+            left[0] -= intercept[0]
+        return left
+
+    def spread(residual: np.ndarray) -> float:
+        n = gram[0, 0]
+        return (residual @ gram @ residual - (gram[0] @ residual) ** 2 / n) / (n - 1) if n > 1 else np.nan
+
+    trend = without(start, [1], True)
+    season, both = start, trend
+    for columns in seasons:
+        season, both = without(season, columns, False), without(both, columns, False)
+    return tuple(float(spread(both) / s) if (s := spread(other)) > 0 else None for other in (season, trend))
 
 
 def binned_entropy(df: DataFrame, bins: int = 10, value: str = "sales", id_col: str = "id") -> DataFrame:
