@@ -138,7 +138,8 @@ def trend_regimes_per_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Mixture of the trend refitted in every split: parameters and memberships.
 
-    Fitted on train and test dates together; only dates enter.
+    Fitted on the rows of train and test dates together, so a date with more
+    stores weighs more; only date and trend enter.
     """
     windows = split_windows(dates, splits)
     params = fit_mixtures(windows, "trend", components, ["set_index"])
@@ -153,7 +154,7 @@ def backtest_rows(panel: DataFrame, splits: Splits, components: int = TREND_COMP
     """
     holiday_columns = struct_fields(panel, "holiday_bool")
     dates = panel.select("date", "trend", "holiday_bool").dropDuplicates(["date"])
-    params, _ = trend_regimes_per_split(dates.select("date", "trend"), splits, components)
+    params, _ = trend_regimes_per_split(panel.select("date", "trend"), splits, components)
     midpoints = trend_midpoints(split_windows(panel.select("date", "trend"), splits))
     weights = sample_weights(
         dates.select("date", "trend", "holiday_bool.*"), midpoints, splits, holiday_columns
@@ -183,12 +184,18 @@ def backtest_panel(
     Several passes read the panel (stores x days) and its rows per split, and
     none should start from the sales facts again: the panel is checkpointed and
     the rows are written as a table, which later passes read column by column.
+    A row of a split holds keys, sales, weights and regimes only; features of
+    its date and state are joined when they are used.
     """
     spark = panel.sparkSession
     ensure_checkpoint_dir(spark)
-    path = scratch_folder(spark, "backtest") + "/rows"
-    backtest_rows(panel.checkpoint(), splits, components).write.parquet(path)
-    rows = spark.read.parquet(path)
+    folder = scratch_folder(spark, "backtest")
+    panel = panel.checkpoint()
+    by_day = ["wday_guassian_splines", "weekday_bool", *DAY_STRUCTS]
+    panel.select("date", "state_id", *by_day).dropDuplicates(["date", "state_id"]).write.parquet(f"{folder}/days")
+    backtest_rows(panel, splits, components).drop(*by_day).write.parquet(f"{folder}/rows")
+    days = spark.read.parquet(f"{folder}/days")
+    rows = spark.read.parquet(f"{folder}/rows").join(days, ["date", "state_id"])
     common = [f for s in DAY_STRUCTS for f in struct_fields(rows, s)]
     trend, weekday = struct_fields(rows, "trend_regimes"), struct_fields(rows, "weekday_bool")
     wday = struct_fields(rows, "wday_guassian_splines")
@@ -260,7 +267,13 @@ def outlier_days(
 
 
 def outlier_clusters(outliers: DataFrame, components: int = 3) -> DataFrame:
-    """Mixture memberships and labels of the three residual measures."""
+    """Mixture memberships and labels of the three residual measures.
+
+    The outlier days, 366 at most, are checkpointed, so no fit starts from the
+    facts again.
+    """
+    ensure_checkpoint_dir(outliers.sparkSession)
+    outliers = outliers.checkpoint()
     for column in ("residual_sum", "residual_mean", "residual_count"):
         outliers = mixture_memberships(outliers, column, components, name=f"{column}_regimes", cluster=True)
     return outliers
