@@ -161,6 +161,51 @@ def weighted_ols_one_regressor(spark, data_dir):
     )
 
 
+@query(
+    "lasso_one_regressor",
+    """SELECT state_id, store_id, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept
+       FROM (SELECT *, sign(c) * greatest(abs(c) - 150, 0) / v AS slope
+             FROM (SELECT state_id, store_id, covar_pop(sales, trend) AS c, var_pop(trend) AS v, avg(sales) AS my, avg(trend) AS mx
+                   FROM store_days GROUP BY state_id, store_id))""",
+    CTES,
+)
+def lasso_one_regressor(spark, data_dir):
+    """With one regressor the lasso is a soft threshold of the covariance."""
+    keys = ["state_id", "store_id"]
+    fitted = regression.fit_by_group(daily_store_sales(spark, data_dir), keys, ["trend"], "sales", alpha=150.0)
+    return fitted.select(
+        *keys, F.round(F.col("coefficients")[0], 6).alias("slope"), F.round("intercept", 6).alias("intercept")
+    )
+
+
+@query(
+    "lasso_optimality",
+    """SELECT state_id, store_id, variable, true AS optimal FROM (SELECT DISTINCT state_id, store_id FROM store_days),
+       (SELECT unnest(['trend', 'trend_sq', 'wave']) AS variable)""",
+    CTES,
+)
+def lasso_optimality(spark, data_dir):
+    """Conditions that only the minimum meets: the mean product of residual and feature is at most alpha, and
+    alpha with the coefficient's sign where that is not zero."""
+    keys, names, alpha = ["state_id", "store_id"], ["trend", "trend_sq", "wave"], 5.0
+    panel = daily_store_sales(spark, data_dir).withColumns(
+        {"trend_sq": F.col("trend") * F.col("trend") / 1000.0, "wave": F.sin(F.col("trend") / 58.0)}
+    )
+    fitted = regression.fit_by_group(panel, keys, names, "sales", alpha=alpha)
+    made = regression.predict_by_group(panel, fitted, keys, names, "sales")
+    products = made.groupBy(*keys).agg(*[F.avg(F.col(c) * F.col("residual")).alias(c) for c in names])
+    slopes = products.unpivot(keys, names, "variable", "slope")
+    coefficients = regression.coefficients_long(fitted, keys, names)
+    # Sums of about a thousand rows of large features: equal to 1e-4 of their size.
+    size = panel.groupBy(*keys).agg(*[F.sqrt(F.avg(F.col(c) * F.col(c)) * F.avg(F.col("sales") * F.col("sales"))).alias(c) for c in names])
+    slack = size.unpivot(keys, names, "variable", "size")
+    both = slopes.join(coefficients, [*keys, "variable"]).join(slack, [*keys, "variable"])
+    near = F.abs(F.col("slope") - F.signum("value") * alpha) <= F.col("size") * 1e-4
+    return both.select(
+        *keys, "variable", F.when(F.col("value") == 0, F.abs("slope") <= alpha + F.col("size") * 1e-4).otherwise(near).alias("optimal")
+    )
+
+
 def simple_coefficients(daily):
     """Straight line per store by aggregates, in the shape of fitted models.
     The second feature has coefficient 0."""

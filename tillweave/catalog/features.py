@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillweave.catalog.registry import query
-from tillweave.operators.mixture import mixture_memberships
+from tillweave.operators.mixture import fit_mixtures, mixture_memberships
 from tillweave.operators.relational import quoted, unnest_struct
 from tillweave.plans import calendar_features as calendars
 from tillweave.plans import events
@@ -89,6 +89,22 @@ def gmm_membership(spark, data_dir):
     )
 
 
+@query(
+    "gmm_one_component",
+    """SELECT o_orderstatus, 1.0::DOUBLE AS weight, round(avg(o_totalprice), 4) AS mean, round(var_pop(o_totalprice) + 1e-6, 2) AS variance
+       FROM orders GROUP BY o_orderstatus""",
+)
+def gmm_one_component(spark, data_dir):
+    """A mixture of one component is mean and variance."""
+    fitted = fit_mixtures(table(spark, data_dir, "orders"), "o_totalprice", 1, ["o_orderstatus"])
+    return fitted.select(
+        "o_orderstatus",
+        F.round(F.col("weights")[0], 9).alias("weight"),
+        F.round(F.col("means")[0], 4).alias("mean"),
+        F.round(F.col("variances")[0], 2).alias("variance"),
+    )
+
+
 @query("gmm_cluster")
 def gmm_cluster(spark, data_dir):
     """Line quantities grouped into three sizes, with the share of each."""
