@@ -34,8 +34,10 @@ _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 SAMPLE_ROWS = 4000
 #: Members of one bucket that one task compares.
 CHUNK = 4096
-#: Cost of one probe row against one candidate pair, for the choice of thresholds.
-PROBE_COST = 150.0
+#: Cost of one probe row, shuffled and sorted, against one candidate pair, compared in numpy.
+PROBE_COST = 2000.0
+#: One in so many fingerprints is taken to tell which buckets are large.
+BUCKET_SAMPLE = 16
 #: Odd multipliers that turn one 64-bit hash into further ones.
 _MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -255,8 +257,20 @@ def _linked(keys: np.ndarray, sizes: np.ndarray, a: int, others: np.ndarray, rul
 
 
 def spanning_links(keys: np.ndarray, sizes: np.ndarray, probe: np.ndarray, rule: tuple) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members, where two probes are not compared."""
-    filed, probing = np.nonzero(~probe)[0], np.nonzero(probe)[0]
+    """A spanning forest of the links between members, where two probes are not compared.
+
+    First all pairs are compared on their first 64 bits, in blocks; most members differ from all others there. The
+    rest are searched member by member, each against those not yet visited.
+    """
+    filed = np.nonzero(~probe)[0]
+    first, near = np.ascontiguousarray(keys[:, 0]), np.zeros(len(keys), bool)
+    for a in range(0, len(filed), 256):
+        part = filed[a : a + 256]
+        close = np.bitwise_count(first[part, None] ^ first[None, :]) <= rule[0]
+        close[np.arange(len(part)), part] = False
+        near[part] |= close.any(1)
+        near |= close.any(0)
+    filed, probing = filed[near[filed]], np.nonzero(probe & near)[0]
     out: list[tuple[int, int]] = []
     for seed in filed.tolist():
         todo = [seed]
@@ -339,21 +353,19 @@ def link_fingerprints(
     sample = hash_order_sample(nodes.select("key"), F.col("key"), SAMPLE_ROWS, rows).collect()
     drawn = np.array([int.from_bytes(r[0][:8], "big") for r in sample], np.uint64)
     layout = allocate(drawn, max_bits, max(rows, 1), 1.0 if size_ratio is None else 0.15)
-    spread = map_batches(
-        nodes.select("key", "size"),
-        lambda: _probe(layout, size_ratio),
-        "bucket bigint, probe boolean, key binary, size int",
-    )
-    # Buckets of one member, and buckets without a filed one, can't link.
-    counts = spread.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"), F.max((~F.col("probe")).cast("int")).alias("filed")
-    )
-    live = counts.where((F.col("members") > 1) & (F.col("filed") == 1)).select(
-        "bucket", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")
-    )
-    placed = spread.join(live, "bucket").withColumn(
-        "chunk", F.pmod(F.xxhash64("key", "probe"), F.col("chunks").cast("bigint")).cast("int")
-    )
+
+    def probes(some_nodes: DataFrame) -> DataFrame:
+        columns = "bucket bigint, probe boolean, key binary, size int"
+        return map_batches(some_nodes.select("key", "size"), lambda: _probe(layout, size_ratio), columns)
+
+    spread = probes(nodes)
+    # Large buckets are dealt as pairs of chunks. A sample tells which they are: an estimate that is off
+    # changes what a task holds, not what is compared.
+    some = F.pmod(F.xxhash64("key"), F.lit(BUCKET_SAMPLE)) == 0
+    seen = probes(nodes.where(some)).groupBy("bucket").agg((F.count(F.lit(1)) * BUCKET_SAMPLE).alias("members"))
+    large = seen.where(F.col("members") > CHUNK).select("bucket", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
+    placed = spread.join(materialize(large, "large-buckets"), "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("key", "probe"), F.col("chunks").cast("bigint")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "probe", "key", "size"
     )
