@@ -38,8 +38,8 @@ CHUNK = 4096
 PROBE_COST = 2000.0
 #: One in so many fingerprints is taken to tell which buckets are large.
 BUCKET_SAMPLE = 16
-#: Odd multipliers that turn one 64-bit hash into further ones.
-_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Odd multiples of this turn one 64-bit hash into further ones.
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -63,7 +63,7 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     for k in range(words):
         mixed = hashes
         if k:
-            mixed = hashes * np.uint64(_MIXERS[k - 1])
+            mixed = hashes * np.uint64(_GOLDEN * (2 * k + 1) % 2**64)
             mixed = mixed ^ (mixed >> np.uint64(29))
             mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
             mixed = mixed ^ (mixed >> np.uint64(32))
