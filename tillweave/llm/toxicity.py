@@ -245,8 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text"))
     # The drawn labels are at most TRAIN_ROWS short rows, so they can go to every task.
     rows = texts.join(F.broadcast(drawn), "label_id").withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "label_id"), F.lit(20)).cast("int"))
-    rows = rows.orderBy(F.xxhash64("label_id"), "label_id").limit(2 * TRAIN_ROWS)
-    rows = materialize(rows.select("label_id", "text", "toxic", "fold"), "toxicity-sample")
+    # Rows that repeat an id meet by partial aggregation: one text a label.
+    rows = rows.groupBy("label_id", "toxic", "fold").agg(F.max("text").alias("text"))
+    rows = materialize(rows, "toxicity-sample")
     lexicon = learn_lexicon(rows.where(F.col("fold") < 9).select("text", "toxic"))
     made = map_batches(
         rows.where(F.col("fold") >= 9).select("text", "fold", "toxic"), lambda: _feature_rows(lexicon), "fold int, toxic int, x array<double>"
