@@ -305,6 +305,34 @@ def test_viterbi_finds_the_best_path():
         assert value(field.decode(rows, bars)) == pytest.approx(value(best))
 
 
+def test_skipped_lines_have_no_tags():
+    draw = np.random.default_rng(5)
+    words = ["pwd", "=", "CorrectHorse", "the", "x-1", "Schlüssel", "sk-live-Ab3x", "+aGVs/bG8=", "a.b.c", "key:", "12", "A", "z" * 30]
+    texts = ["\n".join(" ".join(draw.choice(words, draw.integers(0, 9))) for _ in range(20)) for _ in range(20)]
+    for shift in (0.0, 2.0, 4.0, 8.0):  # from lines that hold many tags to lines that hold none
+        field = secrets.Field(draw.normal(size=(secrets._BASES[-1], 3)), draw.normal(size=(3, 3)))
+        field.move[secrets.O, secrets.I] = secrets._NEVER
+        field.emit[:, secrets.O] += shift / 8
+        for text, got in zip(texts, secrets.Scanner(field).spans(texts)):
+            want, at = [], 0
+            for line in text.split("\n"):
+                want += [(at + s, at + e) for s, e in secrets.line_spans(line, field, secrets.file_class(text))]
+                at += len(line) + 1
+            assert got == want
+
+
+def test_secrets_of_letters_phrases_and_short_heads_are_found(spark):
+    field = secrets.fit(spark.read.parquet(f"{LARGE}/documents.parquet"), "doc_id", "text")
+    for left, secret in [
+        ("pwd = ", "CorrectHorse"),
+        ("passphrase = '", "purple-monkey-dishwasher"),
+        ("credential = '", "Schlüsselbund"),
+        ("auth = ", "sk-live-Ab3xQ9ZtLm27"),
+    ]:
+        assert secrets.Scanner(field).spans([left + secret]) == [[(len(left), len(left) + len(secret))]]
+    assert secrets.Scanner(field).spans(["the key to success is work", "the password is wrong"]) == [[], []]
+
+
 def test_added_spans_never_touch_base_ones(spark):
     texts = dict(rows_of(MEDIUM, "documents", "doc_id, text"))
     for r in QUERIES["op7_secret_scan"](spark, MEDIUM).collect():

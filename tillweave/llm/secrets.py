@@ -4,9 +4,9 @@ Tokens are tagged as begin, inside or outside of a secret from their shape, thei
 the file, decoded by Viterbi. The field is trained here: the fixed patterns label a bounded sample of
 documents, whose secrets are also replaced by made-up ones of other alphabets.
 
-Two constraints are part of the field: "begin" needs a token of some length with a digit in it, or a very long
-one, and "inside" needs a token that touches the one before. A line without a possible beginning is thus
-all "outside", so that only the other lines of a text need decoding.
+One constraint is part of the field: "inside" needs a token that touches the one before, so a secret lies in one
+white-space word. Any token may begin one. All tokens of a batch are scored at once; a line is decoded unless the
+learned weights prove that all "outside" is its best path: every word's best gain over "outside" is below zero.
 """
 
 from __future__ import annotations
@@ -38,8 +38,10 @@ TRAIN_TOKENS = 32
 #: Lines with and without secrets in training at most.
 TRAIN_SECRETS, TRAIN_PLAIN = 700, 1000
 ITERATIONS = 100
-#: Least characters of a token that may begin a secret: with a digit, and without.
-BEGIN_DIGIT, BEGIN_LETTERS = 6, 16
+#: Tokens scored at once, about; single lines are not cut.
+BLOCK_TOKENS = 200_000
+#: Room for the rounding of sums taken in another order; more lines are decoded, none is lost.
+_SLACK = 1e-6
 _NEVER = -1e9
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -115,13 +117,6 @@ def _length(token: str) -> int:
     return 0 if n < 2 else 1 if n < 6 else 2 if n < 10 else 3 if n < 16 else 4 if n < 24 else 5 if n < 48 else 6
 
 
-def may_begin(token: str) -> bool:
-    """Whether the field lets a secret begin with this token."""
-    if not token.isascii() or len(token) < BEGIN_DIGIT:
-        return False
-    return len(token) >= BEGIN_LETTERS or any(map(str.isdigit, token))
-
-
 def file_class(text: str) -> int:
     """How much a text looks like code or settings."""
     marks = text.count("=") + text.count(";") + text.count("{")
@@ -130,7 +125,7 @@ def file_class(text: str) -> int:
 
 
 def encode(line: str, file: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Token spans of a line, per token one feature index of each group, and what the constraints add per tag."""
+    """Token spans of a line, per token one feature index of each group, and what the constraint adds per tag."""
     spans, shapes, rows, bars = [], [], [], []
     for m in TOKEN.finditer(line):
         spans.append(m.span())
@@ -145,7 +140,7 @@ def encode(line: str, file: int) -> tuple[list[tuple[int, int]], np.ndarray, np.
             shapes[i + 1] if i + 1 < len(spans) else edge, near, glued, file,
         )
         rows.append([b + v for b, v in zip(_BASES, values)])
-        bars.append((0.0 if may_begin(line[s:e]) else _NEVER, 0.0 if glued else _NEVER, 0.0))
+        bars.append((0.0, 0.0 if glued else _NEVER, 0.0))
         since = 1 if shapes[i] == key else since + 1
     return spans, np.array(rows, np.int64).reshape(len(rows), 8), np.array(bars).reshape(len(rows), 3)
 
@@ -159,17 +154,24 @@ class Field:
 
     def decode(self, rows: np.ndarray, bars: np.ndarray) -> list[int]:
         """The best tag path; of equal ones the first tag in the order begin, inside, outside."""
-        scores = self.emit[rows].sum(1) + bars
-        best = scores[0].copy()
-        best[I] = _NEVER
-        back = np.zeros((len(rows), 3), np.int64)
-        for t in range(1, len(rows)):
-            step = best[:, None] + self.move
-            back[t] = step.argmax(0)
-            best = step.max(0) + scores[t]
-        path = [int(best.argmax())]
-        for t in range(len(rows) - 1, 0, -1):
-            path.append(int(back[t, path[-1]]))
+        scores = (self.emit[rows].sum(1) + bars).tolist()
+        move = self.move.T.tolist()
+        best = [scores[0][B], _NEVER, scores[0][O]]
+        back = []
+        for row in scores[1:]:
+            b, i, o = best
+            best, came = [], []
+            for (from_b, from_i, from_o), score in zip(move, row):
+                x, y, z = b + from_b, i + from_i, o + from_o
+                top, at = (x, B) if x >= y else (y, I)
+                if z > top:
+                    top, at = z, O
+                best.append(top + score)
+                came.append(at)
+            back.append(came)
+        path = [best.index(max(best))]
+        for came in reversed(back):
+            path.append(came[path[-1]])
         return path[::-1]
 
 
@@ -260,6 +262,9 @@ _ALPHABETS = (
     "abcdefghijklmnopqrstuvwxyz0123456789",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
     "0123456789abcdefghijklmnopqrstuvwxyz-",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "abcdefghijklmnopqrstuvwxyz---",
+    "abcdefghijklmnopqrstuvwxyzäöüßéèñçøåABCDEFGHIJKLMNOPQRSTUVWXYZ",
 )
 
 
@@ -272,7 +277,7 @@ def _example(line: str, parts: list[tuple[int, int]], file: int) -> tuple[np.nda
         last = None
         for i, (a, b) in enumerate(spans):
             if a >= s and b <= e:
-                if last is None and bars[i, B] == 0:
+                if last is None:
                     tags[i], last = B, i
                 elif last == i - 1 and bars[i, I] == 0:
                     tags[i], last = I, i
@@ -302,7 +307,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> Field | None:
         examples.append(made)
         s, e = parts[0]
         for k, alphabet in enumerate(_ALPHABETS):  # another secret, in the same place or after another keyword
-            size = int(rng.integers(12, 48))
+            size = int(rng.integers(8, 36))
             fake = "".join(rng.choice(list(alphabet), size))
             left = r["line"][:s]
             if k % 2:
@@ -323,51 +328,139 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> Field | None:
 # Scan
 
 
-class _Possible(dict):
-    """Whether a secret may begin inside a white-space word; made when first seen."""
-
-    def __missing__(self, word: str) -> bool:
-        found = len(word) >= BEGIN_DIGIT and any(may_begin(m[0]) for m in TOKEN.finditer(word))
-        if len(self) > 300_000:  # only a cache: bounded, and made anew
-            self.clear()
-        self[word] = found
+class _Words(dict):
+    """Number of a white-space word, given when first seen; shape and length class of the tokens of all words."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.codes: list[int] = []
+        self.starts = [0]
+
+    def __missing__(self, word: str) -> int:
+        self.codes += [shape(m[0]) * LENGTHS + _length(m[0]) for m in TOKEN.finditer(word)]
+        self.starts.append(len(self.codes))
+        self[word] = number = len(self.starts) - 2
+        return number
+
+
+class Scanner:
+    """Decodes the lines of texts for which all "outside" is not proven to be the best path."""
+
+    def __init__(self, field: Field) -> None:
+        self.field, self.words = field, _Words()
+        gain = field.emit[:, :2] - field.emit[:, 2:]
+        part = [gain[x:y] for x, y in zip(_BASES, _BASES[1:])]
+        self.own = (part[0][:, None] + part[1][None]).reshape(-1, 2)
+        self.before = (part[2][:, None] + part[3][None]).reshape(-1, 2)
+        self.after = (part[4][:, None, None, None] + part[5][:, None, None] + part[6][:, None] + part[7]).reshape(-1, 2)
+        # Moves against staying outside: into a tag at most, and out of a secret at most; a line's ends have none.
+        move = field.move - field.move[O, O]
+        self.into = np.array([max(0.0, move[:, B].max()), max(move[B, I], move[I, I])])
+        self.leave = max(0.0, move[B, O], move[I, O])
+
+    def open_lines(self, words: list[int], sizes: list[int], files: list[int]) -> np.ndarray:
+        """Which of the lines need decoding; ``words`` in a row, words of each line, file class of each line."""
+        out = np.zeros(len(sizes), bool)
+        if not words:
+            return out
+        number = np.array(words, np.int64)
+        starts = np.array(self.words.starts, np.int64)
+        codes = np.array(self.words.codes, np.int64)
+        long = starts[number + 1] - starts[number]
+        word_at = np.cumsum(long) - long
+        total = int(long.sum())
+        index = np.arange(total)
+        code = codes[np.repeat(starts[number] - word_at, long) + index]
+        shapes = code // LENGTHS
+        line_of_word = np.repeat(np.arange(len(sizes)), sizes)
+        line = np.repeat(line_of_word, long)
+        first = np.searchsorted(line, line)
+        edge = _SHAPE["edge"]
+        one, two, nxt = (np.full(total, edge) for _ in range(3))
+        one[1:], two[2:], nxt[:-1] = shapes[:-1], shapes[:-2], shapes[1:]
+        one[index == first] = edge
+        two[index - first < 2] = edge
+        nxt[:-1][line[1:] != line[:-1]] = edge
+        key = np.maximum.accumulate(np.where(shapes == _SHAPE["keyword"], index, -99))
+        last = np.full(total, -99)
+        last[1:] = key[:-1]
+        since = np.where(last >= first, index - last, 99)
+        near = np.searchsorted([2, 4, 7], since)
+        glued = np.ones(total, np.int64)
+        glued[word_at] = 0
+        after = ((nxt * NEAR + near) * GLUE + glued) * FILES + np.array(files, np.int64)[line]
+        gain = self.own[code] + self.before[one * len(SHAPES) + two] + self.after[after] + self.into
+        # A secret is one "begin" and then "inside" tokens of one word: no path through a word gains more than this.
+        inside = np.where(glued == 1, np.maximum(gain[:, I], 0.0), 0.0)
+        most = np.maximum.reduceat(gain[:, B], word_at) + np.add.reduceat(inside, word_at) + self.leave
+        out[line_of_word[most > -_SLACK]] = True
+        return out
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Per text the spans that the field tags, in code points."""
+        found: list[list[tuple[int, int]]] = [[] for _ in texts]
+        words: list[int] = []
+        sizes: list[int] = []
+        files: list[int] = []
+        lines: list[tuple[int, int, str]] = []
+
+        def flush() -> None:
+            for k in np.nonzero(self.open_lines(words, sizes, files))[0].tolist():
+                doc, at, line = lines[k]
+                found[doc] += [(at + s, at + e) for s, e in line_spans(line, self.field, files[k])]
+            for held in (words, sizes, files, lines):
+                held.clear()
+            if len(self.words) > 200_000:  # only a cache: bounded, and made anew
+                self.words = _Words()
+
+        for doc, text in enumerate(texts):
+            at, file = 0, file_class(text)
+            for line in text.split("\n"):
+                parts = line.split()
+                if parts:
+                    words.extend(map(self.words.__getitem__, parts))
+                    sizes.append(len(parts))
+                    files.append(file)
+                    lines.append((doc, at, line))
+                    if len(words) >= BLOCK_TOKENS:
+                        flush()
+                at += len(line) + 1
+        flush()
         return found
 
 
-def field_spans(text: str, field: Field, possible: dict[str, bool]) -> list[tuple[int, int]]:
-    """Spans that the field tags, in code points of the text."""
-    out, at, file = [], 0, None
-    for line in text.split("\n"):
-        if any(map(possible.__getitem__, line.split())):
-            file = file_class(text) if file is None else file
-            spans, rows, bars = encode(line, file)
-            if spans:
-                tags = field.decode(rows, bars)
-                i = 0
-                while i < len(tags):
-                    if tags[i] == B:
-                        j = i + 1
-                        while j < len(tags) and tags[j] == I and spans[j - 1][1] == spans[j][0]:
-                            j += 1
-                        out.append((at + spans[i][0], at + spans[j - 1][1]))
-                        i = j
-                    else:
-                        i += 1
-        at += len(line) + 1
+def line_spans(line: str, field: Field, file: int) -> list[tuple[int, int]]:
+    """Spans that the field tags in one line, decoded whole."""
+    out: list[tuple[int, int]] = []
+    spans, rows, bars = encode(line, file)
+    if not spans:
+        return out
+    tags = field.decode(rows, bars)
+    i = 0
+    while i < len(tags):
+        if tags[i] == B:
+            j = i + 1
+            while j < len(tags) and tags[j] == I and spans[j - 1][1] == spans[j][0]:
+                j += 1
+            out.append((spans[i][0], spans[j - 1][1]))
+            i = j
+        else:
+            i += 1
     return out
 
 
 def _scan(field: Field | None):
-    possible = _Possible()
+    scanner = Scanner(field) if field is not None else None
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, hashes, spans = [[], [], []], [], []
-        for text in batch.column(1):
-            body = text.as_py() or ""
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        tagged = scanner.spans(texts) if scanner is not None else [[] for _ in texts]
+        for body, more in zip(texts, tagged):
             base = base_spans(body)
             every = base
-            if field is not None:
-                added = [(s, 3, e) for s, e in field_spans(body, field, possible) if not any(s < y and x < e for x, _, y in base)]
+            if more:
+                added = [(s, 3, e) for s, e in more if not any(s < y and x < e for x, _, y in base)]
                 every = sorted(base + added)
             for k in range(3):
                 counts[k].append(sum(kind == k for _, kind, _ in base))
