@@ -333,6 +333,15 @@ def test_secrets_of_letters_phrases_and_short_heads_are_found(spark):
     assert secrets.Scanner(field).spans(["the key to success is work", "the password is wrong"]) == [[], []]
 
 
+def test_rare_secrets_are_drawn_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "TRAIN_DOCS", 20)
+    rows = [(i, f"plain words of number {i}" if i % 1000 else f'password = "Ab3dE{i}xYz"') for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [r["text"] for r in secrets.drawn_texts(docs, "doc_id", "text").collect()]
+    assert len(texts) == 23 and sum("password" in t for t in texts) == 3
+    assert secrets.fit(docs, "doc_id", "text") is not None
+
+
 def test_added_spans_never_touch_base_ones(spark):
     texts = dict(rows_of(MEDIUM, "documents", "doc_id, text"))
     for r in QUERIES["op7_secret_scan"](spark, MEDIUM).collect():

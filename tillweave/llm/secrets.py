@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
 Tokens are tagged as begin, inside or outside of a secret from their shape, their neighbours and features of
-the file, decoded by Viterbi. The field is trained here: the fixed patterns label a bounded sample of
-documents, whose secrets are also replaced by made-up ones of other alphabets.
+the file, decoded by Viterbi. The field is trained here: the fixed patterns label all documents; a bounded sample
+of those with a span, whose secrets are also replaced by made-up ones of other alphabets, and one of those without
+are learned from.
 
 One constraint is part of the field: "inside" needs a token that touches the one before, so a secret lies in one
 white-space word. Any token may begin one. All tokens of a batch are scored at once; a line is decoded unless the
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillweave.llm.common import hash_order_sample, map_batches, seeded
+from tillweave.llm.common import hash_order_sample, map_batches, materialize, seeded
 
 # The patterns and least lengths of the base kinds.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -30,7 +31,8 @@ KINDS = ("assign", "access", "hex", "crf")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
-#: Documents that training sees at most, those with the smallest id hash; lines of one of them; characters of a line.
+#: Documents with a base span, and as many without, that training sees at most, drawn by hash out of all data; lines of
+#: one of them; characters of a line.
 TRAIN_DOCS = 8000
 TRAIN_LINES = 4
 TRAIN_CHARS = 160
@@ -287,16 +289,39 @@ def _example(line: str, parts: list[tuple[int, int]], file: int) -> tuple[np.nda
     return rows, bars, tags
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str) -> Field | None:
-    """Train on at most TRAIN_DOCS documents; None where the fixed patterns find nothing in them."""
+def _mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Batch of (h, text) to (h, labelled): whether the text holds a base span."""
+    found = pa.array([bool(base_spans(t.as_py())) for t in batch.column(1)], pa.bool_())
+    return pa.RecordBatch.from_arrays([batch.column(0), found], ["h", "labelled"])
+
+
+def drawn_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text): at most TRAIN_DOCS texts with a base span and as many without; equal rows count once."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    drawn = hash_order_sample(rows.select("id", "text"), F.col("id"), TRAIN_DOCS, rows.count()).select("text")
+    rows = rows.select(F.xxhash64("id", "text").alias("h"), "text")
+    marks = map_batches(rows, lambda: _mark, "h bigint, labelled boolean").distinct()
+    marks = materialize(marks, "secret-marks")
+    sizes = {r["labelled"]: r["count"] for r in marks.groupBy("labelled").count().collect()}
+    parts = [
+        hash_order_sample(marks.where(F.col("labelled") == kind).select("h"), F.col("h"), TRAIN_DOCS, sizes.get(kind, 0))
+        for kind in (True, False)
+    ]
+    drawn = materialize(parts[0].unionByName(parts[1]).distinct(), "secret-sample")
+    # At most twice TRAIN_DOCS short rows, so they can go to every task; equal rows meet by partial aggregation.
+    return rows.join(F.broadcast(drawn), "h").groupBy("h").agg(F.max("text").alias("text")).select("text")
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str) -> Field | None:
+    """Train on the drawn documents; None where the fixed patterns find nothing in any document."""
+    drawn = drawn_texts(docs, id_col, text_col)
     schema = "line string, starts array<int>, ends array<int>, file int"
     got = map_batches(drawn, lambda: _cut_lines, schema).collect()
     got.sort(key=lambda r: (r["line"], r["file"]))
     rng = seeded(3)
+    got = [got[i] for i in rng.permutation(len(got))]
+    held = [r for r in got if r["starts"]][:TRAIN_SECRETS] + [r for r in got if not r["starts"]][:TRAIN_PLAIN]
     examples, plain = [], []
-    for r in got:
+    for r in held:
         parts = list(zip(r["starts"], r["ends"]))
         made = _example(r["line"], parts, r["file"])
         if made is None:
@@ -476,8 +501,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_assign, n_access, n_hex, base_sha256, spans): one row per input row.
 
     ``spans`` lists kind:start:end of the fixed patterns and, as ``crf``, what the field adds outside of them,
-    by start and then kind. A null or empty text has no spans. Without any base span in the training sample
-    only the fixed patterns are listed. Repeated rows get equal results; an empty table gives no rows. Other
+    by start and then kind. A null or empty text has no spans. Where no document has a base span,
+    only the fixed patterns are listed, which then find nothing. Repeated rows get equal results; an empty table gives no rows. Other
     columns are not read.
     """
     field = fit(docs, id_col, text_col)
