@@ -200,6 +200,12 @@ def test_boosting_and_calibration():
     assert ((score > 0.5) == y[2500:]).mean() > 0.98
 
 
+def test_capitals_count_alike_at_every_length():
+    for word in ("Ärger und École ", "Жизнь Москва ", "HELLO There "):
+        rates = [toxicity.features(word * n, toxicity._Tokens({}))[toxicity.FEATURES.index("capital_rate")] for n in (3, 300)]
+        assert rates[0] == rates[1] == sum(map(str.isupper, word)) / len(word) > 0
+
+
 def test_hidden_insults_count():
     tokens = toxicity._Tokens({})
     plain, hidden = (toxicity.features(t, tokens) for t in ("you are an idiot", "you are an 1d10t!!"))
