@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from tillweave.llm import decontam, langid, line_dedup, mixing, search, secrets, simhash, token_counts, toxicity, warc
+from tillweave.llm.queries import QUERIES
 
 LONG = ("the and of to in word " * 40 + "\n") * 250  # 220,000 characters
 ONE_LINE = "x1y2 " * 40_000
@@ -138,6 +139,34 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert kept <= got and len(got - kept) <= 2
 
 
+def test_contradicting_targets_do_not_pass_the_mixing_stage(spark):
+    rows = [(i, "word " * (1 + i % 7), *(("en", "a") if i % 3 else ("de", "b"))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    plan = mixing.mixing_plan(docs, targets={"source": {"a": 1, "b": 1}, "lang": {"en": 9, "de": 1}}).first()
+    assert not plan["converged"] and plan["marginal_error"] > 0.1
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.sample_to_targets(docs, targets={"source": {"a": 1, "b": 1}, "lang": {"en": 9, "de": 1}})
+
+
+def test_flattened_defaults_that_contradict_come_from_one_cell_table(spark, tmp_path):
+    # Each source has one language, but two share a language: flattened source and language shares differ.
+    cells = [("a", "en", "prose", 900), ("b", "en", "prose", 50), ("c", "de", "prose", 50)]
+    got = mixing.consistent_weights(spark.createDataFrame(cells, "source string, lang string, topic string, base long")).collect()
+    assert all(r["converged"] for r in got)
+    total = sum(base**0.9 for *_, base in cells)
+    for r in got:
+        assert r["weight"] == pytest.approx(1000 * r["base"] ** 0.9 / total)
+    rows = [(i, "word " * 20, "de" if i % 20 == 1 else "en", "abc"[(i % 20 == 1) * 2 + (i % 20 == 0)]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert not mixing.mixing_plan(docs).first()["converged"]
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    with pytest.warns(RuntimeWarning, match="targets are not met"):
+        QUERIES["op2_source_mixing"](spark, folder)
+    kept = mixing.sample_to_targets(docs).groupBy("source").count().collect()
+    assert {r["source"] for r in kept} == {"a", "b", "c"} and {r["source"]: r["count"] for r in kept}["b"] == 20
+
+
 def test_whole_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < out.count() <= 200

@@ -98,6 +98,26 @@ def cell_weights(
     )
 
 
+def consistent_weights(cells: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
+    """Weights whose three marginals can always be met: the tokens of each cell to the power ``temperature``.
+
+    The columns are those of ``cell_weights``. The goals are the marginals of this one table, so none contradicts another.
+    """
+    flat = F.when(F.col("base") > 0, F.pow(F.col("base").cast("double"), F.lit(temperature))).otherwise(F.lit(0.0))
+    sums = cells.agg(F.sum("base").cast("double").alias("all"), F.sum(flat).alias("flat")).first()
+    scale = sums["all"] / sums["flat"] if sums["flat"] else 0.0
+    work = materialize(cells.select(*DIMENSIONS, "base", (flat * F.lit(scale)).alias("weight")), "mix-cells")
+    ratio = F.when(F.col("base") > 0, F.col("weight") / F.col("base"))
+    return work.select(
+        *DIMENSIONS,
+        "base",
+        "weight",
+        F.coalesce(ratio / work.agg(F.max(ratio)).scalar(), F.lit(1.0)).alias("probability"),
+        F.lit(0.0).alias("marginal_error"),
+        F.lit(True).alias("converged"),
+    )
+
+
 def _keyed(docs: DataFrame, source: Column, lang: Column, topic: Column, text: Column) -> list[Column]:
     blank = F.lit("")
     return [
@@ -119,11 +139,12 @@ def mixing_plan(
     temperature: float = TEMPERATURE,
     seed: int = 7,
 ) -> DataFrame:
-    """(id, source, lang, topic, tokens, probability, kept): one row per input row.
+    """(id, source, lang, topic, tokens, probability, kept, marginal_error, converged): one row per input row.
 
     A null source, language or topic counts as the empty string. A null or empty text has no tokens and the
     probability of its cell. ``kept`` compares the probability with a hash of id and seed, so rows that repeat
-    an id in one cell are kept or left together. An empty table gives no rows. Other columns are not read.
+    an id in one cell are kept or left together. ``marginal_error`` and ``converged`` are those of ``cell_weights``,
+    the same in all rows: where ``converged`` is false, the sample does not meet its targets. An empty table gives no rows. Other columns are not read.
     """
     topic = topic_of(F.col(text_col)) if topic is None else topic
     rows = docs.select(
@@ -131,13 +152,15 @@ def mixing_plan(
     )
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("base"))
     chances = materialize(cell_weights(materialize(cells, "mix-cells"), targets, temperature), "mix-chances")
-    out = rows.join(chances.select(*DIMENSIONS, "probability"), list(DIMENSIONS))
+    out = rows.join(chances.select(*DIMENSIONS, "probability", "marginal_error", "converged"), list(DIMENSIONS))
     return out.select(
         F.col("id").alias(id_col),
         *DIMENSIONS,
         "tokens",
         "probability",
         (uniform(F.col("id"), seed) < F.col("probability")).alias("kept"),
+        "marginal_error",
+        "converged",
     )
 
 
@@ -152,14 +175,24 @@ def sample_to_targets(
     temperature: float = TEMPERATURE,
     seed: int = 7,
 ) -> DataFrame:
-    """The documents drawn by ``mixing_plan``, with all their columns."""
+    """The documents drawn by ``mixing_plan``, with all their columns, where its targets can be met.
+
+    Where raking does not converge, given targets are an error; flattened ones are taken from one flattened table of
+    the cells instead, as those of ``mixing_plan`` contradict each other.
+    """
     topic = topic_of(F.col(text_col)) if topic is None else topic
     keys = [k.alias(f"__mix_{n}") for k, n in zip(
         _keyed(docs, F.col(source_col), F.col(lang_col), topic, F.col(text_col)), (*DIMENSIONS, "tokens"))]
     cells = docs.select(*keys).groupBy(*[F.col(f"__mix_{d}").alias(d) for d in DIMENSIONS]).agg(
         F.sum("__mix_tokens").alias("base")
     )
-    chances = materialize(cell_weights(materialize(cells, "mix-cells"), targets, temperature), "mix-chances")
+    cells = materialize(cells, "mix-cells")
+    chances = materialize(cell_weights(cells, targets, temperature), "mix-chances")
+    failed = chances.where(~F.col("converged")).select("marginal_error").first()
+    if failed is not None and targets:
+        raise ValueError(f"targets contradict each other or the documents: a share is off by {failed['marginal_error']:.3g}")
+    if failed is not None:
+        chances = materialize(consistent_weights(cells, temperature), "mix-chances")
     named = chances.select(*[F.col(d).alias(f"__mix_{d}") for d in DIMENSIONS], F.col("probability").alias("__mix_chance"))
     marked = docs.select("*", *keys[:3]).join(named, [f"__mix_{d}" for d in DIMENSIONS])
     return marked.where(uniform(F.col(id_col), seed) < F.col("__mix_chance")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,9 +112,15 @@ FROM rows JOIN chances USING (source, lang, topic)
 
 @query("op2_source_mixing", _mixing_sql())
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raked sampling of all documents; targets are the observed shares flattened by the temperature."""
+    """Raked sampling of all documents; targets are the observed shares flattened by the temperature.
+
+    The columns are those of the SQL twin, so a sample that misses its targets is told by a warning.
+    """
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
-    return plan.withColumn("probability", F.round("probability", 6))
+    state = plan.select("converged", "marginal_error").first()
+    if state is not None and not state["converged"]:
+        warnings.warn(f"op2_source_mixing: targets are not met, a share is off by {state['marginal_error']:.3g}", RuntimeWarning)
+    return plan.withColumn("probability", F.round("probability", 6)).drop("marginal_error", "converged")
 
 
 WARC_SQL = """
