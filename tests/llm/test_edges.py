@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from tillweave.llm import decontam, langid, line_dedup, mixing, search, secrets, simhash, token_counts, toxicity, warc
+from tillweave.llm import decontam, langid, line_dedup, mixing, near_copies, search, secrets, simhash, token_counts, toxicity, warc
 from tillweave.llm.queries import QUERIES
 
 LONG = ("the and of to in word " * 40 + "\n") * 250  # 220,000 characters
@@ -139,6 +139,35 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert kept <= got and len(got - kept) <= 2
 
 
+def test_near_copies_are_those_of_similarity_on_sets(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(near_copies, "CHUNK", 8)
+    draw = random.Random(2)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(30):
+        words = [word() for _ in range(150)]
+        texts += [" ".join(words), " ".join(words + words)]  # twice over: four new shingles
+        for c in range(1, 8):  # similarities on both sides of 0.8
+            changed = list(words)
+            for at in draw.sample(range(150), c):
+                changed[at] = word()
+            texts.append(" ".join(changed))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    low = list(range(len(texts)))
+    pairs = [(a, b) for a in low for b in low[a + 1 : a + 9] if a // 9 == b // 9 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while True:
+        before = list(low)
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            break
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert got == set(low) and 30 < len(got) < 200
+
+
 def test_contradicting_targets_do_not_pass_the_mixing_stage(spark):
     rows = [(i, "word " * (1 + i % 7), *(("en", "a") if i % 3 else ("de", "b"))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
