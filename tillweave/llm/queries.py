@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import warnings
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import decontam, langid, line_dedup, mixing, search, secrets, simhash, token_counts, toxicity, warc
-from tillweave.llm.common import small_batches
+from tillweave.llm import decontam, langid, line_dedup, mixing, periodic_runs, search, secrets, simhash, token_counts, toxicity, warc
+from tillweave.llm.common import map_batches, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -184,3 +186,41 @@ def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = search.top_k(docs, docs.where(F.col("doc_id") % 20 == 0))
     return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _with_period(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Give one text in ten a period from some word on, by the checksum of its id; others stay as they are."""
+    made = []
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        body = text.as_py()
+        mark = zlib.crc32(str(doc_id).encode())
+        words = body.split() if body and doc_id is not None and mark % 10 == 0 else []
+        if words:
+            n, g = len(words), mark // 10
+            a = g % n
+            period = 1 + (n - a) // (3 + g % 8)
+            times = -(-(n - a) // period)
+            body = b" ".join(words[:a] + (words[a : a + period] * times)[: n - a])
+        made.append(body)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "body"])
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, one text in ten rewritten with a period."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("body"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = map_batches(docs, lambda: _with_period, f"doc_id {kind}, body binary").select("doc_id", F.col("body").cast("string").alias("text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(F.expr("best.length * 1000 div best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
