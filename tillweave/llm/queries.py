@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import decontam, langid, line_dedup, mixing, periodic_runs, search, secrets, simhash, token_counts, toxicity, warc
+from tillweave.llm import decontam, langid, line_dedup, mixing, periodic_runs, search, secrets, simhash, token_counts, toxicity, warc, whitening
 from tillweave.llm.common import map_batches, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,3 +224,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of all usable embeddings, scaled to whole numbers."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(whitening.usable(F.col("embedding")))
+    return whitening.whiten(vectors.withColumn("embedding", whitening.whole_numbers(F.col("embedding"), 1024, 100000)))
