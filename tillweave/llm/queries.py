@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import decontam, langid, line_dedup, mixing, periodic_runs, search, secrets, simhash, token_counts, toxicity, warc, whitening
+from tillweave.llm import decontam, langid, line_dedup, mixing, passage_dedup, periodic_runs, search, secrets, simhash, token_counts, toxicity, warc, whitening
 from tillweave.llm.common import map_batches, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,3 +231,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight whitened components of all usable embeddings, scaled to whole numbers."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(whitening.usable(F.col("embedding")))
     return whitening.whiten(vectors.withColumn("embedding", whitening.whole_numbers(F.col("embedding"), 1024, 100000)))
+
+
+@query("op13_passage_dedup")
+def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes that occur again, removed from all documents."""
+    out = passage_dedup.drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
