@@ -75,6 +75,16 @@ def boundaries(numbers: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         digests, u = _doubled(digests, u), 2 * u
 
 
+def _with_tiles(wanted: bool):
+    """Keep the rows (id, key, text) whose text has a boundary in a tile, or those without any."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [any(boundaries(word_numbers((t.as_py() or b"").split()))) is wanted for t in batch.column(2)]
+        return batch.filter(pa.array(found, pa.bool_()))
+
+    return work
+
+
 def _tiles(batch: pa.RecordBatch) -> pa.RecordBatch:
     """(id, key, text) to rows of tiles: octave, first and last boundary, place of the first word, words."""
     rows, octaves, firsts, lasts, lows, words = [], [], [], [], [], []
@@ -214,15 +224,19 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
     body = F.col(text_col).cast("string").cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(body, F.lit(b"")))).alias("key"), body.alias("text"))
-    tiles = map_batches(rows, lambda: _tiles, f"id {kind}, key binary, octave bigint, first bigint, last bigint, low bigint, words binary")
+    shape = f"id {kind}, key binary, text binary"
+    # Only texts with tiles are shuffled: they are written, and their runs meet this table. The others, told by the
+    # same function, pass in a second reading.
+    tiled = materialize(map_batches(rows, lambda: _with_tiles(True), shape), "periodic-texts")
+    plain = map_batches(rows, lambda: _with_tiles(False), shape).select("id", "text", F.lit(None).cast(RUNS).alias("runs"))
+    tiles = map_batches(tiled, lambda: _tiles, f"id {kind}, key binary, octave bigint, first bigint, last bigint, low bigint, words binary")
     dealt = tiles.repartition("key", "octave", "first")
     fragments = map_batches(dealt, lambda: _solve, f"id {kind}, key binary, period bigint, start bigint, end bigint")
     runs = stitched(fragments).groupBy("id", "key")
     runs = runs.agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
-    # Written, so that its true size decides how it meets the texts.
     runs = materialize(runs.select(F.col("id").alias("run_id"), F.col("key").alias("run_key"), "runs"), "periodic-runs")
     same = (F.col("key") == F.col("run_key")) & F.col("id").eqNullSafe(F.col("run_id"))
-    joined = rows.join(runs, same, "left").select("id", "text", "runs")
+    joined = tiled.join(runs, same, "left").select("id", "text", "runs").unionByName(plain)
     out = map_batches(joined, lambda: _collapse, f"id {kind}, n_words bigint, runs {RUNS}, collapsed binary")
     return out.select(
         F.col("id").alias(id_col),
