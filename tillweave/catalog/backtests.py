@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillweave.catalog.pipelines import flagged_sales, regressors
 from tillweave.catalog.registry import query
-from tillweave.operators import regression
+from tillweave.operators import regression, rolling
 from tillweave.operators.relational import unnest_struct
 from tillweave.operators.windows import day_trend, linear_ramp, rolling_std_days
 from tillweave.plans import backtest, design, events
@@ -178,6 +178,75 @@ def lasso_one_regressor(spark, data_dir):
     )
 
 
+TWO_REGRESSORS = {
+    **CTES,
+    "two_rows": """SELECT state_id, store_id, CAST(sales AS DOUBLE) AS y, trend / 100.0::DOUBLE AS x1, sin(trend / 58.0::DOUBLE) AS x2,
+        0.2::DOUBLE + CAST(row_number() OVER (PARTITION BY store_id ORDER BY date) - 1 AS DOUBLE)
+            / (count(*) OVER (PARTITION BY store_id) - 1) * 0.8::DOUBLE AS w FROM store_days""",
+    "two_sums": """SELECT state_id, store_id, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS c1,
+        covar_pop(x2, y) AS c2, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM two_rows GROUP BY state_id, store_id""",
+}
+TWO_ALPHA = 30.0
+# Every set of columns in use and every choice of signs has one stationary point; the least valid one is the minimum.
+TWO_REGRESSORS["two_best"] = f"""
+SELECT state_id, store_id, arg_min({{'b1': b1, 'b2': b2}}, 0.5 * (b1 * b1 * s11 + 2 * b1 * b2 * s12 + b2 * b2 * s22) - b1 * c1 - b2 * c2
+    + {TWO_ALPHA} * (abs(b1) + abs(b2))) AS b, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my
+FROM (
+  SELECT *, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM two_sums
+  UNION ALL SELECT *, sign(c1) * greatest(abs(c1) - {TWO_ALPHA}, 0) / s11, 0 FROM two_sums
+  UNION ALL SELECT *, 0, sign(c2) * greatest(abs(c2) - {TWO_ALPHA}, 0) / s22 FROM two_sums
+  UNION ALL SELECT * EXCLUDE (t1, t2) FROM (
+    SELECT s.*, ((c1 - {TWO_ALPHA} * t1) * s22 - (c2 - {TWO_ALPHA} * t2) * s12) / (s11 * s22 - s12 * s12) AS b1,
+           ((c2 - {TWO_ALPHA} * t2) * s11 - (c1 - {TWO_ALPHA} * t1) * s12) / (s11 * s22 - s12 * s12) AS b2, t1, t2
+    FROM two_sums s, (SELECT unnest([-1.0, 1.0]) AS t1), (SELECT unnest([-1.0, 1.0]) AS t2))
+  WHERE b1 * t1 > 0 AND b2 * t2 > 0)
+GROUP BY state_id, store_id"""
+
+
+def two_regressors(spark, data_dir):
+    day = F.col("trend")
+    return daily_store_sales(spark, data_dir).withColumns({"x1": day / 100.0, "x2": F.sin(day / 58.0)})
+
+
+def two_regressor_lasso(spark, data_dir):
+    keys = ["state_id", "store_id"]
+    return regression.fit_by_group(two_regressors(spark, data_dir), keys, ["x1", "x2"], "sales", alpha=TWO_ALPHA)
+
+
+@query(
+    "lasso_two_regressors",
+    """SELECT state_id, store_id, round(b.b1, 6) AS x1, round(b.b2, 6) AS x2, round(my - b.b1 * m1 - b.b2 * m2, 6) AS intercept, true AS converged
+       FROM two_best""",
+    TWO_REGRESSORS,
+)
+def lasso_two_regressors(spark, data_dir):
+    """Two columns against all stationary points; the duality gap says whether a fit is done."""
+    fitted = two_regressor_lasso(spark, data_dir)
+    spread = two_regressors(spark, data_dir).groupBy("state_id", "store_id").agg(F.var_pop("sales").alias("spread"))
+    return fitted.join(spread, ["state_id", "store_id"]).select(
+        "state_id", "store_id", *[F.round(F.col("coefficients")[i], 6).alias(c) for i, c in enumerate(["x1", "x2"])],
+        F.round("intercept", 6).alias("intercept"), (F.col("gap") <= regression.GAP_TOLERANCE * F.col("spread")).alias("converged"),
+    )
+
+
+@query(
+    "weighted_ols_two_regressors",
+    """SELECT state_id, store_id, round((c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12), 6) AS x1,
+              round((c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12), 6) AS x2
+       FROM (SELECT state_id, store_id, sum(w * x1 * x1) - sum(w * x1) * sum(w * x1) / sum(w) AS s11,
+                    sum(w * x2 * x2) - sum(w * x2) * sum(w * x2) / sum(w) AS s22, sum(w * x1 * x2) - sum(w * x1) * sum(w * x2) / sum(w) AS s12,
+                    sum(w * x1 * y) - sum(w * x1) * sum(w * y) / sum(w) AS c1, sum(w * x2 * y) - sum(w * x2) * sum(w * y) / sum(w) AS c2
+             FROM two_rows GROUP BY state_id, store_id)""",
+    TWO_REGRESSORS,
+)
+def weighted_ols_two_regressors(spark, data_dir):
+    """Weighted least squares on two columns, by Cramer's rule in SQL."""
+    keys = ["state_id", "store_id"]
+    panel = ramp_weighted(two_regressors(spark, data_dir))
+    fitted = regression.fit_by_group(panel, keys, ["x1", "x2"], "sales", weight="sample_weights")
+    return fitted.select(*keys, *[F.round(F.col("coefficients")[i], 6).alias(c) for i, c in enumerate(["x1", "x2"])])
+
+
 @query(
     "lasso_optimality",
     """SELECT state_id, store_id, variable, true AS optimal FROM (SELECT DISTINCT state_id, store_id FROM store_days),
@@ -206,6 +275,75 @@ def lasso_optimality(spark, data_dir):
     )
 
 
+SPLIT_ALPHA = 150.0
+SPLIT_FITS = {
+    **CTES,
+    "split_sales": f"""SELECT s.set_index, s.set_first_date, d.*, CASE WHEN d.date < s.set_first_date THEN 'train' ELSE 'pred' END AS set_type
+        FROM store_days d JOIN split_rows s ON d.date >= s.set_first_date - {TRAIN_DAYS} AND d.date < s.set_first_date + {TEST_DAYS}""",
+    "split_fits": f"""SELECT set_index, state_id, store_id, slope, my - slope * mx AS intercept
+        FROM (SELECT *, sign(c) * greatest(abs(c) - {SPLIT_ALPHA}, 0) / v AS slope
+              FROM (SELECT set_index, state_id, store_id, covar_pop(sales, trend) AS c, var_pop(trend) AS v, avg(sales) AS my, avg(trend) AS mx
+                    FROM split_sales WHERE set_type = 'train' GROUP BY set_index, state_id, store_id))""",
+}
+
+
+def split_fits(spark, data_dir):
+    """(panel, windows, coefficients): a lasso on the trend in every split and store, from cumulative sums."""
+    splits = sample_splits(spark, data_dir)
+    panel = daily_store_sales(spark, data_dir)
+    days = backtest.split_windows(panel.select("date", "trend").distinct(), splits)
+    known = days.withColumn("set_first_date", splits.first_date(F.col("set_index")))
+    windows = rolling.collect_windows(known, [], splits.train_days, splits.test_days)
+    grams = rolling.window_grams(panel, backtest.OVER, ["trend"], "sales", windows, [], {"lasso": None})
+    return panel, windows, regression.solve_models(grams, ["set_index", *backtest.OVER], ["trend"], {"lasso": ["trend"]}, SPLIT_ALPHA)
+
+
+@query(
+    "rolling_lasso_one_regressor",
+    "SELECT set_index, state_id, store_id, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM split_fits",
+    SPLIT_FITS,
+)
+def rolling_lasso_one_regressor(spark, data_dir):
+    """With one regressor the lasso of a split is a soft threshold of its covariance."""
+    _, _, fitted = split_fits(spark, data_dir)
+    return fitted.select(
+        "set_index", *backtest.OVER, F.round(F.col("coefficients")[0], 6).alias("slope"), F.round("intercept", 6).alias("intercept")
+    )
+
+
+@query(
+    "backtest_metrics_one_regressor",
+    """SELECT set_index, set_type, CAST(count(*) AS BIGINT) AS n, round(sum(abs(sales - f)) / sum(sales), 6) AS wape,
+              round(sqrt(avg((sales - f) * (sales - f))), 6) AS rmse, round(sum(f) / sum(sales), 6) AS bias
+       FROM (SELECT r.*, intercept + slope * trend AS f FROM split_sales r JOIN split_fits USING (set_index, state_id, store_id))
+       GROUP BY set_index, set_type""",
+    SPLIT_FITS,
+)
+def backtest_metrics_one_regressor(spark, data_dir):
+    """Predictions of all splits and their errors per split."""
+    from tillweave.functions import metrics
+
+    panel, windows, fitted = split_fits(spark, data_dir)
+    rows = rolling.window_predictions(panel, fitted, backtest.OVER, ["trend"], "sales", windows, [], {"lasso": ["trend"]})
+    y, f = F.col("sales"), F.col("lasso_prediction")
+    measures = [F.round(getattr(metrics, name)(y, f), 6).alias(name) for name in ("wape", "rmse", "bias")]
+    return rows.groupBy("set_index", "set_type").agg(F.count(F.lit(1)).alias("n"), *measures)
+
+
+@query(
+    "rolling_std_per_split",
+    """SELECT set_index, set_type, date, state_id, store_id, round(coalesce(std, lead(std) OVER w), 6) AS rolling_row_std
+       FROM (SELECT *, stddev_samp(sales) OVER (PARTITION BY set_index, set_type, store_id ORDER BY date
+                       RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS std FROM split_sales)
+       WINDOW w AS (PARTITION BY set_index, set_type, store_id ORDER BY date)""",
+    SPLIT_FITS,
+)
+def rolling_std_per_split(spark, data_dir):
+    panel, windows, fitted = split_fits(spark, data_dir)
+    rows = rolling.window_predictions(panel, fitted, backtest.OVER, ["trend"], "sales", windows, [], {"lasso": ["trend"]})
+    return rows.select("set_index", "set_type", "date", *backtest.OVER, F.round("rolling_row_std", 6).alias("rolling_row_std"))
+
+
 def simple_coefficients(daily):
     """Straight line per store by aggregates, in the shape of fitted models.
     The second feature has coefficient 0."""
@@ -236,6 +374,24 @@ def predict_from_coefficients(spark, data_dir):
     return line_residuals(spark, data_dir)
 
 
+@query(
+    "backtest_counts",
+    f"""SELECT s.set_index, s.set_first_date, CASE WHEN f.date < s.set_first_date THEN 'train' ELSE 'pred' END AS set_type, f.state_id, f.store_id,
+               CAST(count(*) AS BIGINT) AS n, CAST(sum(f.sales) AS BIGINT) AS sales, CAST(count(*) AS BIGINT) AS predicted
+        FROM (SELECT o.date, p.state_id, p.store_id, sum(o.sales) AS sales FROM sales_oos o JOIN prodloc p ON o.id = p.id GROUP BY ALL) f
+        JOIN split_rows s ON f.date >= s.set_first_date - {TRAIN_DAYS} AND f.date < s.set_first_date + {TEST_DAYS}
+        GROUP BY ALL""",
+    CTES,
+)
+def backtest_counts(spark, data_dir):
+    """Rows, sales and predictions of the whole back-test per split, set and store."""
+    rows, _ = backtest.backtest_panel(store_panel(spark, data_dir), sample_splits(spark, data_dir))
+    both = F.col("lasso_prediction").isNotNull() & F.col("weigthed_lasso_prediction").isNotNull()
+    return rows.groupBy("set_index", "set_first_date", "set_type", *backtest.OVER).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("sales").alias("sales"), F.count_if(both).alias("predicted")
+    )
+
+
 @query("backtest_panel")
 def backtest_panel(spark, data_dir):
     """All splits, both models, train and test rows."""
@@ -246,35 +402,30 @@ def backtest_panel(spark, data_dir):
 @query("backtest_metrics")
 def backtest_metrics(spark, data_dir):
     """Errors of both models on train and test rows."""
-    from tillweave.functions import metrics
-
     rows, _ = backtest.backtest_panel(store_panel(spark, data_dir), sample_splits(spark, data_dir))
-    measures = []
-    for model in ("lasso", "weigthed_lasso"):
-        y, f = F.col("sales"), F.col(f"{model}_prediction")
-        for name in ("wape", "rmse", "bias"):
-            measures.append(getattr(metrics, name)(y, f).alias(f"{model}_{name}"))
-    return rows.groupBy("set_type").agg(*measures)
+    return backtest.error_metrics(rows, ["set_type"])
 
 
 @query(
     "coefficients_long",
-    "SELECT store_id, 'trend' AS variable, round(slope, 6) AS value FROM lines UNION ALL SELECT store_id, 'zero', 0.0 FROM lines",
-    LINES,
+    """SELECT state_id, store_id, 'x1' AS variable, round(b.b1, 6) AS value FROM two_best
+       UNION ALL SELECT state_id, store_id, 'x2', round(b.b2, 6) FROM two_best""",
+    TWO_REGRESSORS,
 )
 def coefficients_long(spark, data_dir):
-    fitted = simple_coefficients(daily_store_sales(spark, data_dir))
-    return regression.coefficients_long(fitted, ["store_id"], ["trend", "zero"]).withColumn("value", F.round("value", 6))
+    fitted = two_regressor_lasso(spark, data_dir)
+    return regression.coefficients_long(fitted, ["state_id", "store_id"], ["x1", "x2"]).withColumn("value", F.round("value", 6))
 
 
 @query(
     "unused_features",
-    "SELECT DISTINCT 'zero' AS variable FROM lines",
-    LINES,
+    """SELECT 'x1' AS variable FROM two_best WHERE b.b1 = 0 UNION SELECT 'x2' FROM two_best WHERE b.b2 = 0""",
+    TWO_REGRESSORS,
 )
 def unused_features(spark, data_dir):
-    fitted = simple_coefficients(daily_store_sales(spark, data_dir))
-    return regression.unused_features(regression.coefficients_long(fitted, ["store_id"], ["trend", "zero"]))
+    """Columns that the lasso leaves out for some store."""
+    fitted = two_regressor_lasso(spark, data_dir)
+    return regression.unused_features(regression.coefficients_long(fitted, ["state_id", "store_id"], ["x1", "x2"]))
 
 
 OUTLIERS = {

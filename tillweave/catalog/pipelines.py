@@ -32,8 +32,15 @@ def flagged_sales(spark, data_dir):
     return interim.sales_interim(tables.sales_long(spark, data_dir), SAMPLE_THRESHOLD)
 
 
+def stored_calendar(spark, data_dir):
+    """The calendar as a file, which it is in production: fits that read it often don't start from the order lines."""
+    path = scratch_folder(spark, "calendar") + "/calendar"
+    tables.calendar(spark, data_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def regressors(spark, data_dir):
-    calendar = tables.calendar(spark, data_dir)
+    calendar = stored_calendar(spark, data_dir)
     return design.regressor_table(
         calendars.snap_long(calendar),
         calendars.calendar_features(calendar),
@@ -311,9 +318,7 @@ def category_state_panel(spark, data_dir):
     return unnest_struct(panel, *EVENT_NAMES)
 
 
-@query("build_interim")
-def build_interim(spark, data_dir):
-    """Write every raw, interim and processed data set; list what was written."""
+def built_zones(spark, data_dir):
     inputs = runner.Inputs(
         sales_long=tables.sales_long(spark, data_dir),
         prodloc=tables.prodloc(spark, data_dir),
@@ -322,5 +327,19 @@ def build_interim(spark, data_dir):
         event_names=EVENT_NAMES,
     )
     root = scratch_folder(spark, "zones")
-    written = runner.build_all(spark, root, inputs, SAMPLE_THRESHOLD)
+    return root, runner.build_all(spark, root, inputs, SAMPLE_THRESHOLD)
+
+
+@query("build_interim")
+def build_interim(spark, data_dir):
+    """Write every raw, interim and processed data set; list what was written."""
+    root, written = built_zones(spark, data_dir)
     return runner.row_counts(spark, root, written)
+
+
+@query("build_backtest")
+def build_backtest(spark, data_dir):
+    """All zones, then the back-test of the written design matrix; its error metrics per split."""
+    root, _ = built_zones(spark, data_dir)
+    runner.build_backtest(spark, root)
+    return zones.read_latest(spark, root, "4.processed", "backtest_metrics")

@@ -145,13 +145,10 @@ def _start_means(k: int) -> list[float]:
     return [(i + 0.5) / k for i in range(k)]
 
 
-def _histogram(df: DataFrame, value_col: str, keys: list[str]) -> DataFrame:
+def _histogram(df: DataFrame, value_col: str, keys: list[str], count_col: str | None = None) -> DataFrame:
     x = F.col(quoted(value_col)).cast("double")
-    return (
-        df.where(F.col(quoted(value_col)).isNotNull())
-        .groupBy(*keys, x.alias("_x"))
-        .agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    )
+    n = F.count(F.lit(1)) if count_col is None else F.sum(quoted(count_col))
+    return df.where(F.col(quoted(value_col)).isNotNull()).groupBy(*keys, x.alias("_x")).agg(n.cast("double").alias("_n"))
 
 
 def _quantile_starts(x: np.ndarray, k: int) -> np.ndarray:
@@ -279,15 +276,16 @@ def fit_mixtures(
     tolerance: float = TOLERANCE,
     max_rounds: int = MAX_ROUNDS,
     small_group: int = SMALL_GROUP_VALUES,
+    count_col: str | None = None,
 ) -> DataFrame:
     """Fit one mixture per group, all groups in the same jobs.
 
     Returns (groups, weights, means, variances, ll), cut from the lineage of
-    the data by a checkpoint.
+    the data by a checkpoint. With ``count_col`` a row stands for that many.
     """
     ensure_checkpoint_dir(df.sparkSession)
     k, keys = components, list(group_cols)
-    histogram = _histogram(df, value_col, keys).persist()
+    histogram = _histogram(df, value_col, keys, count_col).persist()
     try:
         largest = histogram.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if largest <= small_group:

@@ -10,17 +10,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillweave.functions import metrics
 from tillweave.functions.maths import logistic, row_sum, safe_log
+from tillweave.operators import rolling
 from tillweave.operators.mixture import fit_mixtures, mixture_memberships, mixture_memberships_by_group
-from tillweave.operators.nulls import fill_backward
 from tillweave.operators.quantiles import quantile_tails
-from tillweave.operators.regression import gram_by_group, predict_by_group, solve_models
+from tillweave.operators.regression import solve_models
 from tillweave.operators.relational import quoted, struct_fields, unnest_struct
 from tillweave.operators.reshape import list_of, unpivot_columns
-from tillweave.operators.windows import linear_ramp, rolling_std_days
+from tillweave.operators.windows import linear_ramp
 from tillweave.session import ensure_checkpoint_dir, scratch_folder
 
 # Training and test length, penalty, mixture size, weights.
@@ -76,6 +77,12 @@ class Splits:
         return F.date_add(self.start, index * self.test_days)
 
 
+def splits_to_the_end(panel: DataFrame) -> Splits:
+    """Splits from the first date with a whole training window before it to the last date."""
+    dates = panel.select("date")
+    return Splits(F.date_add(dates.agg(F.min("date")).scalar(), TRAIN_DAYS), dates.agg(F.max("date")).scalar())
+
+
 def rolling_splits(df: DataFrame, splits: Splits, date_col: str = "date") -> DataFrame:
     """Copy each row to the splits it belongs to.
 
@@ -93,14 +100,26 @@ def rolling_splits(df: DataFrame, splits: Splits, date_col: str = "date") -> Dat
     )
 
 
-def split_windows(dates: DataFrame, splits: Splits) -> DataFrame:
-    """(set_index, date, trend) for the closed window of each split."""
-    return dates.select("date", "trend", F.explode(splits.window_of(F.col("date"))).alias("set_index"))
+def split_windows(dates: DataFrame, splits: Splits, *others: str) -> DataFrame:
+    """(set_index, date, trend, others) for the closed window of each split."""
+    return dates.select("date", "trend", *others, F.explode(splits.window_of(F.col("date"))).alias("set_index"))
 
 
-def trend_midpoints(panel_windows: DataFrame) -> DataFrame:
-    """Median trend of the rows of each split; the values are day numbers."""
-    return panel_windows.groupBy("set_index").agg(F.median("trend").alias("trend_midpoint"))
+def trend_midpoints(panel_windows: DataFrame, count_col: str | None = None) -> DataFrame:
+    """Median trend of the rows of each split; the values are day numbers.
+
+    With ``count_col`` a row stands for that many.
+    """
+    if count_col is None:
+        return panel_windows.groupBy("set_index").agg(F.median("trend").alias("trend_midpoint"))
+    ordered = Window.partitionBy("set_index").orderBy("trend")
+    counted = panel_windows.groupBy("set_index", "trend").agg(F.sum(count_col).alias("_n"))
+    reached = counted.withColumns(
+        {"_so_far": F.sum("_n").over(ordered), "_all": F.sum("_n").over(Window.partitionBy("set_index"))}
+    )
+    low = F.min(F.when(2 * F.col("_so_far") >= F.col("_all"), F.col("trend")))
+    high = F.min(F.when(2 * F.col("_so_far") > F.col("_all"), F.col("trend")))
+    return reached.groupBy("set_index").agg(((low + high) / 2).alias("trend_midpoint"))
 
 
 def sample_weights(
@@ -134,42 +153,32 @@ def sample_weights(
 
 
 def trend_regimes_per_split(
-    dates: DataFrame, splits: Splits, components: int = TREND_COMPONENTS
+    dates: DataFrame, splits: Splits, components: int = TREND_COMPONENTS, count_col: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Mixture of the trend refitted in every split: parameters and memberships.
 
     Fitted on the rows of train and test dates together, so a date with more
-    stores weighs more; only date and trend enter.
+    stores weighs more; only date and trend enter. With ``count_col`` a row
+    stands for that many.
     """
-    windows = split_windows(dates, splits)
-    params = fit_mixtures(windows, "trend", components, ["set_index"])
+    windows = split_windows(dates, splits, *([count_col] if count_col else []))
+    params = fit_mixtures(windows, "trend", components, ["set_index"], count_col=count_col)
     return params, mixture_memberships_by_group(windows, "trend", components, ["set_index"], params=params)
 
 
-def backtest_rows(panel: DataFrame, splits: Splits, components: int = TREND_COMPONENTS) -> DataFrame:
-    """Panel rows per split with trend memberships, weights and rolling std.
+def split_days(
+    dates: DataFrame, splits: Splits, holiday_columns: Sequence[str], components: int = TREND_COMPONENTS
+) -> DataFrame:
+    """What a split needs to know of its dates: (set_index, set_first_date, date, trend memberships, weights).
 
-    ``panel`` is the store panel: one row per date, state and store. Everything
-    that depends on the date alone is built on the table of dates.
+    ``dates`` has one row per date with its trend, its 0/1 holiday columns and ``rows``, the number of panel rows. The
+    result grows with the calendar only.
     """
-    holiday_columns = struct_fields(panel, "holiday_bool")
-    dates = panel.select("date", "trend", "holiday_bool").dropDuplicates(["date"])
-    params, _ = trend_regimes_per_split(panel.select("date", "trend"), splits, components)
-    midpoints = trend_midpoints(split_windows(panel.select("date", "trend"), splits))
-    weights = sample_weights(
-        dates.select("date", "trend", "holiday_bool.*"), midpoints, splits, holiday_columns
-    )
-    weight_names = [c for c in weights.columns if c not in ("set_index", "date")]
-    rows = rolling_splits(panel.drop("trend_guassian_splines"), splits)
-    rows = mixture_memberships_by_group(rows, "trend", components, ["set_index"], name="trend_regimes", params=params)
-    rows = rows.join(weights.withColumn("set_type", F.lit("train")), ["set_index", "set_type", "date"], "left")
-    series = ["set_index", "set_type", *OVER]
-    rolling = rolling_std_days("sales", series, "date", 30)
-    return (
-        rows.na.fill(0.0, weight_names)
-        .withColumn("rolling_row_std", rolling)
-        .withColumn("rolling_row_std", fill_backward(F.col("rolling_row_std"), series, "date"))
-    )
+    _, regimes = trend_regimes_per_split(dates, splits, components, "rows")
+    midpoints = trend_midpoints(split_windows(dates, splits, "rows"), "rows")
+    weights = sample_weights(dates, midpoints, splits, holiday_columns)
+    known = unnest_struct(regimes, "trend_guassian_splines").drop("rows", "trend")
+    return known.join(weights, ["set_index", "date"], "left").withColumn("set_first_date", splits.first_date(F.col("set_index")))
 
 
 def backtest_panel(
@@ -181,42 +190,41 @@ def backtest_panel(
     """Fit a lasso and a weighted lasso per split, state and store, and predict
     train and test rows. Returns (rows with predictions, coefficients).
 
-    Several passes read the panel (stores x days) and its rows per split, and
-    none should start from the sales facts again: the panel is checkpointed and
-    the rows are written as a table, which later passes read column by column.
-    A row of a split holds keys, sales, weights and regimes only; features of
-    its date and state are joined when they are used.
+    ``panel`` is the store panel: one row per date, state and store. It is
+    written, narrow, beside the features of its dates and states, as several
+    passes read it and none should start from the sales facts again. All splits
+    of a store are fitted from cumulative sums of products, so rows are copied
+    to splits only when they are predicted.
     """
     spark = panel.sparkSession
     ensure_checkpoint_dir(spark)
     folder = scratch_folder(spark, "backtest")
-    panel = panel.checkpoint()
-    by_day = ["wday_guassian_splines", "weekday_bool", *DAY_STRUCTS]
-    panel.select("date", "state_id", *by_day).dropDuplicates(["date", "state_id"]).write.parquet(f"{folder}/days")
-    backtest_rows(panel, splits, components).drop(*by_day).write.parquet(f"{folder}/rows")
-    days = spark.read.parquet(f"{folder}/days")
-    rows = spark.read.parquet(f"{folder}/rows").join(days, ["date", "state_id"])
-    common = [f for s in DAY_STRUCTS for f in struct_fields(rows, s)]
-    trend, weekday = struct_fields(rows, "trend_regimes"), struct_fields(rows, "weekday_bool")
-    wday = struct_fields(rows, "wday_guassian_splines")
-    models = {"lasso": [*trend, *wday, *common], "weigthed_lasso": [*trend, *weekday, *common]}
-    features = [*trend, *wday, *weekday, *common]
-    flat = unnest_struct(rows, "trend_regimes", "wday_guassian_splines", "weekday_bool", *DAY_STRUCTS)
-    keys = ["set_index", *OVER]
-    grams = gram_by_group(
-        flat.where(F.col("set_type") == "train"),
-        keys,
-        features,
-        "sales",
-        {"lasso": None, "weigthed_lasso": "sample_weights_shifted_logistic"},
+    structs = ["wday_guassian_splines", "weekday_bool", *DAY_STRUCTS]
+    by_day = {s: struct_fields(panel, s) for s in structs}
+    panel.select("date", *OVER, "sales", "trend", *structs).write.parquet(f"{folder}/panel")
+    panel = spark.read.parquet(f"{folder}/panel")
+    holiday_columns = by_day["holiday_bool"]
+    dates = (
+        panel.select("date", "trend", "holiday_bool")
+        .groupBy("date")
+        .agg(F.any_value("trend").alias("trend"), F.any_value("holiday_bool").alias("holiday_bool"), F.count(F.lit(1)).alias("rows"))
+        .select("date", "trend", "rows", "holiday_bool.*")
     )
-    # One short row per model and group: kept, as several joins read it.
-    coefficients = solve_models(grams, keys, features, models, alpha).checkpoint()
-    predicted = flat
-    for model, chosen in models.items():
-        own = coefficients.where(F.col("model") == model)
-        predicted = predict_by_group(predicted, own, keys, chosen, "sales", prefix=f"{model}_")
-    return predicted, coefficients
+    trend = [f"trend_{k}" for k in range(1, components + 1)]
+    weight = "sample_weights_shifted_logistic"
+    known = split_days(dates, splits, holiday_columns, components)
+    windows = rolling.collect_windows(known, [*trend, weight], splits.train_days, splits.test_days)
+    common = [f for s in DAY_STRUCTS for f in by_day[s]]
+    wday, weekday = by_day["wday_guassian_splines"], by_day["weekday_bool"]
+    features = [*wday, *weekday, *common]
+    models = {"lasso": [*trend, *wday, *common], "weigthed_lasso": [*trend, *weekday, *common]}
+    flat = unnest_struct(panel, *structs)
+    grams = rolling.window_grams(flat, OVER, features, "sales", windows, trend, {"lasso": None, "weigthed_lasso": weight})
+    # A store is one group here, but its windows are solved apart.
+    dealt = grams.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "set_index", "model", *OVER)
+    # One short row per model and group: kept, as several passes read it.
+    coefficients = solve_models(dealt, ["set_index", *OVER], [*trend, *features], models, alpha).checkpoint()
+    return rolling.window_predictions(flat, coefficients, OVER, features, "sales", windows, trend, models), coefficients
 
 
 BACKTEST_COLUMNS = [
@@ -234,6 +242,18 @@ BACKTEST_COLUMNS = [
 ]
 
 
+MODELS = ("lasso", "weigthed_lasso")
+
+
+def error_metrics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """WAPE, RMSE and bias of both models per group."""
+    measures = []
+    for model in MODELS:
+        y, f = F.col("sales"), F.col(f"{model}_prediction")
+        measures += [getattr(metrics, name)(y, f).alias(f"{model}_{name}") for name in ("wape", "rmse", "bias")]
+    return rows.groupBy(*by).agg(*measures)
+
+
 def forecast_long(
     df: DataFrame, ids: Sequence[str], values: Sequence[str], store: str | None = None
 ) -> DataFrame:

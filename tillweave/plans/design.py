@@ -60,3 +60,13 @@ def store_panel(sales: DataFrame, prodloc: DataFrame, regressors: DataFrame) ->
         )
     )
     return daily.join(regressors, ["date", "state_id"])
+
+
+def store_panel_from_matrix(matrix: DataFrame, regressors: DataFrame) -> DataFrame:
+    """The store panel from a written design matrix: its facts are summed, its wide feature columns are not read."""
+    daily = matrix.groupBy("date", "state_id", "store_id").agg(
+        F.sum("sales").alias("sales"),
+        F.sum("OOS").alias("OOS_COUNT"),
+        F.count("OOS").alias("ProductPlaces"),
+    )
+    return daily.join(regressors, ["date", "state_id"])

@@ -1,4 +1,4 @@
-"""Runs all jobs in dependency order, from external inputs to the design matrix.
+"""Runs all jobs in dependency order, from external inputs to the design matrix and its back-test.
 
 Each step reads what the step before wrote, so a lost step is repeated from
 files and not from the start.
@@ -6,7 +6,7 @@ files and not from the start.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillweave.operators.summaries import event_days
 from tillweave.plans import calendar_features as calendars
-from tillweave.plans import design, events, interim, raw
+from tillweave.plans import backtest, design, events, interim, raw
 from tillweave.sources.zones import new_stamp, read_latest, write_zone
 
 
@@ -47,6 +47,12 @@ DATA_SETS = [
     ("3.interim", "regressor_table"),
     ("4.processed", "designmatrix"),
 ]
+# Fixed names: what the back-test writes.
+BACKTEST_SETS = [
+    ("4.processed", "backtest_predictions"),
+    ("4.processed", "backtest_coefficients"),
+    ("4.processed", "backtest_metrics"),
+]
 
 
 def build_raw(spark: SparkSession, root: str, inputs: Inputs, stamp: str) -> None:
@@ -113,6 +119,31 @@ def build_design(spark: SparkSession, root: str, stamp: str) -> None:
     write_zone(matrix, root, "4.processed", "designmatrix", stamp=stamp, sort_by=["id", "date"])
 
 
+def build_backtest(
+    spark: SparkSession,
+    root: str,
+    splits: Callable[[DataFrame], backtest.Splits] | None = None,
+    alpha: float = backtest.LASSO_ALPHA,
+    stamp: str | None = None,
+) -> list[tuple[str, str]]:
+    """Back-test of the newest design matrix: predictions of all splits, coefficients, error metrics.
+
+    ``splits`` makes the splits from the store panel; the default trains three years before the first test date and
+    goes on to the last date. Each data set is written once and the metrics are taken from the written predictions.
+    """
+    stamp = stamp or new_stamp()
+    matrix = read_latest(spark, root, "4.processed", "designmatrix")
+    regressors = read_latest(spark, root, "3.interim", "regressor_table")
+    panel = design.store_panel_from_matrix(matrix, regressors)
+    rows, coefficients = backtest.backtest_panel(panel, (splits or backtest.splits_to_the_end)(panel), alpha)
+    columns = backtest.BACKTEST_COLUMNS
+    write_zone(rows.select(*columns), root, "4.processed", "backtest_predictions", stamp=stamp, sort_by=["set_index", "store_id", "date"])
+    write_zone(coefficients, root, "4.processed", "backtest_coefficients", stamp=stamp)
+    written = read_latest(spark, root, "4.processed", "backtest_predictions", stamp=stamp)
+    write_zone(backtest.error_metrics(written, ["set_index", "set_type"]), root, "4.processed", "backtest_metrics", stamp=stamp)
+    return list(BACKTEST_SETS)
+
+
 def build_all(
     spark: SparkSession, root: str, inputs: Inputs, threshold: float = interim.LIVE_THRESHOLD
 ) -> list[tuple[str, str]]:
