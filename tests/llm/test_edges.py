@@ -23,7 +23,7 @@ ROWS = [
     (None, "the and of to in some text here", "en", "c", 3),
     (None, None, None, None, None),
 ]
-CLASHES = ["id", "key", "hash", "hashes", "row_id", "lost_id", "tokens", "kept", "weight", "c0", "size", "component_id", "score"]
+CLASHES = ["kept_id", "slot", "text_slot", "id", "key", "hash", "hashes", "row_id", "lost_id", "tokens", "kept", "weight", "c0", "size", "component_id", "score"]
 
 
 @pytest.fixture(scope="module")
@@ -110,6 +110,19 @@ def test_stages_keep_columns(spark, docs, name, stage):
         assert got.count(8) == 2 and 4 not in got and 3 in got
 
 
+def test_language_stage_rejects_by_the_network(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = __import__("random").Random(1)
+    junk = [" ".join("".join(draw.choice("bcdfghjklmnpqrstvwxzaeiouy") for _ in range(draw.randint(3, 9))) for _ in range(60)) for _ in range(20)]
+    junk += ["".join(chr(draw.randrange(0x4E00, 0x5E00)) for _ in range(80)) for _ in range(20)] + ["日本語のテキスト", "zzzzqqq xkcd"]
+    made = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    both = docs.unionByName(made, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, both, "").select("doc_id").collect()}
+    known = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert len(known - kept) <= 2  # of 1,000
+    assert len([i for i in kept if i >= 10**6]) <= 2  # letters all of them, so only the network can tell
+
+
 def test_line_stage_rewrites_texts(spark, docs):
     out = {r["doc_id"]: r for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect() if r["doc_id"]}
     assert out[5]["text"] == "the first of them" and out[5]["n_chars"] == 17
