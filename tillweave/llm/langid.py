@@ -24,6 +24,8 @@ TRAIN_DOCS = 500
 TRAIN_WINDOWS = 6
 EPOCHS = 8
 UNKNOWN = "und"
+#: A text goes as one in no language if the network is this sure of it.
+REJECT_SCORE = 0.98
 
 _UPPER = bytes(range(65, 91))
 _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -166,11 +168,34 @@ def _training_windows(per_doc: int):
     return work
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Network | None:
+def no_language(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Windows in no language at hand, made from others: the bytes of the words in any order, made-up words, and
+    letters of any script."""
+    out = windows.copy()
+    third = len(out) // 3
+    for row in out[:third]:
+        inside = np.flatnonzero(row > 32)
+        row[inside] = rng.permutation(row[inside])
+    words = out[third : 2 * third]
+    made = rng.integers(97, 123, words.shape).astype(np.uint8)
+    words[:] = np.where(rng.random(words.shape) < 0.15, 32, made) * (words > 0)
+    for row in out[2 * third :]:
+        size = int((row > 0).sum())
+        block = 2 ** int(rng.integers(4, 11))
+        low = int(rng.integers(0x370, 0xD000))
+        letters = "".join(map(chr, rng.integers(low, min(low + block, 0xD7FF), size))).encode()[:size]
+        row[:] = 0
+        row[: len(letters)] = np.frombuffer(letters, np.uint8)
+    return out
+
+
+def fit(
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", reject: bool = False
+) -> Network | None:
     """Train on at most TRAIN_DOCS documents a language, those with the smallest id hash; None without labels.
 
     The number of languages is the number of distinct labels. One more round of short windows is added, so that
-    short texts are known too.
+    short texts are known too. With ``reject`` the network learns ``und`` as well, from windows in no language.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"),
@@ -190,6 +215,10 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     windows = np.frombuffer(b"".join(r["window"] for r in got), np.uint8).reshape(len(got), -1)
     labels = np.array([langs.index(r["lang"]) for r in got])
     rng = seeded(5)
+    if reject:
+        other = no_language(windows[rng.permutation(len(windows))[: max(3, len(windows) // 2)]], rng)
+        windows, labels = np.concatenate([windows, other]), np.concatenate([labels, np.full(len(other), len(langs))])
+        langs = [*langs, UNKNOWN]
     short = windows.copy()
     keep = rng.integers(12, 160, len(short))
     short[np.arange(short.shape[1])[None, :] >= keep[:, None]] = 0
@@ -237,14 +266,21 @@ def identify(
 
 
 def documents_in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language can be told; those that are ``und`` go. Columns stay as they are."""
+    """The documents in one of the labelled languages, as the network sees it; those that it is sure to be in none go.
+
+    For this the network learns one more answer, from windows that are in no language: mixed-up bytes, made-up words,
+    letters of any script. Texts that are null or have no letter, as Unicode counts letters, go too. Very long texts are
+    read whole. Rows that repeat an id or a text are judged alike, also without an id. Where nothing is labelled, only
+    texts without a letter go. An empty table gives no rows. All columns stay as they are, whatever their names.
+    """
     held = crc_share(F.col(id_col), 4) == 2
-    net = fit(docs.where(~held), lang_col, text_col, id_col)
-    if net is None:  # nothing to learn from: only what has no letter is rejected
+    net = fit(docs.where(~held), lang_col, text_col, id_col, reject=True)
+    if net is None:  # nothing to learn from
         return docs.where(F.col(text_col).rlike(r"\p{IsAlphabetic}"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields)]
     rows = docs.toDF(*names)
     rows = rows.select(*names, F.col(names[docs.columns.index(text_col)]).cast("string").alias("text"))
     out = map_batches(rows, lambda: _predict(net), ", ".join([*kinds, "lang_pred string", "score double"]))
-    return out.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    none = (F.col("lang_pred") == UNKNOWN) & ((F.col("score") == 0) | (F.col("score") >= REJECT_SCORE))
+    return out.where(~none).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
