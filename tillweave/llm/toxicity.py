@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import string
-import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,8 +48,6 @@ FEATURES = (
 
 _EDGES = string.whitespace + string.punctuation + "“”‘’«»¿¡…"
 _RUN = re.compile(r"[!?#$*&]{2,}")
-#: Upper-case letters of every script, as str.isupper tells them.
-_CAPITAL = re.compile("[" + re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper())) + "]")
 _STRETCH = re.compile(r"(\w)\1{2,}")
 
 
@@ -97,7 +94,7 @@ def features(text: str, tokens: _Tokens) -> list[float]:
             near += any(0 <= j < len(at) and abs(int(at[j]) - i) <= NEAR for j in (k - 1, k))
     weights = [f[0] for _, f in hits if f[0]]
     insults = sum(f[1] for _, f in hits)
-    capitals = len(_CAPITAL.findall(text))
+    capitals = sum(map(str.isupper, text))
     return [
         insults / n, min(insults, 50), len(weights) / n, min(len(weights), 50), sum(weights) / n, max(weights, default=0.0),
         min(50, len({bare(words[i]) for i, _ in hits})), sum(f[3] for _, f in hits) / n,
