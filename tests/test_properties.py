@@ -37,6 +37,27 @@ def test_grouped_mixtures_agree(values):
         assert a[2] == pytest.approx(b[2], rel=1e-6)
 
 
+def test_large_and_small_groups_fit_side_by_side(spark):
+    """One group beyond a task's values, with far more distinct ones than 20,000, and others: each as if alone."""
+    rng = np.random.default_rng(8)
+    wide = np.concatenate([rng.normal(0, 1, 15_000), rng.normal(9, 2, 15_000)])
+    rows = [("wide", float(v)) for v in wide] + [("few", float(v)) for v in rng.integers(0, 40, 500)] + [(None, float(v)) for v in range(30)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    mixed = {r["g"]: r for r in mixture.fit_mixtures(df, "x", 2, ["g"]).collect()}
+    alone = {r["g"]: r for r in mixture.fit_mixtures(df, "x", 2, ["g"], small_group=10**6).collect()}
+    assert set(mixed) == {"wide", "few", None} == set(alone)
+    for g in mixed:
+        assert mixed[g]["rounds"] == alone[g]["rounds"] and mixed[g]["converged"] and alone[g]["converged"]
+        for part in ("means", "variances", "weights"):
+            assert mixed[g][part] == pytest.approx(alone[g][part], rel=1e-8)
+    assert mixed["wide"]["means"] == pytest.approx([0, 9], abs=0.1)
+
+
+def test_unfinished_fits_say_so(values):
+    assert not mixture.fit_mixture(values, "x", 3, tolerance=0.0, max_rounds=3).converged
+    assert not mixture.fit_mixture(values, "x", 3, tolerance=0.0, max_rounds=3, small_group=0).converged
+
+
 def test_memberships_sum_to_one(values):
     scored = mixture.mixture_memberships(values, "x", 3, cluster=True)
     total = sum((F.col(f"x_guassian_splines.x_{k}") for k in (1, 2, 3)), F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillweave.catalog.registry import query
-from tillweave.operators.mixture import fit_mixtures, mixture_memberships
+from tillweave.operators.mixture import em_rounds, fit_mixtures, mixture_memberships
 from tillweave.operators.relational import quoted, unnest_struct
 from tillweave.plans import calendar_features as calendars
 from tillweave.plans import events
@@ -105,6 +105,57 @@ def gmm_one_component(spark, data_dir):
     )
 
 
+# Starts and rounds of the checked mixtures.
+EM_STARTS = {
+    2: ([0.5, 0.5], [15.0, 35.0], [40.0, 60.0]),
+    3: ([0.3, 0.4, 0.3], [10.0, 25.0, 42.0], [30.0, 50.0, 20.0]),
+}
+EM_ROUNDS = 5
+
+
+def em_sql(k: int) -> str:
+    """EM rounds as unrolled common table expressions."""
+    js = range(1, k + 1)
+    literal = ", ".join(f"{v}::DOUBLE AS {c}{j}" for c, part in zip("wmv", EM_STARTS[k]) for j, v in enumerate(part, 1))
+    steps = [f"p0 AS (SELECT DISTINCT g, {literal} FROM h)"]
+    for i in range(EM_ROUNDS):
+        logs = ", ".join(f"ln(w{j}) - 0.5 * ln(2 * pi() * v{j}) - (x - m{j}) * (x - m{j}) / (2 * v{j}) AS l{j}" for j in js)
+        total = " + ".join(f"exp(l{j} - top)" for j in js)
+        shares = ", ".join(f"exp(l{j} - top) / ({total}) AS r{j}" for j in js)
+        new = ", ".join(
+            f"sum(n * r{j}) / sum(n) AS w{j}, sum(n * r{j} * x) / sum(n * r{j}) AS m{j}, "
+            f"sum(n * r{j} * x * x) / sum(n * r{j}) - power(sum(n * r{j} * x) / sum(n * r{j}), 2) + 1e-6 AS v{j}"
+            for j in js
+        )
+        steps += [
+            f"l{i} AS (SELECT g, x, n, {logs} FROM h JOIN p{i} USING (g))",
+            f"r{i} AS (SELECT g, x, n, {shares} FROM (SELECT *, greatest({', '.join(f'l{j}' for j in js)}) AS top FROM l{i}))",
+            f"p{i + 1} AS MATERIALIZED (SELECT g, {new} FROM r{i} GROUP BY g)",
+        ]
+    columns = ", ".join(f"round({c}{j}, 6) AS {name}_{j}" for c, name in (("w", "weight"), ("m", "mean"), ("v", "variance")) for j in js)
+    return f"""WITH h AS (SELECT l_returnflag AS g, l_quantity AS x, count(*) AS n FROM lineitem GROUP BY ALL), {', '.join(steps)}
+        SELECT g AS l_returnflag, {columns} FROM p{EM_ROUNDS}"""
+
+
+def em_parameters(spark, data_dir, k):
+    fitted = em_rounds(table(spark, data_dir, "lineitem"), "l_quantity", ["l_returnflag"], EM_STARTS[k], EM_ROUNDS)
+    parts = [("weights", "weight"), ("means", "mean"), ("variances", "variance")]
+    return fitted.select(
+        "l_returnflag", *[F.round(F.col(c)[j], 6).alias(f"{name}_{j + 1}") for c, name in parts for j in range(k)]
+    )
+
+
+@query("gmm_two_components", em_sql(2))
+def gmm_two_components(spark, data_dir):
+    """Parameters of a mixture after a few rounds from fixed starts, per group."""
+    return em_parameters(spark, data_dir, 2)
+
+
+@query("gmm_three_components", em_sql(3))
+def gmm_three_components(spark, data_dir):
+    return em_parameters(spark, data_dir, 3)
+
+
 @query("gmm_cluster")
 def gmm_cluster(spark, data_dir):
     """Line quantities grouped into three sizes, with the share of each."""

@@ -1,10 +1,10 @@
 """One-dimensional Gaussian mixtures, fitted by Spark aggregates.
 
-A fit reads the data once, into counts per distinct value. Groups with few
-distinct values (a weekday, a day number, a position) are then solved whole,
-each in one task. Larger groups are never gathered: every round of Lloyd or EM
-is one aggregation over the counts, with partial sums on the map side and one
-short row per group after the shuffle. Both ways do the same steps and agree.
+A fit reads the data once, into counts per distinct value. A round of Lloyd or EM adds up moments per group and
+component, which merge from partial sums. A task that holds all distinct values of a group does its rounds there; a
+group with more than ``TASK_VALUES`` of them is never gathered, and its rounds are one aggregation each, with one short
+row per group after the shuffle. Every group takes the same steps, whatever the size of others: start means at exact
+ranks of its distinct values, the same moments, the same rule to stop, and a flag that says whether it was reached.
 Components are ordered by mean, so their numbers are stable.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillweave.operators.relational import quoted
+from tillweave.operators.summaries import grouped_quantiles
 from tillweave.session import ensure_checkpoint_dir
 
 # The usual defaults of EM for mixtures.
@@ -28,10 +29,8 @@ TOLERANCE = 1e-3
 MAX_ROUNDS = 100
 VARIANCE_FLOOR = 1e-6
 LLOYD_ROUNDS = 20
-# Groups with more distinct values than this are fitted by Spark aggregates.
-SMALL_GROUP_VALUES = 20_000
-# Parameter tables of more groups than this are not broadcast.
-BROADCAST_GROUPS = 20_000
+# Distinct values of one group that a task holds.
+TASK_VALUES = 20_000
 
 
 @dataclass(frozen=True)
@@ -43,6 +42,7 @@ class Mixture:
     variances: list[float]
     log_likelihood: float
     rounds: int
+    converged: bool
 
 
 def _log_densities(x: Column, weights, means, variances) -> list[Column]:
@@ -137,8 +137,9 @@ def _ordered(params: DataFrame, keys: list[str]) -> DataFrame:
         )
     )
     return params.withColumn("_c", zipped).select(
-        *keys, F.col("_c.w").alias("weights"), F.col("_c.m").alias("means"), F.col("_c.v").alias("variances"), "ll"
-    )
+        *keys, F.col("_c.w").alias("weights"), F.col("_c.m").alias("means"), F.col("_c.v").alias("variances"),
+        "ll", "rounds", F.col("done").alias("converged"),
+    )
 
 
 def _start_means(k: int) -> list[float]:
@@ -158,7 +159,7 @@ def _quantile_starts(x: np.ndarray, k: int) -> np.ndarray:
 
 def _solve_counts(
     x: np.ndarray, n: np.ndarray, k: int, tolerance: float, max_rounds: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int, bool]:
     """The rounds of one group on its sorted distinct values x with counts n."""
     total, spread = n.sum(), x.var()
 
@@ -182,8 +183,8 @@ def _solve_counts(
         gap, means = np.abs(moved - means).max(), moved
         if gap < 1e-9:
             break
-    last, rounds = None, 0
-    while rounds < max_rounds:
+    last, rounds, done = None, 0, False
+    while not done and rounds < max_rounds:
         logs = np.log(weights) - 0.5 * np.log(2 * np.pi * variances)
         logs = logs - (x[:, None] - means) ** 2 / (2.0 * variances)
         top = logs.max(axis=1, keepdims=True)
@@ -191,81 +192,53 @@ def _solve_counts(
         weights, means, variances = moments(np.exp(logs - lse), means)
         mean_ll = float((n * lse[:, 0]).sum() / total)
         rounds += 1
-        if last is not None and abs(mean_ll - last) < tolerance:
-            last = mean_ll
-            break
+        done = last is not None and abs(mean_ll - last) < tolerance
         last = mean_ll
     order = np.argsort(means, kind="stable")
-    return weights[order], means[order], variances[order], last, rounds
+    return weights[order], means[order], variances[order], last, rounds, done
 
 
-def _solve_small_groups(
+def _solve_in_tasks(
     histogram: DataFrame, keys: list[str], k: int, tolerance: float, max_rounds: int
 ) -> DataFrame:
-    """One row (keys, weights, means, variances, ll, rounds) per group."""
+    """One row (keys, weights, means, variances, ll, rounds, converged) per group."""
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_x")
-        w, m, v, ll, rounds = _solve_counts(
+        w, m, v, ll, rounds, done = _solve_counts(
             pdf["_x"].to_numpy(), pdf["_n"].to_numpy(), k, tolerance, max_rounds
         )
-        row = {**dict(zip(keys, key)), "weights": [w], "means": [m], "variances": [v], "ll": ll, "rounds": rounds}
-        return pd.DataFrame(row)
+        row = dict(zip(keys, key)) | {"weights": [w], "means": [m], "variances": [v]}
+        return pd.DataFrame(row | {"ll": ll, "rounds": rounds, "converged": done})
 
     fields = [histogram.schema[c] for c in keys]
     fields += [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("weights", "means", "variances")]
     fields += [T.StructField("ll", T.DoubleType()), T.StructField("rounds", T.IntegerType())]
+    fields += [T.StructField("converged", T.BooleanType())]
     return histogram.groupBy(*keys).applyInPandas(solve, T.StructType(fields))
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on groups, a null group among them; the left side's keys stay."""
+    own = {c: f"_key{i}" for i, c in enumerate(keys)}
+    same = [F.col(quoted(c)).eqNullSafe(F.col(n)) for c, n in own.items()]
+    return left.join(right.withColumnsRenamed(own), same, how).drop(*own.values())
+
+
 def fit_mixture(
     df: DataFrame,
     value_col: str,
     components: int = 3,
     tolerance: float = TOLERANCE,
     max_rounds: int = MAX_ROUNDS,
-    small_group: int = SMALL_GROUP_VALUES,
+    small_group: int = TASK_VALUES,
 ) -> Mixture:
     """Fit one mixture to a column. Only its 3k numbers reach the driver."""
-    k = components
-    histogram = _histogram(df, value_col, []).persist()
-    try:
-        distinct = histogram.count()
-        if distinct == 0:
-            raise ValueError(f"no values in {value_col!r}")
-        if distinct <= small_group:
-            whole = histogram.withColumn("_all", F.lit(0))
-            row = _solve_small_groups(whole, ["_all"], k, tolerance, max_rounds).first()
-            return Mixture(row["weights"], row["means"], row["variances"], row["ll"], row["rounds"])
-        return _fit_by_rounds(histogram, k, tolerance, max_rounds)
-    finally:
-        histogram.unpersist()
-
-
-def _fit_by_rounds(histogram: DataFrame, k: int, tolerance: float, max_rounds: int) -> Mixture:
-    means = histogram.agg(F.percentile_approx("_x", _start_means(k))).first()[0]
-    row = None
-    for _ in range(LLOYD_ROUNDS):
-        row = _one_round(histogram, [], k, True, None, [F.lit(m) for m in means], None).first()
-        moved = max(abs(a - b) for a, b in zip(means, row["means"]))
-        means = row["means"]
-        if moved < 1e-9:
-            break
-    last, rounds, done = None, 0, False
-    while not done and rounds < max_rounds:
-        literal = [[F.lit(float(v)) for v in row[c]] for c in ("weights", "means", "variances")]
-        row = _one_round(histogram, [], k, False, *literal).first()
-        rounds += 1
-        done = last is not None and abs(row["ll"] - last) < tolerance
-        last = row["ll"]
-    order = sorted(range(k), key=lambda j: row["means"][j])
-    return Mixture(
-        [row["weights"][j] for j in order],
-        [row["means"][j] for j in order],
-        [row["variances"][j] for j in order],
-        last,
-        rounds,
-    )
+    whole = df.select(F.col(quoted(value_col)).alias("_value"), F.lit(0).alias("_group"))
+    row = fit_mixtures(whole, "_value", components, ["_group"], tolerance, max_rounds, small_group).first()
+    if row is None:
+        raise ValueError(f"no values in {value_col!r}")
+    return Mixture(row["weights"], row["means"], row["variances"], row["ll"], row["rounds"], row["converged"])
 
 
 def fit_mixtures(
@@ -275,48 +248,65 @@ def fit_mixtures(
     group_cols: Sequence[str],
     tolerance: float = TOLERANCE,
     max_rounds: int = MAX_ROUNDS,
-    small_group: int = SMALL_GROUP_VALUES,
+    small_group: int = TASK_VALUES,
     count_col: str | None = None,
 ) -> DataFrame:
     """Fit one mixture per group, all groups in the same jobs.
 
-    Returns (groups, weights, means, variances, ll), cut from the lineage of
-    the data by a checkpoint. With ``count_col`` a row stands for that many.
+    Returns (groups, weights, means, variances, ll, rounds, converged), cut
+    from the lineage of the data by a checkpoint. ``converged`` is false where
+    ``max_rounds`` ended a fit. A null group is a group. With ``count_col`` a
+    row stands for that many.
     """
     ensure_checkpoint_dir(df.sparkSession)
     k, keys = components, list(group_cols)
     histogram = _histogram(df, value_col, keys, count_col).persist()
     try:
-        largest = histogram.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        sizes = histogram.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"))
+        largest = sizes.agg(F.max("_values")).first()[0] or 0
         if largest <= small_group:
-            solved = _solve_small_groups(histogram, keys, k, tolerance, max_rounds)
-            return solved.drop("rounds").checkpoint()
-        return _fit_groups_by_rounds(histogram, keys, k, tolerance, max_rounds)
+            return _solve_in_tasks(histogram, keys, k, tolerance, max_rounds).checkpoint()
+        # Only the large groups take Spark rounds.
+        large = sizes.where(F.col("_values") > small_group).select(*keys).checkpoint()
+        whole = _solve_in_tasks(_join(histogram, large, keys, "left_anti"), keys, k, tolerance, max_rounds)
+        spread = _fit_by_rounds(_join(histogram, large, keys, "left_semi"), keys, k, tolerance, max_rounds)
+        return whole.unionByName(spread).checkpoint()
     finally:
         histogram.unpersist()
 
 
-def _fit_groups_by_rounds(
-    histogram: DataFrame, keys: list[str], k: int, tolerance: float, max_rounds: int
-) -> DataFrame:
+def _fit_by_rounds(histogram: DataFrame, keys: list[str], k: int, tolerance: float, max_rounds: int) -> DataFrame:
     """The parameter table is checkpointed every round, which keeps the plan
     flat and survives lost executors. A converged group keeps its parameters."""
-    params = (
-        histogram.groupBy(*keys)
-        .agg(F.percentile_approx("_x", _start_means(k)).alias("means"))
-        .select(*keys, *_constant_parts(k), "means", F.lit(None).cast("double").alias("ll"), F.lit(False).alias("done"))
-        .checkpoint()
-    )
-    small = params.count() <= BROADCAST_GROUPS
+    starts = {f"_q{j}": q for j, q in enumerate(_start_means(k))}
+    start = grouped_quantiles(histogram, keys, "_x", starts)
+    nothing = [F.lit(None).cast("double").alias("ll"), F.lit(0).alias("rounds"), F.lit(False).alias("done")]
+    params = start.select(*keys, *_constant_parts(k), F.array(*starts).alias("means"), *nothing).checkpoint()
     for hard, limit in ((True, LLOYD_ROUNDS), (False, max_rounds)):
-        params = params.withColumn("done", F.lit(False)).withColumn("ll", F.lit(None).cast("double"))
+        params = params.withColumns({"done": F.lit(False), "ll": F.lit(None).cast("double"), "rounds": F.lit(0)})
         for _ in range(limit):
-            params = _advance(histogram, params, keys, k, hard, tolerance, small).checkpoint()
+            params = _advance(histogram, params, keys, k, hard, tolerance).checkpoint()
             if params.agg(F.bool_and("done")).first()[0]:
                 break
     return _ordered(params, keys)
 
 
+def em_rounds(
+    df: DataFrame, value_col: str, group_cols: Sequence[str], start: tuple[Sequence[float], ...], rounds: int
+) -> DataFrame:
+    """(groups, weights, means, variances, ll) after a number of EM rounds from given weights, means and variances."""
+    keys = list(group_cols)
+    histogram = _histogram(df, value_col, keys)
+    k = len(start[0])
+    parts = [[F.lit(float(v)) for v in part] for part in start]
+    for _ in range(rounds):
+        params = _one_round(histogram, keys, k, False, *parts)
+        held = params.withColumnsRenamed({"weights": "_w", "means": "_m", "variances": "_v", "ll": "_ll_before"})
+        histogram = _join(_histogram(df, value_col, keys), held, keys)
+        parts = [[F.col(c)[j] for j in range(k)] for c in ("_w", "_m", "_v")]
+    return params
+
+
 def _constant_parts(k: int) -> list[Column]:
     return [
         F.array(*[F.lit(1.0 / k)] * k).alias("weights"),
@@ -324,20 +314,19 @@ def _constant_parts(k: int) -> list[Column]:
     ]
 
 
-def _advance(histogram, params, keys, k, hard, tolerance, small) -> DataFrame:
+def _advance(histogram, params, keys, k, hard, tolerance) -> DataFrame:
     open_groups = params.where(~F.col("done"))
-    side = F.broadcast(open_groups) if small else open_groups
-    joined = histogram.join(side, keys)
+    joined = _join(histogram, open_groups, keys)
     parts = [[F.col(c)[j] for j in range(k)] for c in ("weights", "means", "variances")]
     moved = _one_round(joined, keys, k, hard, *parts)
-    old = open_groups.select(*keys, F.col("means").alias("_old_means"), F.col("ll").alias("_old_ll"))
+    old = open_groups.select(*keys, F.col("means").alias("_old_means"), F.col("ll").alias("_old_ll"), "rounds")
     if hard:
         gap = F.array_max(F.zip_with("means", "_old_means", lambda a, b: F.abs(a - b)))
         done = gap < 1e-9
     else:
         done = F.coalesce(F.abs(F.col("ll") - F.col("_old_ll")) < tolerance, F.lit(False))
-    columns = [*keys, "weights", "variances", "means", "ll", "done"]
-    fresh = moved.join(old, keys).withColumn("done", done).select(*columns)
+    columns = [*keys, "weights", "variances", "means", "ll", "rounds", "done"]
+    fresh = _join(moved, old, keys).withColumns({"done": done, "rounds": F.col("rounds") + 1}).select(*columns)
     return fresh.unionByName(params.where("done").select(*columns))
 
 
