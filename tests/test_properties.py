@@ -231,3 +231,19 @@ def test_text_is_taken_literally(spark):
     df = spark.createDataFrame([("a.b-c", "x^y]z")], "p string, q string")
     row = df.select(strip_prefix(F.col("p"), "a.b"), strip_prefix(F.col("p"), "a-b"), take_parts(F.col("q"), [1], "^"), take_parts(F.col("q"), [0], "]")).first()
     assert tuple(row) == ("-c", "a.b-c", "y]z", "x^y")
+
+
+def test_sketches_of_days_make_those_of_periods(spark):
+    from tillweave.operators import sketches
+
+    rng = np.random.default_rng(6)
+    rows = [(int(d), int(v)) for d in range(10) for v in rng.integers(0, 30_000, 4000)] + [(0, None)]
+    df = spark.createDataFrame(rows, "day int, v int")
+    daily = sketches.distinct_sketches(df, ["day"], "v")
+    half = F.floor(F.col("day") / 5).alias("half")
+    got = {r["half"]: r["estimate"] for r in sketches.rolled_up(daily, half).collect()}
+    once = {r["half"]: r["estimate"] for r in sketches.rolled_up(sketches.distinct_sketches(df.select(half, "v"), ["half"], "v"), F.col("half")).collect()}
+    for h in (0, 1):
+        exact = len({v for d, v in rows if d // 5 == h and v is not None})
+        assert abs(got[h] - exact) <= 3 * 1.04 / 128 * exact and abs(once[h] - exact) <= 3 * 1.04 / 128 * exact
+    assert sketches.rolled_up(daily).count() == 1

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tillweave.catalog.registry import query
 from tillweave.functions import maths, metrics
-from tillweave.operators import summaries
+from tillweave.operators import sketches, summaries
 from tillweave.operators.reshape import list_of
+from tillweave.session import scratch_folder
 from tillweave.sources import sample_tables as tables
+from tillweave.sources import zones
 from tillweave.sources.sample_tables import table
 
 
@@ -278,3 +280,20 @@ def metrics_forecast(spark, data_dir):
 def describe(spark, data_dir):
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     return summaries.describe(table(spark, data_dir, "lineitem"), columns, digits=6)
+
+
+@query(
+    "agg_distinct_sketches",
+    """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, true AS within_bound
+       FROM lineitem GROUP BY ALL""",
+)
+def agg_distinct_sketches(spark, data_dir):
+    """Distinct parts per month from stored sketches per day, beside the exact count."""
+    lines = table(spark, data_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), "l_partkey")
+    root = scratch_folder(spark, "sketches")
+    zones.write_zone(sketches.distinct_sketches(lines, ["date"], "l_partkey"), root, "3.interim", "part_sketches")
+    month = F.trunc("date", "month").alias("month")
+    estimates = sketches.rolled_up(zones.read_latest(spark, root, "3.interim", "part_sketches"), month)
+    exact = lines.groupBy(month).agg(F.count_distinct("l_partkey").alias("parts"))
+    near = F.abs(F.col("estimate") - F.col("parts")) <= sketches.error_bound(F.col("parts"))
+    return exact.join(estimates, "month").select("month", "parts", near.alias("within_bound"))

@@ -492,15 +492,22 @@ def udf_scalar(spark, data_dir):
     )
 
 
+SMOOTHING = 0.1
+
+
 @query(
     "udf_table",
-    """SELECT id, date, round(sales - avg(sales) OVER (PARTITION BY id), 6) AS centred FROM sales_long""",
+    f"""SELECT id, date, round(power({1 - SMOOTHING}::DOUBLE, t) * sum(CASE WHEN t = 0 THEN sales ELSE {SMOOTHING}::DOUBLE * sales END * power({1 - SMOOTHING}::DOUBLE, -t))
+               OVER (PARTITION BY id ORDER BY date), 6) AS level
+        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) - 1 AS t FROM sales_long)""",
 )
 def udf_table(spark, data_dir):
-    """A user function per series, on Arrow batches of one series at a time."""
+    """A user function per series, on Arrow batches of one series at a time: a level that each day moves on from the
+    day before, which no frame of rows gives."""
 
-    def centre(pdf):
-        return pdf.assign(centred=(pdf["sales"] - pdf["sales"].mean()).round(6))[["id", "date", "centred"]]
+    def smooth(pdf):
+        pdf = pdf.sort_values("date")
+        return pdf.assign(level=pdf["sales"].ewm(alpha=SMOOTHING, adjust=False).mean().round(6))[["id", "date", "level"]]
 
     panel = tables.sales_long(spark, data_dir)
-    return panel.groupBy("id").applyInPandas(centre, "id string, date date, centred double")
+    return panel.groupBy("id").applyInPandas(smooth, "id string, date date, level double")

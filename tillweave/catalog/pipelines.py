@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillweave.catalog.features import (
     NEAR_SQL,
+    TARGETS,
     WAVES_SQL,
     WEEKDAY_SQL,
     lead_lag_sql,
@@ -141,27 +143,49 @@ FLAG_SQL = ", ".join(
 )
 SNAP_SQL = """SELECT date, 'CA' AS state_id, snap_CA AS snap_bool FROM calendar UNION ALL SELECT date, 'TX', snap_TX FROM calendar
        UNION ALL SELECT date, 'WI', snap_WI FROM calendar"""
+# Memberships of a day add up to 1; those of an event's window do so on the days near it, and are 0 elsewhere.
+MEMBERSHIP_SQL = ", ".join(
+    ["1.0::DOUBLE AS trend_memberships", "1.0::DOUBLE AS wday_memberships"]
+    + [
+        f"CASE WHEN since_{i} <= 4 OR until_{i} <= 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {sql_name(n.lower() + '_window')}"
+        for n in EVENT_NAMES
+        for i in [TARGETS.index((n, "event_name"))]
+    ]
+)
 REGRESSOR_SQL = f"""SELECT c.date, s.state_id, CAST(c.date - lo AS BIGINT) AS trend, s.snap_bool, {WEEKDAY_SQL}, {FLAG_SQL},
-       {WAVES_SQL.replace('(date)', '(c.date)')}
-       FROM calendar c JOIN snap_rows s ON c.date = s.date, bounds"""
-REGRESSOR_CTES = {"snap_rows": SNAP_SQL, "regressor_rows": REGRESSOR_SQL}
+       {WAVES_SQL.replace('(date)', '(c.date)')}, {MEMBERSHIP_SQL}
+       FROM calendar c JOIN snap_rows s ON c.date = s.date JOIN near_events n ON c.date = n.date, bounds"""
+REGRESSOR_CTES = {"snap_rows": SNAP_SQL, "near_events": NEAR_SQL, "regressor_rows": REGRESSOR_SQL}
 
 
 def plain_regressors(frame):
-    """Regressors without mixture columns, one column per feature."""
-    waves = frame.schema["year_month_trigonometric"].dataType.fieldNames()
+    """All ten feature columns, one column per feature; of the mixtures, the sums of their memberships."""
+    fields = {c: frame.schema[c].dataType.fieldNames() for c in frame.columns if isinstance(frame.schema[c].dataType, T.StructType)}
+
+    def total(struct, names, label):
+        return F.round(sum((F.col(f"{struct}.{quoted(f)}") for f in names), F.lit(0.0)), 6).alias(label)
+
+    near = "holiday_pre_post_guassian_splines"
     return [
         "trend",
         "snap_bool",
         "weekday_bool.*",
         "holiday_bool.*",
-        *rounded_fields("year_month_trigonometric", waves),
+        *rounded_fields("year_month_trigonometric", fields["year_month_trigonometric"]),
+        *[total(f"{c}_guassian_splines", fields[f"{c}_guassian_splines"], f"{c}_memberships") for c in ("trend", "wday")],
+        *[total(near, [f for f in fields[near] if f.startswith(f"{n.lower()}_spline_")], f"{n.lower()}_window") for n in EVENT_NAMES],
     ]
 
 
+def every_feature(frame):
+    """All ten feature columns with their single fields."""
+    structs = [c for c in design.REGRESSOR_COLUMNS if c in frame.columns and isinstance(frame.schema[c].dataType, T.StructType)]
+    return ["trend", "snap_bool", *[f"{c}.*" for c in structs]]
+
+
 @query("regressor_table", "SELECT * FROM regressor_rows", REGRESSOR_CTES)
 def regressor_table(spark, data_dir):
-    """All ten columns are built; the mixture ones have no SQL twin and are left out here."""
+    """All ten columns; single memberships are in ``regressor_table_mixture``."""
     table = regressors(spark, data_dir)
     return table.select("date", "state_id", *plain_regressors(table))
 
@@ -216,6 +240,24 @@ def store_panel(spark, data_dir):
     return panel.select(*facts, *plain_regressors(panel))
 
 
+@query("design_matrix_features")
+def design_matrix_features(spark, data_dir):
+    """The design matrix with every field of all ten feature columns."""
+    matrix = design.design_matrix(
+        flagged_sales(spark, data_dir), tables.prodloc(spark, data_dir), written_regressors(spark, data_dir)
+    )
+    return matrix.select("id", "date", "sales", "zero_sales_ind", "OOS", "store_id", "state_id", *every_feature(matrix))
+
+
+@query("store_panel_features")
+def store_panel_features(spark, data_dir):
+    """The store panel with every field of all ten feature columns."""
+    panel = design.store_panel(
+        flagged_sales(spark, data_dir), tables.prodloc(spark, data_dir), written_regressors(spark, data_dir)
+    )
+    return panel.select("date", "state_id", "store_id", "sales", "OOS_COUNT", "ProductPlaces", *every_feature(panel))
+
+
 LEVELS = {
     "levels": """SELECT *, split_part(id, '_', 2) AS department, split_part(id, '_', 1) || '_' || split_part(id, '_', 2) AS category_dep,
                  split_part(id, '_', 4) || '_' || split_part(id, '_', 5) AS state_store FROM sales_oos"""

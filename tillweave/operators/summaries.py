@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tillweave.operators.quantiles import exact_quantiles_of
 from tillweave.operators.relational import quoted
+from tillweave.session import scratch_folder
 
 
 # Slices of a group's values when quantiles are looked up.
@@ -53,10 +54,14 @@ def grouped_quantiles(
     Rows are first counted per (group, value). A sketch of each group cuts its
     values into ``QUANTILE_SLICES`` slices; counts per slice tell which slices
     hold the wanted ranks, and only those are sorted, each on its own. So a
-    group with many distinct values meets no single task.
+    group with many distinct values meets no single task. The counts are
+    written once, as all three steps read them.
     """
     keys, x = list(keys), F.col(quoted(value))
     counted = df.where(x.isNotNull()).groupBy(*keys, x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    folder = scratch_folder(df.sparkSession, "quantiles")
+    counted.write.mode("overwrite").parquet(folder)
+    counted = df.sparkSession.read.schema(counted.schema).parquet(folder)
     marks = [i / QUANTILE_SLICES for i in range(1, QUANTILE_SLICES)]
     cuts = counted.groupBy(*keys).agg(F.percentile_approx("_x", marks, 1000).alias("_cuts"), F.sum("_n").alias("_total"))
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
