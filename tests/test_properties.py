@@ -247,3 +247,37 @@ def test_sketches_of_days_make_those_of_periods(spark):
         exact = len({v for d, v in rows if d // 5 == h and v is not None})
         assert abs(got[h] - exact) <= 3 * 1.04 / 128 * exact and abs(once[h] - exact) <= 3 * 1.04 / 128 * exact
     assert sketches.rolled_up(daily).count() == 1
+
+
+def _plain_spectral_entropy(x, max_lag):
+    """Order by least squares on the lagged values themselves, one order after the other."""
+    from tillweave.operators import series
+
+    n = len(x)
+    top = min(max_lag, max(n // 2 - 1, 0))
+    target = x[top:]
+    lags = np.column_stack([x[top - k : n - k] for k in range(1, top + 1)]) if top else np.empty((n, 0))
+    best, order = np.inf, 0
+    for p in range(top + 1):
+        fit = np.linalg.lstsq(lags[:, :p], target, rcond=None)[0] if p else np.zeros(0)
+        aic = len(target) * np.log(max(float(((target - lags[:, :p] @ fit) ** 2).mean()), 1e-300)) + 2 * (p + 1)
+        if aic < best - 1e-12:
+            best, order = aic, p
+    y = x[order:]
+    own = np.column_stack([np.ones(len(y)), *[x[order - k : n - k] for k in range(1, order + 1)]])
+    fit = np.linalg.lstsq(own, y, rcond=None)[0]
+    return series._spectral_entropy(fit[1:], float(((y - own @ fit) ** 2).mean()), n)
+
+
+def test_spectral_entropy_equals_least_squares_per_series(spark):
+    rng = np.random.default_rng(11)
+    data = {"noise": rng.normal(5, 1, 300), "short": rng.normal(size=9), "four": rng.normal(size=4), "whole": rng.integers(0, 50, 200).astype(float)}
+    walk = np.zeros(250)
+    for t in range(3, 250):
+        walk[t] = 0.6 * walk[t - 1] - 0.3 * walk[t - 3] + rng.normal()
+    data["walk"] = walk + 10
+    rows = [(k, i, float(v)) for k, x in data.items() for i, v in enumerate(x)] + [("gap", i, None if i == 5 else float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, date int, sales double")
+    got = {r["id"]: r["spectral_entropy"] for r in series.spectral_ar_entropy(df).collect()}
+    assert got.pop("gap") is None
+    assert got == {k: pytest.approx(_plain_spectral_entropy(x, 25), abs=1e-8) for k, x in data.items()}

@@ -88,3 +88,35 @@ def approximate_entropy(spark, data_dir):
 @query("spectral_ar_entropy")
 def spectral_ar_entropy(spark, data_dir):
     return series.spectral_ar_entropy(tables.sales_long(spark, data_dir))
+
+
+AR_CTES = {
+    "lagged": """SELECT id, CAST(sales AS DOUBLE) AS y, CAST(lag(sales, 1) OVER w AS DOUBLE) AS x1, CAST(lag(sales, 2) OVER w AS DOUBLE) AS x2
+        FROM sales_long WINDOW w AS (PARTITION BY id ORDER BY date)"""
+}
+
+
+@query(
+    "ar_order_one",
+    """SELECT id, round(regr_slope(y, x1), 6) AS phi_1, round(regr_intercept(y, x1), 6) AS constant,
+              round(regr_syy(y, x1) / regr_count(y, x1) * (1 - regr_r2(y, x1)), 4) AS variance FROM lagged WHERE x1 IS NOT NULL GROUP BY id""",
+    AR_CTES,
+)
+def ar_order_one(spark, data_dir):
+    """Autoregression of order one from lag products."""
+    fitted = series.ar_coefficients(tables.sales_long(spark, data_dir), 1)
+    return fitted.select("id", F.round(F.col("coefficients")[0], 6).alias("phi_1"), F.round("constant", 6).alias("constant"), F.round("variance", 4).alias("variance"))
+
+
+@query(
+    "ar_order_two",
+    """SELECT id, round((c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12), 6) AS phi_1, round((c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12), 6) AS phi_2
+       FROM (SELECT id, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2
+             FROM lagged WHERE x2 IS NOT NULL GROUP BY id)""",
+    AR_CTES,
+)
+def ar_order_two(spark, data_dir):
+    """Autoregression of order two from lag products, by Cramer's rule in SQL."""
+    fitted = series.ar_coefficients(tables.sales_long(spark, data_dir), 2)
+    return fitted.select("id", *[F.round(F.col("coefficients")[i], 6).alias(f"phi_{i + 1}") for i in range(2)])
+

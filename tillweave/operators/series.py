@@ -268,33 +268,101 @@ def _entropy_by_distance(rows: DataFrame, m: int, id_col: str, date_col: str) ->
     return rows.groupBy(id_col).applyInPandas(one, schema)
 
 
-def _ar_coefficients(x: np.ndarray, max_lag: int) -> tuple[np.ndarray, float]:
-    """Autoregression whose order has the least AIC on a common sample.
+def _lagged(df: DataFrame, max_lag: int, value: str, id_col: str, date_col: str) -> tuple[DataFrame, list[str]]:
+    """Rows with their place, the length of their series and the values of the days before; 0 before the first."""
+    w, x = _ordered(id_col, date_col), F.col(quoted(value)).cast("double")
+    lags = [f"_lag{k}" for k in range(1, max_lag + 1)]
+    rows = df.select(id_col, date_col, x.alias("_x")).withColumns(
+        {"_t": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(id_col))}
+    )
+    return rows.withColumns({c: F.coalesce(F.lag("_x", k).over(w), F.lit(0.0)) for k, c in enumerate(lags, 1)}), lags
+
 
-    Orders are compared without a constant; the chosen one is fitted with it.
+def lag_products(
+    df: DataFrame, max_lag: int = MAX_AR_LAG, value: str = "sales", id_col: str = "id", date_col: str = "date"
+) -> DataFrame:
+    """(id, n, known, spread, top, head, gram): what an autoregression of any order up to ``max_lag`` needs.
+
+    ``gram`` holds the sums of products of 1, the lagged values and the value over the days from ``top`` on, the common
+    sample of all orders; ``head`` the values before. A series is never gathered.
     """
-    n = len(x)
-    top = min(max_lag, max(n // 2 - 1, 0))
-    target = x[top:]
-    lags = np.column_stack([x[top - k : n - k] for k in range(1, top + 1)]) if top else np.empty((n, 0))
-    best, order = np.inf, 0
+    rows, lags = _lagged(df, max_lag, value, id_col, date_col)
+    top = F.least(F.lit(max_lag), F.greatest(F.floor(F.col("_n") / 2) - 1, F.lit(0))).cast("int")
+    rows = rows.withColumn("_top", top)
+    grams = gram_by_group(rows.where(F.col("_t") >= F.col("_top")), [id_col], lags, "_x", {"model": None}).select(id_col, "gram")
+    early = F.when(F.col("_t") < F.col("_top"), F.struct("_t", "_x"))
+    ends = rows.groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("_x").alias("known"),
+        (F.max("_x") - F.min("_x")).alias("spread"),
+        F.max("_top").alias("top"),
+        F.transform(F.array_sort(F.collect_list(early)), lambda v: v["_x"]).alias("head"),
+    )
+    return ends.join(grams, id_col, "left")
+
+
+def _full(upper: np.ndarray) -> np.ndarray:
+    size = int((np.sqrt(8 * len(upper) + 1) - 1) / 2)
+    gram = np.zeros((size, size))
+    gram[np.triu_indices(size)] = upper
+    return gram + np.triu(gram, 1).T
+
+
+def _ar_order(gram: np.ndarray, top: int, rows: int) -> int:
+    """The order of least AIC without a constant; the errors of all orders come from one order-recursive elimination."""
+    work = gram[1:, 1:].copy()
+    target = len(work) - 1
+    best, order, scale = np.inf, 0, max(gram[-1, -1], 1e-300)
     for p in range(top + 1):
-        fit = np.linalg.lstsq(lags[:, :p], target, rcond=None)[0] if p else np.zeros(0)
-        error = max(float(((target - lags[:, :p] @ fit) ** 2).mean()), 1e-300)
-        aic = len(target) * np.log(error) + 2 * (p + 1)
+        if p:
+            pivot = work[p - 1, p - 1]
+            if pivot > 1e-12 * scale:  # a lag that the earlier ones determine takes nothing away
+                work -= np.outer(work[:, p - 1], work[p - 1]) / pivot
+        error = max(float(work[target, target]) / rows, 1e-300)
+        aic = rows * np.log(error) + 2 * (p + 1)
         if aic < best - 1e-12:
             best, order = aic, p
-    y = x[order:]
-    own = np.column_stack([np.ones(len(y)), *[x[order - k : n - k] for k in range(1, order + 1)]])
-    fit = np.linalg.lstsq(own, y, rcond=None)[0]
-    return fit[1:], float(((y - own @ fit) ** 2).mean())
+    return order
+
 
+def _ar_fit(gram: np.ndarray, head: np.ndarray, order: int) -> tuple[np.ndarray, float, float]:
+    """(coefficients, constant, mean squared error) of one order with a constant, on all days from it on.
 
-def _spectral_entropy(x: np.ndarray, max_lag: int) -> float | None:
-    n = len(x)
-    if n < 4 or np.ptp(x) == 0:
-        return None
-    phi, variance = _ar_coefficients(x, max_lag)
+    The common sample starts at the end of ``head``; the days between are added.
+    """
+    places = [0, *range(1, order + 1), len(gram) - 1]
+    part, rows = gram[np.ix_(places, places)], gram[0, 0]
+    for t in range(order, len(head)):
+        z = np.array([1.0, *(head[t - k] for k in range(1, order + 1)), head[t]])
+        part, rows = part + np.outer(z, z), rows + 1
+    beta, constant = solve_ols(part[None])
+    fit = np.array([-constant[0], *-beta[0], 1.0])
+    return beta[0], float(constant[0]), max(float(fit @ part @ fit) / rows, 0.0)
+
+
+def ar_coefficients(
+    df: DataFrame, order: int, value: str = "sales", id_col: str = "id", date_col: str = "date"
+) -> DataFrame:
+    """(id, constant, coefficients, variance) of an autoregression of a given order; null for a shorter series or one
+    with a gap."""
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                made = (None, None, None)
+                if row["gram"] is not None and row["known"] == row["n"] and row["top"] >= order:
+                    beta, constant, error = _ar_fit(_full(np.asarray(row["gram"])), np.asarray(row["head"], float), order)
+                    made = (constant, beta.tolist(), error)
+                out.append((row[id_col], *made))
+            yield pd.DataFrame(out, columns=[id_col, "constant", "coefficients", "variance"])
+
+    fields = [df.schema[id_col], T.StructField("constant", T.DoubleType()), T.StructField("coefficients", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*fields, T.StructField("variance", T.DoubleType())])
+    return lag_products(df, order, value, id_col, date_col).mapInPandas(solve, schema)
+
+
+def _spectral_entropy(phi: np.ndarray, variance: float, n: int) -> float:
     frequencies = np.linspace(0.0, 0.5, int(np.ceil(n / 2)) + 1)
     turns = np.exp(-2j * np.pi * np.outer(frequencies, np.arange(1, len(phi) + 1)))
     density = variance / np.abs(1.0 - turns @ phi) ** 2
@@ -307,12 +375,23 @@ def _spectral_entropy(x: np.ndarray, max_lag: int) -> float | None:
 def spectral_ar_entropy(
     df: DataFrame, max_lag: int = MAX_AR_LAG, value: str = "sales", id_col: str = "id", date_col: str = "date"
 ) -> DataFrame:
-    """Entropy of the spectrum of an autoregression fitted to each series."""
+    """Entropy of the spectrum of an autoregression fitted to each series.
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(date_col)["_x"].to_numpy(dtype=float)
-        return pd.DataFrame({id_col: [key[0]], "spectral_entropy": [_spectral_entropy(x, max_lag)]})
+    Its order has the least AIC on a common sample without a constant, and is refitted with one; all of it from one
+    row of lag products per series. Series of fewer than four days, constant ones and those with a gap have null.
+    """
 
-    rows = df.select(id_col, date_col, F.col(quoted(value)).cast("double").alias("_x"))
-    schema = T.StructType([rows.schema[id_col], T.StructField("spectral_entropy", T.DoubleType())])
-    return rows.groupBy(id_col).applyInPandas(one, schema)
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                entropy, n = None, int(row["n"])
+                if n >= 4 and row["known"] == n and row["spread"] > 0 and row["gram"] is not None:
+                    gram, head = _full(np.asarray(row["gram"])), np.asarray(row["head"], float)
+                    phi, _, variance = _ar_fit(gram, head, _ar_order(gram, int(row["top"]), n - int(row["top"])))
+                    entropy = _spectral_entropy(phi, variance, n)
+                out.append((row[id_col], entropy))
+            yield pd.DataFrame(out, columns=[id_col, "spectral_entropy"])
+
+    schema = T.StructType([df.schema[id_col], T.StructField("spectral_entropy", T.DoubleType())])
+    return lag_products(df, max_lag, value, id_col, date_col).mapInPandas(solve, schema)
