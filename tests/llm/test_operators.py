@@ -131,7 +131,7 @@ def test_shard_pruning_is_exact():
     row = search._pack(rows).to_pylist()[0]
     shard = search.Shard(row, 25.0)
     plain = search.Shard(row, 25.0)
-    number = {t: i for i, t in enumerate(shard.vocabulary)}
+    number = {t: i for i, t in enumerate(shard.vocabulary.to_pylist())}
     for q in range(0, 300, 7):
         own = np.array(sorted(number[t] for t in rows[q][1]))
         idf = draw.random(len(own)) + 0.01
