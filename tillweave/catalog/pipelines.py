@@ -372,7 +372,27 @@ def built_zones(spark, data_dir):
     return root, runner.build_all(spark, root, inputs, SAMPLE_THRESHOLD)
 
 
-@query("build_interim")
+BUILT_SQL = " UNION ALL ".join(
+    f"SELECT '{zone}' AS zone, '{name}' AS data_set, CAST(count(*) AS BIGINT) AS rows FROM {rows}"
+    for zone, name, rows in [
+        ("2.raw", "prodloc_raw", "prodloc"),
+        ("2.raw", "sales_raw", "sales_long"),
+        ("2.raw", "calendar_raw", "calendar"),
+        ("2.raw", "price_raw", "sell_prices s LEFT JOIN calendar c USING (wm_yr_wk)"),
+        ("3.interim", "prodlocs", "prodloc"),
+        ("3.interim", "sales", "sales_oos"),
+        ("3.interim", "calendar_event_bool_features", "calendar"),
+        ("3.interim", "event_post_effect_features", "(SELECT DISTINCT event_type, event_name, date + n AS day FROM event_days, (SELECT CAST(unnest(generate_series(1, 7)) AS INTEGER) AS n))"),
+        ("3.interim", "snap_features", "snap_rows"),
+        ("3.interim", "calender_features", "calendar"),
+        ("3.interim", "calendar_event_gmm_features", "calendar"),
+        ("3.interim", "regressor_table", "snap_rows"),
+        ("4.processed", "designmatrix", "sales_oos"),
+    ]
+)
+
+
+@query("build_interim", BUILT_SQL, {"snap_rows": SNAP_SQL})
 def build_interim(spark, data_dir):
     """Write every raw, interim and processed data set; list what was written."""
     root, written = built_zones(spark, data_dir)

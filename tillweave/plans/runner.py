@@ -1,7 +1,8 @@
 """Runs all jobs in dependency order, from external inputs to the design matrix and its back-test.
 
 Each step reads what the step before wrote, so a lost step is repeated from
-files and not from the start.
+files and not from the start. A manifest beside each data set names its inputs,
+so that a step runs only if one of them changed.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillweave.operators.summaries import event_days
 from tillweave.plans import calendar_features as calendars
 from tillweave.plans import backtest, design, events, interim, raw
-from tillweave.sources.zones import new_stamp, read_latest, write_zone
+from tillweave.sources.zones import inline_table, new_stamp, read_latest, snapshot_stamps, write_zone, zone_path
 
 
 @dataclass
@@ -55,68 +57,104 @@ BACKTEST_SETS = [
 ]
 
 
-def build_raw(spark: SparkSession, root: str, inputs: Inputs, stamp: str) -> None:
+@dataclass(frozen=True)
+class Step:
+    """One data set: where it goes, the data sets it is made of, and how."""
+
+    zone: str
+    name: str
+    needs: tuple[str, ...]
+    make: Callable[..., DataFrame]
+    sort_by: tuple[str, ...] = ()
+
+
+ZONE_OF = {name: zone for zone, name in DATA_SETS}
+
+
+def _event_labels(calendar: DataFrame, event_names: Sequence[str]) -> list[str]:
+    """Labels of the listed events, at most one per name and type; they become column names."""
+    pairs = event_days(calendar).where(F.col("event_name").isin(list(event_names))).select("event_type", "event_name").distinct()
+    return sorted(events.event_label(r["event_type"], r["event_name"]) for r in pairs.collect())
+
+
+def raw_steps(inputs: Inputs) -> list[Step]:
     """Raw zone: product-locations, long sales, calendar, daily prices."""
     if inputs.sales_wide is not None:
-        prodloc = raw.prodloc_raw(inputs.sales_wide)
-        sales = raw.sales_raw(inputs.sales_wide, inputs.calendar)
+        prodloc = lambda: raw.prodloc_raw(inputs.sales_wide)
+        sales = lambda: raw.sales_raw(inputs.sales_wide, inputs.calendar)
     elif inputs.sales_long is not None and inputs.prodloc is not None:
-        prodloc, sales = inputs.prodloc, inputs.sales_long
+        prodloc, sales = lambda: inputs.prodloc, lambda: inputs.sales_long
     else:
         raise ValueError("give sales_wide, or sales_long and prodloc")
-    write_zone(prodloc, root, "2.raw", "prodloc_raw", stamp=stamp)
-    write_zone(sales, root, "2.raw", "sales_raw", stamp=stamp)
-    write_zone(raw.calendar_raw(inputs.calendar), root, "2.raw", "calendar_raw", stamp=stamp)
-    known = read_latest(spark, root, "2.raw", "prodloc_raw")
-    days = read_latest(spark, root, "2.raw", "calendar_raw")
-    write_zone(raw.price_daily(inputs.prices, known, days), root, "2.raw", "price_raw", stamp=stamp)
+    return [
+        Step("2.raw", "prodloc_raw", (), prodloc),
+        Step("2.raw", "sales_raw", (), sales),
+        Step("2.raw", "calendar_raw", (), lambda: raw.calendar_raw(inputs.calendar)),
+        Step("2.raw", "price_raw", ("prodloc_raw", "calendar_raw"), lambda known, days: raw.price_daily(inputs.prices, known, days)),
+    ]
 
 
-def build_interim(
-    spark: SparkSession, root: str, event_names: Sequence[str], threshold: float, stamp: str
-) -> None:
+def interim_steps(event_names: Sequence[str], threshold: float) -> list[Step]:
     """Interim zone, from the newest raw snapshots."""
-    prodloc = read_latest(spark, root, "2.raw", "prodloc_raw")
-    sales = read_latest(spark, root, "2.raw", "sales_raw")
-    calendar = read_latest(spark, root, "2.raw", "calendar_raw")
-
-    def save(df: DataFrame, name: str, **options) -> None:
-        write_zone(df, root, "3.interim", name, stamp=stamp, **options)
-
-    save(interim.prodloc_lifecycle(prodloc, sales), "prodlocs")
-    save(interim.sales_interim(sales, threshold), "sales", sort_by=["id", "date"])
-    save(events.event_flags(calendar, event_names), "calendar_event_bool_features")
-    labels = sorted(
-        events.event_label(r["event_type"], r["event_name"])
-        for r in event_days(calendar)
-        .where(F.col("event_name").isin(list(event_names)))
-        .select("event_type", "event_name")
-        .distinct()
-        .collect()
-    )
-    save(events.event_post_effects(calendar, labels), "event_post_effect_features")
-    save(calendars.snap_long(calendar), "snap_features")
-    save(calendars.calendar_features(calendar), "calender_features")
-    save(events.event_window_memberships(calendar, event_names), "calendar_event_gmm_features")
-
-
-def build_design(spark: SparkSession, root: str, stamp: str) -> None:
-    """Processed zone: the design matrix, sorted by id and date inside each file."""
-
-    def newest(name: str) -> DataFrame:
-        return read_latest(spark, root, "3.interim", name)
-
-    regressors = design.regressor_table(
-        newest("snap_features"),
-        newest("calender_features"),
-        newest("calendar_event_bool_features"),
-        newest("calendar_event_gmm_features"),
-    )
-    # Written and read again: with its true size known, the join to the facts
-    # is a broadcast from the start and the panel is shuffled once.
-    write_zone(regressors, root, "3.interim", "regressor_table", stamp=stamp)
-    matrix = design.design_matrix(newest("sales"), newest("prodlocs"), newest("regressor_table"))
-    write_zone(matrix, root, "4.processed", "designmatrix", stamp=stamp, sort_by=["id", "date"])
+    names = list(event_names)
+    calendar = ("calendar_raw",)
+    return [
+        Step("3.interim", "prodlocs", ("prodloc_raw", "sales_raw"), interim.prodloc_lifecycle),
+        Step("3.interim", "sales", ("sales_raw",), lambda sales: interim.sales_interim(sales, threshold), ("id", "date")),
+        Step("3.interim", "calendar_event_bool_features", calendar, lambda c: events.event_flags(c, names)),
+        Step("3.interim", "event_post_effect_features", calendar, lambda c: events.event_post_effects(c, _event_labels(c, names))),
+        Step("3.interim", "snap_features", calendar, calendars.snap_long),
+        Step("3.interim", "calender_features", calendar, calendars.calendar_features),
+        Step("3.interim", "calendar_event_gmm_features", calendar, lambda c: events.event_window_memberships(c, names)),
+    ]
+
+
+def design_steps() -> list[Step]:
+    """Regressor table and design matrix, the latter sorted by id and date inside each file.
+
+    The regressor table is a data set: with its true size known, the join to the facts is a broadcast from the start
+    and the panel is shuffled once.
+    """
+    features = ("snap_features", "calender_features", "calendar_event_bool_features", "calendar_event_gmm_features")
+    return [
+        Step("3.interim", "regressor_table", features, design.regressor_table),
+        Step("4.processed", "designmatrix", ("sales", "prodlocs", "regressor_table"), design.design_matrix, ("id", "date")),
+    ]
+
+
+def _newest_stamp(spark: SparkSession, root: str, zone: str, name: str) -> str | None:
+    try:
+        stamps = snapshot_stamps(spark, zone_path(root, zone, name))
+    except AnalysisException:  # nothing was ever written there
+        return None
+    return stamps[-1] if stamps else None
+
+
+def run_steps(
+    spark: SparkSession, root: str, steps: Sequence[Step], stamp: str, settings: str = "", version: str | None = None
+) -> list[tuple[str, str]]:
+    """Run the steps whose inputs have changed and return the (zone, data set) pairs written.
+
+    Beside each data set lies a manifest of the snapshots and settings that it was made from, written after it. A step
+    is left out if its newest manifest names its newest snapshot and today's inputs. So a second run writes nothing, and
+    a run that failed goes on with the step that was lost. Steps without inputs in the zones depend on ``version``, the
+    caller's name for the external files; without one they always run.
+    """
+    written = []
+    for step in steps:
+        used = [f"{n}={_newest_stamp(spark, root, ZONE_OF[n], n)}" for n in step.needs]
+        made_from = ";".join([*used, f"settings={settings}", f"version={version}"])
+        newest = _newest_stamp(spark, root, step.zone, step.name)
+        known = version is not None or step.zone != "2.raw"
+        if known and newest is not None and _newest_stamp(spark, root, step.zone, f"{step.name}_manifest") == newest:
+            if read_latest(spark, root, step.zone, f"{step.name}_manifest").first()["made_from"] == made_from:
+                continue
+        inputs = [read_latest(spark, root, ZONE_OF[n], n) for n in step.needs]
+        write_zone(step.make(*inputs), root, step.zone, step.name, stamp=stamp, sort_by=list(step.sort_by) or None)
+        manifest = inline_table(spark, [(made_from,)], "made_from string")
+        write_zone(manifest, root, step.zone, f"{step.name}_manifest", stamp=stamp)
+        written.append((step.zone, step.name))
+    return written
 
 
 def build_backtest(
@@ -145,14 +183,21 @@ def build_backtest(
 
 
 def build_all(
-    spark: SparkSession, root: str, inputs: Inputs, threshold: float = interim.LIVE_THRESHOLD
+    spark: SparkSession,
+    root: str,
+    inputs: Inputs,
+    threshold: float = interim.LIVE_THRESHOLD,
+    version: str | None = None,
 ) -> list[tuple[str, str]]:
-    """Run every step and return the (zone, data set) pairs written."""
-    stamp = new_stamp()
-    build_raw(spark, root, inputs, stamp)
-    build_interim(spark, root, inputs.event_names, threshold, stamp)
-    build_design(spark, root, stamp)
-    return list(DATA_SETS)
+    """Bring every data set up to date and return the (zone, data set) pairs written.
+
+    ``version`` names the external inputs; with the same one again only what is missing or older than its inputs is made.
+    """
+    stamp, names = new_stamp(), sorted(inputs.event_names)
+    settings = f"events {names} threshold {threshold}"
+    written = run_steps(spark, root, raw_steps(inputs), stamp, version=version)
+    written += run_steps(spark, root, interim_steps(inputs.event_names, threshold), stamp, settings)
+    return written + run_steps(spark, root, design_steps(), stamp)
 
 
 def row_counts(spark: SparkSession, root: str, written: Sequence[tuple[str, str]]) -> DataFrame:
