@@ -153,6 +153,25 @@ def test_approximate_entropy(spark, kind, level):
         assert got[k] == pytest.approx(_brute_entropy(vs, 2, level * np.std(vs)), abs=1e-9)
 
 
+def test_wide_tolerance_of_a_long_series_equals_brute_force(spark):
+    """Two thousand days of fractions, of equal values and with a gap; no series is handed to one task."""
+    rng = np.random.default_rng(8)
+    wave = [float(v) for v in np.sin(np.arange(2000) / 9) + rng.normal(0, 0.3, 2000)]
+    rows = [("wave", d, v) for d, v in enumerate(wave)] + [("flat", d, 2.5) for d in range(300)]
+    rows += [("gap", d, float("nan") if d == 7 else 0.5 * d) for d in range(30)] + [("short", 0, 1.0)]
+    df = spark.createDataFrame(rows, "id string, date int, sales double")
+    out = series.approximate_entropy(df, 3, 0.2)
+    got = {r["id"]: r["approximate_entropy"] for r in out.collect()}
+    tolerance, known = 0.2 * np.std(wave), []
+    for size in (3, 4):
+        windows = np.lib.stride_tricks.sliding_window_view(np.array(wave), size)
+        shares = [np.mean(np.abs(windows - w).max(axis=1) <= tolerance) for w in windows]
+        known.append(np.mean(np.log(shares)))
+    assert got["wave"] == pytest.approx(abs(known[0] - known[1]), abs=1e-9)
+    assert got["flat"] == pytest.approx(0) and got["gap"] is None and got["short"] is None
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_deseasonalize_removes_its_own_wave(spark):
     t = np.arange(140)
     rows = [("a", int(i), float(10 + 3 * np.sin(2 * np.pi * i / 7))) for i in t]

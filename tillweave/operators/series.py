@@ -6,6 +6,8 @@ A series has one value per day, so its length is bounded by the date range.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,8 @@ from tillweave.operators.relational import quoted
 # keeps empty frequencies positive.
 MAX_AR_LAG = 25
 PRIOR_WEIGHT = 0.0001
-ENTROPY_BLOCK = 256
+# Days of a window that place it in a grid; each one triples the cells that a window is compared with.
+GRID_DAYS = 2
 
 
 def _ordered(id_col: str, date_col: str):
@@ -198,10 +201,10 @@ def approximate_entropy(
 
     phi(m) is the mean log share of windows of length m within the tolerance of
     each window. Whole numbers closer than 1 are equal, so below a tolerance of
-    1 similar windows are identical ones and are simply counted. Only series
-    with a wider tolerance (or fractional values) are compared window by
-    window, one series per task group. Series of fewer than m + 1 days, and
-    those with a null value, have null.
+    1 similar windows are identical ones and are simply counted. Only windows of
+    series with a wider tolerance (or fractional values) are compared, with
+    those of near cells of a grid. Series of fewer than m + 1 days, and those
+    with a null or NaN value, have null.
     """
     whole_numbers = isinstance(df.schema[value].dataType, T.IntegralType)
     # All windows are over the days of one series, so one shuffle serves them.
@@ -211,7 +214,7 @@ def approximate_entropy(
         date_col,
         F.col(value).cast("double").alias("_x"),
         (F.lit(filtering_level) * F.stddev_pop(value).over(series)).alias("_r"),
-        F.max(F.col(value).isNull()).over(series).alias("_gap"),
+        F.max(F.col(value).isNull() | F.isnan(F.col(value).cast("double"))).over(series).alias("_gap"),
     )
     exact = F.lit(whole_numbers) & ~F.col("_gap") & F.coalesce(F.col("_r") < 1.0, F.lit(False))
     counted = _entropy_by_counts(rows.where(exact), run_length, id_col, date_col)
@@ -242,30 +245,44 @@ def _entropy_by_counts(rows: DataFrame, m: int, id_col: str, date_col: str) -> D
     return heads.groupBy(id_col).agg(F.abs(short - long).alias("approximate_entropy"))
 
 
-def _similar_share(x: np.ndarray, m: int, r: float) -> float:
-    windows = np.lib.stride_tricks.sliding_window_view(x, m)
-    logs = 0.0
-    for begin in range(0, len(windows), ENTROPY_BLOCK):
-        block = windows[begin : begin + ENTROPY_BLOCK]
-        far = np.zeros((len(block), len(windows)))
-        for j in range(m):
-            np.maximum(far, np.abs(block[:, j, None] - windows[None, :, j]), out=far)
-        logs += np.log((far <= r).sum(axis=1) / len(windows)).sum()
-    return logs / len(windows)
-
-
 def _entropy_by_distance(rows: DataFrame, m: int, id_col: str, date_col: str) -> DataFrame:
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date_col)
-        x = pdf["_x"].to_numpy(dtype=float)
-        r = float(pdf["_r"].iloc[0]) if pdf["_r"].notna().any() else np.nan
-        if len(x) <= m or np.isnan(x).any():
-            return pd.DataFrame({id_col: [key[0]], "approximate_entropy": [None]})
-        entropy = abs(_similar_share(x, m, r) - _similar_share(x, m + 1, r))
-        return pd.DataFrame({id_col: [key[0]], "approximate_entropy": [entropy]})
-
-    schema = T.StructType([rows.schema[id_col], T.StructField("approximate_entropy", T.DoubleType())])
-    return rows.groupBy(id_col).applyInPandas(one, schema)
+    """Windows are counted once each, put into cells as wide as the tolerance on their first days, and compared with
+    those of the cells around them only. Cells are dealt over tasks, so a series meets no single one.
+
+    A window has its m days and, but for the last one, the day after: the same pairs serve both lengths.
+    """
+    days = [f"_x{j}" for j in range(m + 1)]
+    place, series = _ordered(id_col, date_col), Window.partitionBy(id_col)
+    # The day after may be missing, the others not.
+    windows = rows.select(
+        id_col, "_r", "_gap", F.count(F.lit(1)).over(series).alias("_days"), *[F.lead("_x", j).over(place).alias(c) for j, c in enumerate(days)]
+    )
+    usable = ~F.col("_gap") & (F.col("_days") > m) & F.col(days[m - 1]).isNotNull()
+    counted = windows.where(usable).groupBy(id_col, "_r", "_days", *days).agg(F.count(F.lit(1)).alias("_n"))
+    # A little wider than the tolerance, so that rounding puts no similar window two cells away.
+    wide = F.col("_r") * (1 + 1e-9)
+    axes = days[: min(m, GRID_DAYS)]
+    cells = {f"_cell{j}": F.when(F.col("_r") > 0, F.floor(F.col(c) / wide).cast("double")).otherwise(F.col(c)) for j, c in enumerate(axes)}
+    own = counted.withColumns(cells)
+    near = own.select(id_col, *days, "_n", *cells)
+    for name in cells:
+        steps = F.when(F.col("_r") > 0, F.array(*[F.col(name) + F.lit(float(k)) for k in (-1, 0, 1)])).otherwise(F.array(name))
+        own = own.withColumn(name, F.explode(steps))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [id_col, *cells]]
+    close = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= F.col("a._r") for c in days]
+    similar = reduce(and_, close[:m])
+    pairs = own.alias("a").join(near.alias("b"), reduce(and_, [*same, similar]))
+    keys = [F.col(f"a.{c}").alias(c) for c in [id_col, "_days", "_n", *days]]
+    shares = pairs.groupBy(*keys).agg(F.sum("b._n").alias("_short"), F.sum(F.when(close[m], F.col("b._n"))).alias("_long"))
+
+    def phi(found: str, length: int) -> Column:
+        count = F.col("_days") - (length - 1)
+        return F.sum(F.when(F.col(found).isNotNull(), F.col("_n") * F.log(F.col(found) / count) / count))
+
+    entropy = shares.groupBy(id_col).agg(F.abs(phi("_short", m) - phi("_long", m + 1)).alias("approximate_entropy"))
+    ids = rows.select(id_col).distinct()
+    same_id = F.col(f"i.{id_col}").eqNullSafe(F.col(f"e.{id_col}"))
+    return ids.alias("i").join(entropy.alias("e"), same_id, "left").select(F.col(f"i.{id_col}").alias(id_col), "approximate_entropy")
 
 
 def _lagged(df: DataFrame, max_lag: int, value: str, id_col: str, date_col: str) -> tuple[DataFrame, list[str]]:
