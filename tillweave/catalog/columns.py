@@ -256,17 +256,17 @@ def drop_nulls(spark, data_dir):
 
 @query(
     "fill_zero",
-    """SELECT p_partkey, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS units FROM part
-       LEFT JOIN (SELECT * FROM lineitem WHERE l_discount > 0.09) ON p_partkey = l_partkey GROUP BY p_partkey""",
+    """SELECT c_custkey, CAST(coalesce(count(event_id), 0) AS BIGINT) AS events, coalesce(round(sum(value), 4), 0) AS value
+       FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey""",
 )
 def fill_zero(spark, data_dir):
-    units = (
-        table(spark, data_dir, "lineitem")
-        .where("l_discount > 0.09")
-        .groupBy(F.col("l_partkey").alias("p_partkey"))
-        .agg(F.sum("l_quantity").cast("long").alias("units"))
+    events = (
+        table(spark, data_dir, "events")
+        .groupBy(F.col("user_id").alias("c_custkey"))
+        .agg(F.count("event_id").alias("events"), F.round(F.sum("value"), 4).alias("value"))
     )
-    return table(spark, data_dir, "part").select("p_partkey").join(units, "p_partkey", "left").transform(nulls.fill_zero, ["units"])
+    joined = table(spark, data_dir, "customer").select("c_custkey").join(events, "c_custkey", "left")
+    return joined.transform(nulls.fill_zero, ["events", "value"])
 
 
 @query(

@@ -18,6 +18,11 @@ def order_side(spark, data_dir):
     return table(spark, data_dir, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", "o_orderstatus")
 
 
+def event_side(spark, data_dir):
+    """Events by user. Most customers have none, so an outer join has rows to keep."""
+    return table(spark, data_dir, "events").select(F.col("user_id").alias("custkey"), "event_id", "event_type")
+
+
 @query(
     "join_inner",
     """SELECT o_custkey AS custkey, o_orderkey, o_orderstatus, c_name, c_mktsegment
@@ -29,55 +34,48 @@ def join_inner(spark, data_dir):
 
 @query(
     "join_left",
-    """SELECT c_custkey AS custkey, c_name, c_mktsegment, o_orderkey, o_orderstatus
-       FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey""",
+    """SELECT c_custkey AS custkey, c_name, c_mktsegment, event_id, event_type
+       FROM customer LEFT JOIN events ON user_id = c_custkey""",
 )
 def join_left(spark, data_dir):
-    finished = order_side(spark, data_dir).where("o_orderstatus = 'F'")
-    return join_tables(customer_side(spark, data_dir), finished, ["custkey"], "left")
+    return join_tables(customer_side(spark, data_dir), event_side(spark, data_dir), ["custkey"], "left")
 
 
 @query(
     "join_right",
-    """SELECT o_custkey AS custkey, c_name, c_mktsegment, o_orderkey, o_orderstatus
-       FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') RIGHT JOIN orders ON o_custkey = c_custkey""",
+    """SELECT c_custkey AS custkey, event_id, event_type, c_name, c_mktsegment
+       FROM events RIGHT JOIN customer ON user_id = c_custkey""",
 )
 def join_right(spark, data_dir):
-    builders = customer_side(spark, data_dir).where("c_mktsegment = 'BUILDING'")
-    return join_tables(builders, order_side(spark, data_dir), ["custkey"], "right")
+    return join_tables(event_side(spark, data_dir), customer_side(spark, data_dir), ["custkey"], "right")
 
 
 @query(
     "join_full",
-    """SELECT coalesce(c_custkey, o_custkey) AS custkey, c_name, c_mktsegment, o_orderkey, o_orderstatus
-       FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING')
-       FULL JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey""",
+    """SELECT coalesce(c_custkey, user_id) AS custkey, c_name, c_mktsegment, event_id, event_type
+       FROM customer FULL JOIN events ON user_id = c_custkey""",
 )
 def join_full(spark, data_dir):
     """The key columns of both sides become one."""
-    builders = customer_side(spark, data_dir).where("c_mktsegment = 'BUILDING'")
-    finished = order_side(spark, data_dir).where("o_orderstatus = 'F'")
-    return join_tables(builders, finished, ["custkey"], "full")
+    return join_tables(customer_side(spark, data_dir), event_side(spark, data_dir), ["custkey"], "full")
 
 
 @query(
     "join_semi",
     """SELECT c_custkey AS custkey, c_name, c_mktsegment FROM customer
-       WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""",
+       WHERE EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)""",
 )
 def join_semi(spark, data_dir):
-    pending = order_side(spark, data_dir).where("o_orderstatus = 'P'")
-    return join_tables(customer_side(spark, data_dir), pending, ["custkey"], "semi")
+    return join_tables(customer_side(spark, data_dir), event_side(spark, data_dir), ["custkey"], "semi")
 
 
 @query(
     "join_anti",
     """SELECT c_custkey AS custkey, c_name, c_mktsegment FROM customer
-       WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""",
+       WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)""",
 )
 def join_anti(spark, data_dir):
-    pending = order_side(spark, data_dir).where("o_orderstatus = 'P'")
-    return join_tables(customer_side(spark, data_dir), pending, ["custkey"], "anti")
+    return join_tables(customer_side(spark, data_dir), event_side(spark, data_dir), ["custkey"], "anti")
 
 
 @query("join_cross", "SELECT s_suppkey, s_name, r_name FROM supplier CROSS JOIN region")
