@@ -256,6 +256,51 @@ def test_leaks_are_found_and_clean_documents_are_not(spark):
         assert len(runs & {tuple(own[k : k + 5]) for k in range(len(own) - 4)}) >= 0.4 * len(runs)
 
 
+def test_a_changed_word_hides_no_item(spark):
+    """One changed word in a short answer, in a short question, in both parts of a long item; a question alone is no leak."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    words = lambda n: [word() for _ in range(n)]
+    short, brief, long = (words(40), words(4)), (words(5), words(30)), (words(150), words(12))
+    items = [(i, " ".join(q) + "? " + " ".join(a) + ".") for i, (q, a) in enumerate((short, brief, long), 1)]
+
+    def changed(part, at):
+        return [*part[:at], "other", *part[at + 1 :]]
+
+    texts = {
+        1: [*short[0], *changed(short[1], 2)],
+        2: [*changed(brief[0], 2), *brief[1]],
+        3: [*changed(long[0], 75), *changed(long[1], 6)],
+        4: [*short[0], *words(60)],
+        5: [*words(60), *brief[1]],
+        6: [*long[0][:60], *words(200)],
+        7: [*long[0], *words(200)],
+        8: words(200),
+    }
+    body = [(i, " ".join([*words(300), *t, *words(300)])) for i, t in texts.items()]
+    docs = spark.createDataFrame([*body, *body[:1]], "doc_id long, text string")
+    for kind in ("smallint", "decimal(12,0)", "string"):
+        table = spark.createDataFrame(items, "item_id int, text string").selectExpr(f"CAST(item_id AS {kind}) AS item_id", "text")
+        got = sorted((r["doc_id"], int(r["item_id"])) for r in decontam.find_leaks(docs, table).collect())
+        assert got == [(1, 1), (1, 1), (2, 2), (3, 3)]
+    assert sorted(r["doc_id"] for r in decontam.documents_without_leaks(docs, table).collect()) == [4, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_words_in_order_equal_brute_force(seed):
+    draw = random.Random(seed)
+    part, region = [[draw.choice("abcdef") for _ in range(n)] for n in (5, 30)]
+    best = 0
+    for i in range(len(region)):
+        stretch = region[i : i + 10]
+        for bits in range(32):
+            rest = iter(stretch)
+            chosen = [w for k, w in enumerate(part) if bits >> k & 1]
+            if all(w in rest for w in chosen):
+                best = max(best, len(chosen))
+    assert decontam.in_order(region, part) == best / 5
+
+
 def test_long_items_are_cut_and_found(spark):
     draw = random.Random(3)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))

@@ -7,7 +7,9 @@ are divided by the score the chunk has with itself, so the threshold is a share
 Retrieval finds every chunk at or over the threshold. Terms are set apart, most frequent first, as long as no chunk can reach
 the threshold with them alone (as in MaxScore); postings of the other terms carry the largest impact per block of
 chunks. A passage sums block maxima of its terms; only blocks whose sum, with what the common terms can
-add, reaches the threshold are scored exactly. Found pairs are then verified on the words themselves.
+add, reaches the threshold are scored exactly. Found pairs are then verified on the words themselves: question and
+answer must both be there. A chunk that holds too little of one of them is verified with the item's whole question or
+answer, looked for as far before or after the passage as the item reaches.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tillweave.llm.common import map_batches
 
@@ -31,6 +34,9 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: Words of a shingle, and the shares of a chunk's question and answer shingles that a passage must hold.
 SHINGLE, QUESTION_SHARE, ANSWER_SHARE = 5, 0.5, 0.5
+#: In parts of fewer words one changed word spoils more than half of the shingles. They are also held if this share of
+#: their words stands in order within twice their length.
+SHORT_PART, SHORT_SHARE = 14, 0.6
 #: Items of one index; more are asked in several indexes with the same global statistics.
 SHARD_ITEMS = 50_000
 
@@ -45,15 +51,35 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in map(bare, (text or "").split()) if w]
 
 
-def cut_item(text: str | None) -> list[tuple[list[str], int]]:
-    """Chunks of an item: words, and how many of them are question; the words of the last sentence are the answer."""
+def split_item(text: str | None) -> tuple[list[str], list[str]]:
+    """Words of an item's question and of its answer, which is the last sentence; one sentence alone is all question."""
     body = (text or "").strip()
     cut = max(body.rfind(". ", 0, len(body) - 1), body.rfind("? ", 0, len(body) - 1), body.rfind("\n"))
-    question = words_of(body[: cut + 1]) if cut > 0 else words_of(body)
-    words = question + (words_of(body[cut + 1 :]) if cut > 0 else [])
+    return (words_of(body[: cut + 1]), words_of(body[cut + 1 :])) if cut > 0 else (words_of(body), [])
+
+
+@dataclass(frozen=True)
+class Proof:
+    """What verifies a chunk: words of question and answer, and how far the item reaches before and after the chunk."""
+
+    question: list[str]
+    answer: list[str]
+    before: int
+    after: int
+
+
+def cut_item(text: str | None) -> list[tuple[list[str], Proof]]:
+    """Chunks of an item: words, and what verifies them."""
+    question, answer = split_item(text)
+    words = question + answer
     count = -(-len(words) // CHUNK)
     edges = [round(k * len(words) / count) for k in range(count + 1)] if count else []
-    return [(words[a:b], min(b, max(a, len(question))) - a) for a, b in zip(edges, edges[1:])]
+    chunks = []
+    for a, b in zip(edges, edges[1:]):
+        cut = min(b, max(a, len(question)))
+        parts = [own if len(own) >= min(SHORT_PART, len(whole)) else whole for own, whole in ((words[a:cut], question), (words[cut:b], answer))]
+        chunks.append((words[a:b], Proof(*parts, a, len(words) - b)))
+    return chunks
 
 
 @dataclass
@@ -62,8 +88,7 @@ class Index:
 
     items: list
     chunk_item: np.ndarray
-    chunk_words: list[list[str]]
-    chunk_question: list[int]
+    proofs: list[Proof]
     vocabulary: dict[str, int]
     essential: np.ndarray
     starts: np.ndarray
@@ -77,12 +102,12 @@ class Index:
 
 def build_index(items: list[tuple], frequency: dict[str, int], chunks: int, mean_words: float) -> Index | None:
     """Index of (item id, text) with the statistics of all chunks: frequency per term, number, mean length."""
-    chunk_item, chunk_words, chunk_question = [], [], []
+    chunk_item, chunk_words, proofs = [], [], []
     for item, text in items:
-        for words, question in cut_item(text):
+        for words, proof in cut_item(text):
             chunk_item.append(item)
             chunk_words.append(words)
-            chunk_question.append(question)
+            proofs.append(proof)
     if not chunk_words:
         return None
     vocabulary = {w: i for i, w in enumerate(sorted({w for words in chunk_words for w in words}))}
@@ -119,15 +144,17 @@ def build_index(items: list[tuple], frequency: dict[str, int], chunks: int, mean
     np.maximum.at(maxima, where, weight[keep])
     starts = np.searchsorted(pairs // count, np.arange(len(vocabulary) + 1))
     block_terms, block_weights = [], []
+    by_block = np.argsort(col // BLOCK, kind="stable")
+    edges = np.searchsorted(col[by_block] // BLOCK, np.arange(count + 1))
     for b in range(count):
-        inside = np.nonzero(col // BLOCK == b)[0]
+        inside = by_block[edges[b] : edges[b + 1]]
         terms = np.unique(row[inside])
         dense = np.zeros((len(terms), BLOCK))
         dense[np.searchsorted(terms, row[inside]), col[inside] % BLOCK] = weight[inside]
         block_terms.append(terms)
         block_weights.append(dense)
     return Index(
-        [i for i, _ in items], np.array(chunk_item, dtype=object), chunk_words, chunk_question, vocabulary, essential,
+        [i for i, _ in items], np.array(chunk_item, dtype=object), proofs, vocabulary, essential,
         starts, pairs % count, maxima, common_max, block_terms, block_weights,
     )
 
@@ -212,15 +239,47 @@ def _shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def overlap(region: list[str], chunk: list[str], question: int) -> tuple[float, float]:
-    """Shares of the question's and the answer's shingles that the region holds; 1 for a part without words."""
-    shares = []
-    for part in (chunk[:question], chunk[question:]):
-        wanted = _shingles(part)
-        n = min(SHINGLE, len(part))
-        held = {tuple(region[i : i + n]) for i in range(len(region) - n + 1)} if n else set()
-        shares.append(len(wanted & held) / len(wanted) if wanted else 1.0)
-    return shares[0], shares[1]
+def in_order(region: list[str], part: list[str]) -> float:
+    """Largest share of the part's words that stand in its order within any stretch of twice its length."""
+    best, known, n = 0, set(part), len(part)
+    for i, word in enumerate(region):
+        if word not in known:
+            continue
+        longest = [0] * (n + 1)  # common subsequence of the stretch so far and the part up to each word
+        for w in region[i : i + 2 * n]:
+            if w in known:
+                left = 0
+                for j in range(n):
+                    left, longest[j + 1] = longest[j + 1], left + 1 if part[j] == w else max(longest[j], longest[j + 1])
+        best = max(best, longest[n])
+    return best / n
+
+
+def held(region: list[str], part: list[str], least: float) -> tuple[float, bool]:
+    """Share of the part's shingles that the region has, and whether that is enough.
+
+    A part of fewer than ``SHORT_PART`` words may have its words in order instead. A part without words is held.
+    """
+    if not part:
+        return 1.0, True
+    n = min(SHINGLE, len(part))
+    wanted = _shingles(part)
+    share = len(wanted & {tuple(region[i : i + n]) for i in range(len(region) - n + 1)}) / len(wanted)
+    if share < least and len(part) < SHORT_PART:
+        share = in_order(region, part)
+        return share, share >= SHORT_SHARE
+    return share, share >= least
+
+
+def overlap(words: list[str], start: int, proof: Proof) -> tuple[float, float] | None:
+    """Shares of question and answer that the text holds around a passage; None if one of them is too low."""
+    begin, end = start - STRIDE, start + PASSAGE + STRIDE
+    region = words[max(0, begin - proof.before) : end + proof.after]
+    question, asked = held(region, proof.question, QUESTION_SHARE)
+    if not asked:
+        return None
+    answer, answered = held(region, proof.answer, ANSWER_SHARE)
+    return (question, answer) if answered else None
 
 
 def leaks_in(texts: list[str], index: Index, ids: _Ids) -> Iterator[tuple[int, object, float, int, float, float]]:
@@ -230,10 +289,9 @@ def leaks_in(texts: list[str], index: Index, ids: _Ids) -> Iterator[tuple[int, o
     for text, chunk, score, start in retrieve(texts, index, ids):
         if text not in words:
             words[text] = words_of(texts[text])
-        region = words[text][max(0, start - STRIDE) : start + PASSAGE + STRIDE]
-        question, answer = overlap(region, index.chunk_words[chunk], index.chunk_question[chunk])
-        if question >= QUESTION_SHARE and answer >= ANSWER_SHARE:
-            found = (score, -start, question, answer)
+        shares = overlap(words[text], start, index.proofs[chunk])
+        if shares is not None:
+            found = (score, -start, *shares)
             key = (text, index.chunk_item[chunk])
             if key not in best or found > best[key]:
                 best[key] = found
@@ -252,8 +310,8 @@ def _item_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(sizes, pa.int64())], ["term", "size"])
 
 
-def indexes(items: DataFrame, item_col: str, text_col: str) -> list[Index]:
-    """One index for each ``SHARD_ITEMS`` items, with statistics of all items.
+def indexes(items: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
+    """One index after the other for each ``SHARD_ITEMS`` items, with statistics of all items.
 
     Items without id or words can't be found. Rows that repeat an id add chunks to the item.
     """
@@ -261,10 +319,9 @@ def indexes(items: DataFrame, item_col: str, text_col: str) -> list[Index]:
     terms = map_batches(rows.select("text"), lambda: _item_terms, "term string, size bigint")
     totals = terms.where(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()
     if not totals["n"]:
-        return []
+        return
     counts = terms.where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     shards = -(-rows.count() // SHARD_ITEMS)
-    out = []
     for shard in range(shards):
         part = rows.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard)
         own = map_batches(part.select("text"), lambda: _item_terms, "term string, size bigint").select("term").distinct()
@@ -272,8 +329,7 @@ def indexes(items: DataFrame, item_col: str, text_col: str) -> list[Index]:
         listed = [(r["item"], r["text"]) for r in part.orderBy("item", "text").collect()]
         built = build_index(listed, frequency, totals["n"], totals["mean"])
         if built is not None:
-            out.append(built)
-    return out
+            yield built
 
 
 _PAIR_KINDS = (("score", pa.float64()), ("first_word", pa.int64()), ("question_share", pa.float64()), ("answer_share", pa.float64()))
@@ -301,11 +357,13 @@ def find_leaks(
     """(id, item, score, first_word, question_share, answer_share): one row per document and item it holds.
 
     ``score`` is the BM25 score of the best verified passage as a share of the chunk's own score. Null and empty texts hold
-    nothing; a repeated document row gives its rows again. Empty tables give no rows. Other columns are not read.
+    nothing; a repeated document row gives its rows again. Empty tables give no rows. Other columns are not read. Texts are
+    read whole, at any length. Ids of either table may be of any plain type; items without id are not searched for.
+    Among equal scores the first passage counts.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
+    item_type = to_arrow_type(items.schema[item_col].dataType)
     schema = f"id {kind}, item {item_kind}, score double, first_word bigint, question_share double, answer_share double"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
@@ -316,7 +374,11 @@ def find_leaks(
 
 
 def documents_without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents that hold no test item, with all their columns; rows are dropped where they are read."""
+    """The documents that hold no test item, with all their columns; rows are dropped where they are read.
+
+    Null and empty texts stay, repeated rows stay or go together, and whole texts are read at any length. With no items
+    all documents stay. Columns may have any names, since they are numbered on the way.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields)]
     place = docs.columns.index(text_col)
