@@ -245,12 +245,15 @@ def in_order(region: list[str], part: list[str]) -> float:
     for i, word in enumerate(region):
         if word not in known:
             continue
+        stretch = [w for w in region[i : i + 2 * n] if w in known]
+        there = set(stretch)
+        if min(len(stretch), sum(w in there for w in part)) <= best:  # not even in any order
+            continue
         longest = [0] * (n + 1)  # common subsequence of the stretch so far and the part up to each word
-        for w in region[i : i + 2 * n]:
-            if w in known:
-                left = 0
-                for j in range(n):
-                    left, longest[j + 1] = longest[j + 1], left + 1 if part[j] == w else max(longest[j], longest[j + 1])
+        for w in stretch:
+            left = 0
+            for j in range(n):
+                left, longest[j + 1] = longest[j + 1], left + 1 if part[j] == w else max(longest[j], longest[j + 1])
         best = max(best, longest[n])
     return best / n
 
