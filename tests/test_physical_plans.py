@@ -10,6 +10,7 @@ from tillweave.operators.panel import trim_before_first_sale
 from tillweave.operators.relational import quoted
 from tillweave.plans import design, interim, raw
 from tillweave.sources import sample_tables as tables
+from tillweave.sources import zones
 
 
 def plan_of(df) -> str:
@@ -36,6 +37,24 @@ def test_flagging_shuffles_once(written):
     assert "Join" not in plan
 
 
+def test_bucketed_panel_is_not_shuffled(spark, written, tmp_path):
+    """Trimming, flags and a join by id of a panel in buckets, read by this session and by one that did not write it."""
+    root = str(tmp_path)
+    zones.write_bucketed(written["sales"], ["id"], 4, root, "2.raw", "sales", sort_by=["id", "date"])
+    zones.write_bucketed(written["prodloc"], ["id"], 4, root, "2.raw", "prodloc")
+    want = interim.sales_interim(written["sales"])
+    for session in (spark, spark.newSession()):
+        for known in session.catalog.listTables(pattern="bucketed_*"):  # as in a session that starts with an empty catalog
+            session.sql(f"DROP TABLE {known.name}")
+        sales, prodloc = (zones.read_bucketed(session, root, "2.raw", name) for name in ("sales", "prodloc"))
+        flagged = interim.sales_interim(sales)
+        joined = flagged.join(prodloc.hint("merge"), "id")
+        assert "Exchange" not in plan_of(flagged) and "Exchange" not in plan_of(joined)
+        assert joined.count() == want.count()
+        assert sorted(map(tuple, flagged.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert sales.count() == zones.read_latest(spark, root, "2.raw", "sales").count()
+
+
 def test_melt_has_no_shuffle(spark, data_dir, written):
     plan = plan_of(raw.sales_raw(tables.sales_wide(spark, data_dir), written["calendar"]))
     assert "Exchange hashpartitioning" not in plan

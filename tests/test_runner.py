@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tillweave.plans import runner
 from tillweave.sources import sample_tables as tables
 from tillweave.sources.sample_tables import EVENT_NAMES
-from tillweave.sources.zones import read_latest
+from tillweave.sources.zones import is_bucketed, read_latest, write_bucketed
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +40,17 @@ def test_only_what_changed_is_made_again(spark, inputs, tmp_path, monkeypatch):
     assert runner.raw_steps(inputs)[0].name == "prodloc_raw"
     with pytest.raises(ValueError, match="give sales_wide"):
         runner.raw_steps(runner.Inputs(inputs.calendar, inputs.prices, EVENT_NAMES))
+
+
+def test_buckets_change_the_layout_and_no_row(spark, inputs, tmp_path):
+    plain, dealt = str(tmp_path / "plain"), str(tmp_path / "dealt")
+    assert runner.build_all(spark, plain, inputs, 0.001) == runner.build_all(spark, dealt, inputs, 0.001, buckets=4)
+    sizes = [sorted(map(tuple, runner.row_counts(spark, root, runner.DATA_SETS).collect())) for root in (plain, dealt)]
+    assert sizes[0] == sizes[1]
+    for name in ("sales_raw", "sales", "designmatrix"):
+        zone = runner.ZONE_OF[name]
+        assert is_bucketed(spark, dealt, zone, name) and not is_bucketed(spark, plain, zone, name)
+    a, b = (read_latest(spark, root, "3.interim", "sales") for root in (plain, dealt))
+    assert a.exceptAll(b).count() == 0
+    with pytest.raises(ValueError, match="at least one bucket"):
+        write_bucketed(a, [], 4, dealt, "2.raw", "x")

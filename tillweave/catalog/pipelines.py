@@ -119,6 +119,14 @@ def out_of_stock(spark, data_dir):
     return flagged_sales(spark, data_dir)
 
 
+@query("out_of_stock_from_buckets", "SELECT id, date, sales, zero_sales_ind, OOS FROM sales_oos")
+def out_of_stock_from_buckets(spark, data_dir):
+    """The panel written once in buckets of product-locations; trimming and flags then read it without a shuffle."""
+    root, buckets = scratch_folder(spark, "zones"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    zones.write_bucketed(tables.sales_long(spark, data_dir), ["id"], buckets, root, "2.raw", "sales_raw", sort_by=["id", "date"])
+    return interim.sales_interim(zones.read_bucketed(spark, root, "2.raw", "sales_raw"), SAMPLE_THRESHOLD)
+
+
 @query(
     "binomial_pmf",
     """SELECT id, CAST(n AS BIGINT) AS days, CAST(k AS BIGINT) AS zero_days,

@@ -18,7 +18,17 @@ from pyspark.sql import functions as F
 from tillweave.operators.summaries import event_days
 from tillweave.plans import calendar_features as calendars
 from tillweave.plans import backtest, design, events, interim, raw
-from tillweave.sources.zones import inline_table, new_stamp, read_latest, snapshot_stamps, write_zone, zone_path
+from tillweave.sources.zones import (
+    inline_table,
+    is_bucketed,
+    new_stamp,
+    read_bucketed,
+    read_latest,
+    snapshot_stamps,
+    write_bucketed,
+    write_zone,
+    zone_path,
+)
 
 
 @dataclass
@@ -66,6 +76,8 @@ class Step:
     needs: tuple[str, ...]
     make: Callable[..., DataFrame]
     sort_by: tuple[str, ...] = ()
+    #: Key by which it is dealt to buckets, if there are any.
+    by: tuple[str, ...] = ()
 
 
 ZONE_OF = {name: zone for zone, name in DATA_SETS}
@@ -87,8 +99,8 @@ def raw_steps(inputs: Inputs) -> list[Step]:
     else:
         raise ValueError("give sales_wide, or sales_long and prodloc")
     return [
-        Step("2.raw", "prodloc_raw", (), prodloc),
-        Step("2.raw", "sales_raw", (), sales),
+        Step("2.raw", "prodloc_raw", (), prodloc, by=("id",)),
+        Step("2.raw", "sales_raw", (), sales, ("id", "date"), ("id",)),
         Step("2.raw", "calendar_raw", (), lambda: raw.calendar_raw(inputs.calendar)),
         Step("2.raw", "price_raw", ("prodloc_raw", "calendar_raw"), lambda known, days: raw.price_daily(inputs.prices, known, days)),
     ]
@@ -99,8 +111,8 @@ def interim_steps(event_names: Sequence[str], threshold: float) -> list[Step]:
     names = list(event_names)
     calendar = ("calendar_raw",)
     return [
-        Step("3.interim", "prodlocs", ("prodloc_raw", "sales_raw"), interim.prodloc_lifecycle),
-        Step("3.interim", "sales", ("sales_raw",), lambda sales: interim.sales_interim(sales, threshold), ("id", "date")),
+        Step("3.interim", "prodlocs", ("prodloc_raw", "sales_raw"), interim.prodloc_lifecycle, by=("id",)),
+        Step("3.interim", "sales", ("sales_raw",), lambda sales: interim.sales_interim(sales, threshold), ("id", "date"), ("id",)),
         Step("3.interim", "calendar_event_bool_features", calendar, lambda c: events.event_flags(c, names)),
         Step("3.interim", "event_post_effect_features", calendar, lambda c: events.event_post_effects(c, _event_labels(c, names))),
         Step("3.interim", "snap_features", calendar, calendars.snap_long),
@@ -118,7 +130,7 @@ def design_steps() -> list[Step]:
     features = ("snap_features", "calender_features", "calendar_event_bool_features", "calendar_event_gmm_features")
     return [
         Step("3.interim", "regressor_table", features, design.regressor_table),
-        Step("4.processed", "designmatrix", ("sales", "prodlocs", "regressor_table"), design.design_matrix, ("id", "date")),
+        Step("4.processed", "designmatrix", ("sales", "prodlocs", "regressor_table"), design.design_matrix, ("id", "date"), ("id",)),
     ]
 
 
@@ -130,8 +142,22 @@ def _newest_stamp(spark: SparkSession, root: str, zone: str, name: str) -> str |
     return stamps[-1] if stamps else None
 
 
+def _newest(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The newest snapshot of a data set, in its buckets if it has any."""
+    zone = ZONE_OF[name]
+    if is_bucketed(spark, root, zone, name):
+        return read_bucketed(spark, root, zone, name)
+    return read_latest(spark, root, zone, name)
+
+
 def run_steps(
-    spark: SparkSession, root: str, steps: Sequence[Step], stamp: str, settings: str = "", version: str | None = None
+    spark: SparkSession,
+    root: str,
+    steps: Sequence[Step],
+    stamp: str,
+    settings: str = "",
+    version: str | None = None,
+    buckets: int | None = None,
 ) -> list[tuple[str, str]]:
     """Run the steps whose inputs have changed and return the (zone, data set) pairs written.
 
@@ -139,6 +165,8 @@ def run_steps(
     is left out if its newest manifest names its newest snapshot and today's inputs. So a second run writes nothing, and
     a run that failed goes on with the step that was lost. Steps without inputs in the zones depend on ``version``, the
     caller's name for the external files; without one they always run.
+
+    With ``buckets`` the data sets by id are written dealt by it, so that the steps that read them shuffle no panel.
     """
     written = []
     for step in steps:
@@ -149,8 +177,12 @@ def run_steps(
         if known and newest is not None and _newest_stamp(spark, root, step.zone, f"{step.name}_manifest") == newest:
             if read_latest(spark, root, step.zone, f"{step.name}_manifest").first()["made_from"] == made_from:
                 continue
-        inputs = [read_latest(spark, root, ZONE_OF[n], n) for n in step.needs]
-        write_zone(step.make(*inputs), root, step.zone, step.name, stamp=stamp, sort_by=list(step.sort_by) or None)
+        made = step.make(*[_newest(spark, root, n) for n in step.needs])
+        order = list(step.sort_by) or None
+        if buckets and step.by:
+            write_bucketed(made, list(step.by), buckets, root, step.zone, step.name, stamp=stamp, sort_by=order)
+        else:
+            write_zone(made, root, step.zone, step.name, stamp=stamp, sort_by=order)
         manifest = inline_table(spark, [(made_from,)], "made_from string")
         write_zone(manifest, root, step.zone, f"{step.name}_manifest", stamp=stamp)
         written.append((step.zone, step.name))
@@ -188,16 +220,18 @@ def build_all(
     inputs: Inputs,
     threshold: float = interim.LIVE_THRESHOLD,
     version: str | None = None,
+    buckets: int | None = None,
 ) -> list[tuple[str, str]]:
     """Bring every data set up to date and return the (zone, data set) pairs written.
 
     ``version`` names the external inputs; with the same one again only what is missing or older than its inputs is made.
+    ``buckets``, sized so that one holds a few hundred MB of the panel, deals all data sets by id in the same way.
     """
     stamp, names = new_stamp(), sorted(inputs.event_names)
     settings = f"events {names} threshold {threshold}"
-    written = run_steps(spark, root, raw_steps(inputs), stamp, version=version)
-    written += run_steps(spark, root, interim_steps(inputs.event_names, threshold), stamp, settings)
-    return written + run_steps(spark, root, design_steps(), stamp)
+    written = run_steps(spark, root, raw_steps(inputs), stamp, version=version, buckets=buckets)
+    written += run_steps(spark, root, interim_steps(inputs.event_names, threshold), stamp, settings, buckets=buckets)
+    return written + run_steps(spark, root, design_steps(), stamp, buckets=buckets)
 
 
 def row_counts(spark: SparkSession, root: str, written: Sequence[tuple[str, str]]) -> DataFrame:

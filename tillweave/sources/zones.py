@@ -1,22 +1,29 @@
 """Zone storage: every data set keeps its snapshots under one folder.
 
 Layout ``<root>/<zone>/<name>/snapshot=<stamp>/part-*.parquet``. The newest
-snapshot is the largest stamp, and only its folder is read.
+snapshot is the largest stamp, and only its folder is read. A snapshot that is
+dealt to buckets has a note ``<name>/_layouts/<stamp>`` that says by what.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from datetime import datetime, timezone
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillweave.operators.relational import quoted
+
 # The four zones, in processing order.
 ZONES = ("1.external", "2.raw", "3.interim", "4.processed")
 
+_LAYOUT = "buckets int, keys array<string>, sorting array<string>"
+
 # Parquet block size in bytes; small enough for many readers per file.
 ROW_GROUP_BYTES = 64 * 1024 * 1024
 
@@ -57,6 +64,90 @@ def write_zone(
     return stamp
 
 
+def write_bucketed(
+    df: DataFrame,
+    by: list[str],
+    buckets: int,
+    root: str,
+    zone: str = "1.external",
+    name: str | None = None,
+    subfolder: str | None = None,
+    stamp: str | None = None,
+    sort_by: list[str] | None = None,
+) -> str:
+    """Write one snapshot dealt by key to ``buckets`` files, each sorted, and return its stamp.
+
+    Rows are shuffled once here, to the tasks that own the buckets. Jobs that read it by ``read_bucketed`` and group,
+    join or open windows by the key need no further shuffle of it. Two tables with equal buckets join in place. Null
+    keys share a bucket.
+    """
+    if buckets < 1 or not by:
+        raise ValueError("at least one bucket and one key are needed")
+    folder, stamp = zone_path(root, zone, name, subfolder), stamp or new_stamp()
+    place, order = f"{folder}/snapshot={stamp}", list(sort_by or by)
+    (
+        df.repartition(buckets, *by)
+        .write.mode("errorifexists")
+        .format("parquet")
+        .option("parquet.block.size", ROW_GROUP_BYTES)
+        .option("path", place)
+        .bucketBy(buckets, *by)
+        .sortBy(*order)
+        .saveAsTable(_table_name(place))
+    )
+    note = df.sparkSession.createDataFrame([(buckets, list(by), order)], _LAYOUT)
+    note.coalesce(1).write.mode("overwrite").json(f"{folder}/_layouts/{stamp}")
+    return stamp
+
+
+def _table_name(place: str) -> str:
+    return "bucketed_" + hashlib.md5(place.encode()).hexdigest()
+
+
+def read_bucketed(
+    spark: SparkSession,
+    root: str,
+    zone: str = "3.interim",
+    name: str | None = None,
+    subfolder: str | None = None,
+    stamp: str | None = None,
+) -> DataFrame:
+    """The newest snapshot of a bucketed data set, or the one named by ``stamp``, with its buckets known to Spark.
+
+    Any session can read it: the files are entered in its catalog, under a name made from their place, as an external table.
+    """
+    folder = zone_path(root, zone, name, subfolder)
+    stamp = stamp or newest_stamp(spark, folder)
+    place = f"{folder}/snapshot={stamp}"
+    if not spark.catalog.tableExists(_table_name(place)):
+        note = spark.read.schema(_LAYOUT).json(f"{folder}/_layouts/{stamp}").first()
+        columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in spark.read.parquet(place).schema.fields)
+        keys, order = (", ".join(quoted(c) for c in note[part]) for part in ("keys", "sorting"))
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {_table_name(place)} ({columns}) USING parquet"
+            f" CLUSTERED BY ({keys}) SORTED BY ({order}) INTO {note['buckets']} BUCKETS LOCATION '{place}'"
+        )
+    return spark.table(_table_name(place))
+
+
+def is_bucketed(spark: SparkSession, root: str, zone: str, name: str, subfolder: str | None = None) -> bool:
+    """Whether the newest snapshot of a data set is dealt to buckets."""
+    folder = zone_path(root, zone, name, subfolder)
+    try:
+        spark.read.schema(_LAYOUT).json(f"{folder}/_layouts/{newest_stamp(spark, folder)}")
+    except AnalysisException:  # no such note
+        return False
+    return True
+
+
+def newest_stamp(spark: SparkSession, folder: str) -> str:
+    """Stamp of the newest snapshot; raises ValueError if there is none."""
+    stamps = snapshot_stamps(spark, folder)
+    if not stamps:
+        raise ValueError(f"no snapshot in {folder}")
+    return stamps[-1]
+
+
 def snapshot_stamps(spark: SparkSession, folder: str) -> list[str]:
     """Stamps of a data set, oldest first, from the names of its files alone."""
     files = spark.read.schema("snapshot string").parquet(folder).inputFiles()
@@ -80,11 +171,7 @@ def read_latest(
     if zone is None and subfolder is None:
         raise ValueError("give a zone or a subfolder")
     folder = zone_path(root, zone or "3.interim", name, subfolder)
-    if stamp is None:
-        stamps = snapshot_stamps(spark, folder)
-        if not stamps:
-            raise ValueError(f"no snapshot in {folder}")
-        stamp = stamps[-1]
+    stamp = stamp or newest_stamp(spark, folder)
     return spark.read.parquet(f"{folder}/snapshot={stamp}")
 
 
