@@ -30,6 +30,44 @@ def deseasonalize_fourier(spark, data_dir):
     return series.deseasonalize_fourier(yearly, 7, 3)
 
 
+def _wave_fit(y: str) -> str:
+    """Coefficients of sine and cosine by Cramer's rule."""
+    det = "(var_pop(sn) * var_pop(cs) - covar_pop(sn, cs) * covar_pop(sn, cs))"
+    return f"""(covar_pop({y}, sn) * var_pop(cs) - covar_pop({y}, cs) * covar_pop(sn, cs)) / {det} AS {y}_sn,
+               (covar_pop({y}, cs) * var_pop(sn) - covar_pop({y}, sn) * covar_pop(sn, cs)) / {det} AS {y}_cs"""
+
+
+# Sales, and what a straight line leaves of them, with a wave of seven days.
+WEEKLY = {
+    "weekly": """SELECT id, date, y, sin(2 * pi() * t / 7.0::DOUBLE) AS sn, cos(2 * pi() * t / 7.0::DOUBLE) AS cs,
+               y - (regr_intercept(y, t) OVER w + regr_slope(y, t) OVER w * t) AS u
+        FROM (SELECT id, date, CAST(sales AS DOUBLE) AS y, row_number() OVER (PARTITION BY id ORDER BY date) - 1 AS t FROM sales_long)
+        WINDOW w AS (PARTITION BY id)""",
+    "weekly_fits": f"SELECT id, {_wave_fit('y')}, {_wave_fit('u')} FROM weekly GROUP BY id",
+}
+
+
+@query(
+    "deseasonalize_weekly_wave",
+    "SELECT id, date, round(y - y_sn * sn - y_cs * cs, 6) AS sales FROM weekly JOIN weekly_fits USING (id)",
+    WEEKLY,
+)
+def deseasonalize_weekly_wave(spark, data_dir):
+    """One wave, which two projections find."""
+    return rounded(series.deseasonalize_fourier(tables.sales_long(spark, data_dir), 7, 1))
+
+
+@query(
+    "weekly_wave_strength",
+    """SELECT id, round(neither / nullif(no_season, 0), 6) AS strength_trend, round(neither / nullif(no_trend, 0), 6) AS strength_seasonal
+       FROM (SELECT id, var_samp(u - u_sn * sn - u_cs * cs) AS neither, var_samp(y - y_sn * sn - y_cs * cs) AS no_season, var_samp(u) AS no_trend
+             FROM weekly JOIN weekly_fits USING (id) GROUP BY id)""",
+    WEEKLY,
+)
+def weekly_wave_strength(spark, data_dir):
+    return rounded(series.trend_season_strength(tables.sales_long(spark, data_dir), ((7, 1),)))
+
+
 @query("trend_season_strength")
 def trend_season_strength(spark, data_dir):
     return series.trend_season_strength(tables.sales_long(spark, data_dir))
