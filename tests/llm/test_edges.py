@@ -181,6 +181,22 @@ def test_near_copies_are_those_of_similarity_on_sets(spark, monkeypatch):
     assert got == set(low) and 30 < len(got) < 200
 
 
+def test_fingerprints_propose_near_copies_that_share_no_band(spark):
+    import random
+
+    rows = []
+    # The pairs of 240,000 such ones, each at exactly 0.8, that no MinHash band brings together.
+    for seed in (24998, 29423, 29486, 60803, 76857, 86504, 139219, 155046, 157467):
+        draw = random.Random(seed)
+        words = [f"{draw.randrange(10**6):06d}" for _ in range(14)]
+        one, other = " ".join(words[:13]), " ".join(words[:12] + words[13:])
+        found = [set(near_copies.bands(near_copies.shingle_set(t.encode(), 5)).tolist()) for t in (one, other)]
+        assert not found[0] & found[1]
+        rows += [(2 * seed, one), (2 * seed + 1, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {i for i, _ in rows if i % 2 == 0}
+
+
 def test_contradicting_targets_do_not_pass_the_mixing_stage(spark):
     rows = [(i, "word " * (1 + i % 7), *(("en", "a") if i % 3 else ("de", "b"))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

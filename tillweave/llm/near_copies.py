@@ -1,14 +1,18 @@
 """Near copies by the Jaccard similarity of their distinct word shingles.
 
-MinHash bands only propose: texts that share a band fall in one loose group. Inside a group the similarity of whole
-shingle sets decides every link, by a search over members not yet reached, so no pair list is made. A group beyond
-``CHUNK`` members is dealt to tasks as pairs of chunks. Labels are formed from the verified links.
-
-Sets are as large as the texts, so no table holds them: a text leaves its set's digest and its bands, and only the
-members of loose groups are fetched again, compressed, and made to sets where they are compared.
-
-Shingles stand for themselves as 64-bit hashes. Of two texts at a similarity of 0.8, 26 pairs in a million share no
-band (at 0.85, 4 in ten million), and no pair below the bound is linked.
+SimHash fingerprints over the distinct shingles propose by the general pigeonhole of ``simhash``, and so do MinHash bands:
+texts that either brings together fall in one loose group. Inside a group the similarity of whole shingle sets decides
+every link, by a search over members not yet reached, so no pair list is made. A group beyond ``CHUNK`` members is dealt
+to tasks as pairs of chunks. Labels are formed from the verified links.
+
+Sets are as large as the texts, so no table holds them: a text leaves its set's digest, fingerprint and bands, and only
+the members of loose groups are fetched again, compressed, and made to sets where they are compared.
+
+Shingles stand for themselves as 64-bit hashes. At a Jaccard similarity of 0.8 two sets are at an angle of 0.476, so
+fingerprints of 256 bits differ in 39 bits on average, with a deviation of 6: three deviations more are allowed. The
+pigeonhole part is the first 64 bits, where one pair in twenty differs in more than 14. Of the pairs at 0.8, 26 in a
+million share no band (at 0.85, 4 in ten million); a pair is lost only if neither brings it together, and no pair below
+the bound is linked.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillweave.llm.common import map_batches, materialize
-from tillweave.llm.simhash import components, shingle_hashes
+from tillweave.llm.simhash import components, fingerprint, link_fingerprints, shingle_hashes
 
 #: Bands of a text, and minima in a band.
 BANDS, ROWS = 20, 4
+#: 64-bit words of a fingerprint; bits in which the first word, and all words, of a proposed pair may differ.
+WORDS, FIRST_BITS, ALL_BITS = 4, 14, 57
 #: Members of one loose group that one task compares.
 CHUNK = 1024
 _DRAW = np.random.default_rng(11)
@@ -54,13 +60,18 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 def _sketch(width: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, found = [], []
+        keys, prints, sizes, found = [], [], [], []
         for text in batch.column(2):
             shingles = shingle_set(text.as_py(), width)
             keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+            prints.append(fingerprint(shingles, WORDS).astype(">u8").tobytes())
+            sizes.append(len(shingles))
             found.append(bands(shingles))
-        arrays = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["id", "slot", "key", "bands"])
+        arrays = [
+            batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(prints, pa.binary()),
+            pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, ["id", "slot", "key", "print", "size", "bands"])
 
     return work
 
@@ -147,17 +158,23 @@ def near_copy_groups(docs: DataFrame, id_col: str, text_col: str, width: int, si
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = rows.withColumn("slot", F.xxhash64("text")).select("id", "slot", "text")
-    marked = map_batches(rows, lambda: _sketch(width), f"id {kind}, slot bigint, key binary, bands array<bigint>")
+    columns = f"id {kind}, slot bigint, key binary, print binary, size int, bands array<bigint>"
+    marked = map_batches(rows, lambda: _sketch(width), columns)
     marked = materialize(marked, "near-sketches")
     # Texts of one shingle set meet here, by partial aggregation; links are made between distinct sets only.
-    nodes = marked.groupBy("key").agg(F.min("id").alias("low_id"), F.max("bands").alias("bands"), F.min(F.struct("slot", "id")).alias("at"))
+    sketch = [F.max(c).alias(c) for c in ("print", "size", "bands")]
+    nodes = marked.groupBy("key").agg(F.min("id").alias("low_id"), *sketch, F.min(F.struct("slot", "id")).alias("at"))
     nodes = materialize(nodes, "near-nodes")
+    # Fingerprints are filed with the set's digest behind them, which names the set and counts for no bit.
+    filed_prints = nodes.select(F.concat("print", "key").alias("key"), "size")
+    alike = link_fingerprints(filed_prints, FIRST_BITS, ALL_BITS, similarity, WORDS)
+    alike = alike.select(*[F.substring(c, 8 * WORDS + 1, 16).alias(c) for c in ("a", "b")])
     filed = nodes.select("key", F.explode("bands").alias("band"))
     first = filed.groupBy("band").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written, so that the join is of two plain shuffles and a hot band can be split.
     first = materialize(first.select("band", "a"), "near-bands")
-    proposed = filed.join(first, "band").where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b")).distinct()
-    loose = components(proposed, "near-loose")
+    banded = filed.join(first, "band").where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b"))
+    loose = components(alike.unionByName(banded), "near-loose")
     sizes = loose.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     large = materialize(sizes.where("chunks > 1"), "near-large")
     placed = loose.join(large, "label", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))

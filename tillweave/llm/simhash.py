@@ -245,8 +245,8 @@ def _probe(layout: Layout, size_ratio: float | None):
 
 def _linked(keys: np.ndarray, sizes: np.ndarray, a: int, others: np.ndarray, rule: tuple) -> np.ndarray:
     """Which of the others are within the rule of member a."""
-    max_bits, total_bits, size_ratio = rule
-    apart = np.bitwise_count(keys[others] ^ keys[a])
+    max_bits, total_bits, size_ratio, words = rule
+    apart = np.bitwise_count(keys[others, :words] ^ keys[a, :words])
     ok = apart[:, 0] <= max_bits
     if total_bits is not None:
         ok &= apart.sum(1, dtype=np.int64) <= total_bits
@@ -341,13 +341,14 @@ def _verify(rule: tuple):
 
 
 def link_fingerprints(
-    nodes: DataFrame, max_bits: int, total_bits: int | None = None, size_ratio: float | None = None
+    nodes: DataFrame, max_bits: int, total_bits: int | None = None, size_ratio: float | None = None, words: int | None = None
 ) -> DataFrame:
     """(a, b): links that connect what the rule connects.
 
     ``nodes`` has distinct (key, size). Two of them link if the first 64 bits of their keys differ in at most
     ``max_bits`` bits and, where given, all bits in at most ``total_bits`` and the smaller size is at least
-    ``size_ratio`` of the larger one. Links are a spanning forest per bucket, not all pairs.
+    ``size_ratio`` of the larger one. With ``words`` only that many 64-bit words of a key are bits, and those behind them
+    only tell keys apart. Links are a spanning forest per bucket, not all pairs.
     """
     rows = nodes.count()
     sample = hash_order_sample(nodes.select("key"), F.col("key"), SAMPLE_ROWS, rows).collect()
@@ -370,7 +371,7 @@ def link_fingerprints(
         "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "probe", "key", "size"
     )
     grouped = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    rule = (max_bits, total_bits, size_ratio)
+    rule = (max_bits, total_bits, size_ratio, words)
     return grouped.mapInArrow(_verify(rule), "a binary, b binary").distinct()
 
 
