@@ -54,3 +54,24 @@ def test_buckets_change_the_layout_and_no_row(spark, inputs, tmp_path):
     assert a.exceptAll(b).count() == 0
     with pytest.raises(ValueError, match="at least one bucket"):
         write_bucketed(a, [], 4, dealt, "2.raw", "x")
+
+
+def test_zones_are_built_from_one_reading_of_the_order_lines(spark, tmp_path, monkeypatch):
+    from tillweave.catalog import pipelines
+
+    root, base = str(tmp_path), "/root/testdata/sf0.001"
+    lines, parts = (spark.read.parquet(f"{base}/{n}.parquet") for n in ("lineitem", "part"))
+    odd = lines.limit(2).withColumn("l_partkey", F.lit(-1).cast("long"))  # no part, but they count for the dates
+    odd = odd.withColumn("l_shipdate", F.col("l_shipdate") + F.expr("interval 20 years"))
+    without = lines.limit(5).withColumn("l_quantity", F.lit(None).cast("double"))
+    lines.unionByName(odd).unionByName(without).write.parquet(f"{root}/lineitem.parquet")
+    parts.withColumn("p_brand", F.when(F.col("p_partkey") % 50 != 0, F.col("p_brand"))).write.parquet(f"{root}/part.parquet")
+
+    seen = []
+    monkeypatch.setattr(pipelines.runner, "build_all", lambda spark, folder, inputs, threshold: seen.append(inputs))
+    pipelines.built_zones(spark, root)
+    for name, make in (("sales_long", tables.sales_long), ("prodloc", tables.prodloc), ("calendar", tables.calendar), ("prices", tables.sell_prices)):
+        made, known = getattr(seen[0], name), make(spark, root)
+        assert "l_shipdate" not in made._jdf.queryExecution().toString()
+        assert made.dtypes == known.dtypes
+        assert made.exceptAll(known).isEmpty() and known.exceptAll(made).isEmpty() and not known.isEmpty()

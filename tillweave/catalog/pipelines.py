@@ -369,11 +369,12 @@ def category_state_panel(spark, data_dir):
 
 
 def built_zones(spark, data_dir):
+    daily = tables.daily_lines(spark, data_dir)
     inputs = runner.Inputs(
-        sales_long=tables.sales_long(spark, data_dir),
-        prodloc=tables.prodloc(spark, data_dir),
-        calendar=tables.calendar(spark, data_dir),
-        prices=tables.sell_prices(spark, data_dir),
+        sales_long=tables.sales_long(spark, data_dir, daily),
+        prodloc=tables.prodloc(spark, data_dir, daily),
+        calendar=tables.calendar(spark, data_dir, daily),
+        prices=tables.sell_prices(spark, data_dir, daily),
         event_names=EVENT_NAMES,
     )
     root = scratch_folder(spark, "zones")

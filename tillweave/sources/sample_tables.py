@@ -31,9 +31,16 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
-def date_bounds(spark: SparkSession, data_dir: str) -> tuple[Column, Column]:
+def ship_dates(spark: SparkSession, data_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    """(date): the ship dates of all order lines, repeated or, from ``daily_lines``, once per day and key."""
+    if daily is not None:
+        return daily.select("date")
+    return table(spark, data_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"))
+
+
+def date_bounds(spark: SparkSession, data_dir: str, daily: DataFrame | None = None) -> tuple[Column, Column]:
     """First and last ship date as scalar subqueries; nothing runs here."""
-    ship = table(spark, data_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"))
+    ship = ship_dates(spark, data_dir, daily)
     return ship.agg(F.min("date")).scalar(), ship.agg(F.max("date")).scalar()
 
 
@@ -41,8 +48,8 @@ def date_bounds(spark: SparkSession, data_dir: str) -> tuple[Column, Column]:
 SHORT_KEYS = ["brand_no", "state_id", "store_no"]
 
 
-def short_lines(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Order lines with short keys, ship date, quantity and cents."""
+def _short_lines(spark: SparkSession, data_dir: str, how: str) -> DataFrame:
+    """Order lines with short keys, ship date, quantity and cents; ``known`` is null on lines without a part."""
     lines = table(spark, data_dir, "lineitem").select(
         F.col("l_partkey").alias("part"),
         F.col("l_shipdate").cast("date").alias("date"),
@@ -56,8 +63,32 @@ def short_lines(spark: SparkSession, data_dir: str) -> DataFrame:
     parts = table(spark, data_dir, "part").select(
         F.col("p_partkey").alias("part"),
         F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("brand_no"),
+        F.lit(True).alias("known"),
+    )
+    return lines.join(parts, "part", how)
+
+
+def daily_lines(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Order lines summed per short keys and ship date, written once and read back.
+
+    The other adapters take it as ``daily`` and give the same tables, so that a job that needs several of them reads the
+    lines once. Its size is that of the panel, whatever the number of lines. Lines without a part are kept, as they count
+    for the range of dates.
+    """
+    summed = (
+        _short_lines(spark, data_dir, "left")
+        .groupBy(*SHORT_KEYS, "known", "date")
+        .agg(F.sum("quantity").alias("quantity"), F.sum("cents").alias("cents"))
     )
-    return lines.join(parts, "part")
+    path = scratch_folder(spark, "lines") + "/daily_lines"
+    summed.write.parquet(path)
+    return spark.read.schema(summed.schema).parquet(path)
+
+
+def short_lines(spark: SparkSession, data_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    """Order lines with short keys, ship date, quantity and cents; from ``daily_lines`` their daily sums."""
+    lines = _short_lines(spark, data_dir, "inner") if daily is None else daily.where("known")
+    return lines.drop("known")
 
 
 def with_names(df: DataFrame) -> DataFrame:
@@ -80,27 +111,27 @@ def sales_lines(spark: SparkSession, data_dir: str) -> DataFrame:
     return with_names(short_lines(spark, data_dir))
 
 
-def prodloc(spark: SparkSession, data_dir: str) -> DataFrame:
+def prodloc(spark: SparkSession, data_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """One row per product-location."""
-    return with_names(short_lines(spark, data_dir).select(*SHORT_KEYS).distinct()).select(*PRODLOC_COLUMNS)
+    return with_names(short_lines(spark, data_dir, daily).select(*SHORT_KEYS).distinct()).select(*PRODLOC_COLUMNS)
 
 
-def sales_daily(spark: SparkSession, data_dir: str) -> DataFrame:
+def sales_daily(spark: SparkSession, data_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """Units per product-location and day with a line; 0 before launch."""
-    first_day, _ = date_bounds(spark, data_dir)
+    first_day, _ = date_bounds(spark, data_dir, daily)
     launched = F.col("date") >= F.date_add(first_day, F.col("brand_no") * LAUNCH_STEP_DAYS)
-    daily = (
-        short_lines(spark, data_dir)
+    units = (
+        short_lines(spark, data_dir, daily)
         .groupBy(*SHORT_KEYS, "date")
         .agg(F.sum("quantity").cast("int").alias("units"))
     )
-    return with_names(daily).select("id", "date", F.when(launched, F.col("units")).otherwise(0).alias("sales"))
+    return with_names(units).select("id", "date", F.when(launched, F.col("units")).otherwise(0).alias("sales"))
 
 
-def sales_long(spark: SparkSession, data_dir: str) -> DataFrame:
+def sales_long(spark: SparkSession, data_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """Dense panel (id, date, sales): every id on every day of the range."""
-    first_day, last_day = date_bounds(spark, data_dir)
-    return densify_daily(sales_daily(spark, data_dir), first_day, last_day)
+    first_day, last_day = date_bounds(spark, data_dir, daily)
+    return densify_daily(sales_daily(spark, data_dir, daily), first_day, last_day)
 
 
 def sales_wide(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -129,11 +160,11 @@ def sales_wide(spark: SparkSession, data_dir: str) -> DataFrame:
     return spark.read.schema(wide_sales_schema(days)).parquet(path)
 
 
-def sell_prices(spark: SparkSession, data_dir: str) -> DataFrame:
+def sell_prices(spark: SparkSession, data_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """Unit price per store, item and week with a sale."""
-    first_day, _ = date_bounds(spark, data_dir)
+    first_day, _ = date_bounds(spark, data_dir, daily)
     weekly = (
-        short_lines(spark, data_dir)
+        short_lines(spark, data_dir, daily)
         .groupBy(*SHORT_KEYS, F.floor(F.datediff("date", first_day) / 7).cast("int").alias("wm_yr_wk"))
         .agg((F.sum("cents") / (F.lit(100.0) * F.sum("quantity"))).alias("sell_price"))
     )
@@ -163,11 +194,10 @@ EVENT_TYPES = ["Cultural", "National", "Religious", "Sporting"]
 SNAP_RULES = {"CA": (1, 10), "TX": (3, 15), "WI": (2, 14)}
 
 
-def calendar(spark: SparkSession, data_dir: str) -> DataFrame:
+def calendar(spark: SparkSession, data_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """One row per day of the ship-date range."""
     days = (
-        table(spark, data_dir, "lineitem")
-        .select(F.col("l_shipdate").cast("date").alias("date"))
+        ship_dates(spark, data_dir, daily)
         .agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
         .select("lo", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"))
         .withColumns(
