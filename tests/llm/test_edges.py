@@ -197,6 +197,41 @@ def test_fingerprints_propose_near_copies_that_share_no_band(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {i for i, _ in rows if i % 2 == 0}
 
 
+def test_links_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    import random
+
+    linked, proposed = [], []
+    join, propose = near_copies.components, near_copies.link_fingerprints
+
+    def joined(links, purpose):
+        if purpose != "near-labels":  # before texts are compared
+            linked.append(links.distinct().count())
+        return join(links, purpose)
+
+    def alike(*given):
+        links = propose(*given)
+        proposed.append(links.count())
+        return links
+
+    monkeypatch.setattr(near_copies, "components", joined)
+    monkeypatch.setattr(near_copies, "link_fingerprints", alike)
+    for n in (100, 400):
+        draw = random.Random(3)
+        words = [f"{draw.randrange(10**6):06d}" for _ in range(300)]
+        texts = []
+        for _ in range(n):
+            changed = list(words)
+            for at in draw.sample(range(300), 3):
+                changed[at] = f"{draw.randrange(10**6):06d}"
+            texts.append(" ".join(changed))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        linked.clear()
+        proposed.clear()
+        assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").select("doc_id").collect()] == [0]
+        # Bands connect them with a link for each band and text at most, so fingerprints have nothing to add.
+        assert sum(linked) <= near_copies.BANDS * n and sum(proposed) == 0
+
+
 def test_contradicting_targets_do_not_pass_the_mixing_stage(spark):
     rows = [(i, "word " * (1 + i % 7), *(("en", "a") if i % 3 else ("de", "b"))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

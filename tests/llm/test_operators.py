@@ -470,6 +470,30 @@ def test_dense_groups_in_chunks(spark, monkeypatch):
         assert int.from_bytes(label, "big") == want[v]
 
 
+@pytest.mark.parametrize("chunk", [40, 4096])
+def test_fingerprints_of_one_name_are_connected_and_names_link(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    draw = np.random.default_rng(chunk)
+    centres = [int(c) for c in draw.integers(0, 2**64, 12, dtype=np.uint64)]
+    values = [centres[i % 12] ^ sum(1 << int(b) for b in draw.choice(64, draw.integers(0, 4), replace=False)) for i in range(400)]
+    names = [int(draw.integers(0, 200)) if draw.random() < 0.1 else i + 1000 for i in range(400)]  # some names join centres
+    rows = sorted({(bytes(v.to_bytes(8, "big") + n.to_bytes(2, "big")), 0) for v, n in zip(values, names)})
+    nodes = spark.createDataFrame([(bytearray(k), s) for k, s in rows], "key binary, size int")
+    links = simhash.link_fingerprints(nodes, 3, words=1)
+    got = {bytes(r[0]): bytes(r[1]) for r in simhash.components(links).collect()}
+    low = {n: n for n in names}
+    while True:
+        before = dict(low)
+        for a, x in zip(values, names):
+            for b, y in zip(values, names):
+                if bin(a ^ b).count("1") <= 3:
+                    low[x] = low[y] = min(low[x], low[y])
+        if low == before:
+            break
+    for n in names:
+        assert int.from_bytes(got.get(n.to_bytes(2, "big"), n.to_bytes(2, "big")), "big") == low[n]
+
+
 def test_long_chains_are_one_component(spark):
     n = 300
     links = [(i.to_bytes(8, "big"), (i + 1).to_bytes(8, "big")) for i in range(n)]

@@ -1,7 +1,9 @@
 """Near copies by the Jaccard similarity of their distinct word shingles.
 
-SimHash fingerprints over the distinct shingles propose by the general pigeonhole of ``simhash``, and so do MinHash bands:
-texts that either brings together fall in one loose group. Inside a group the similarity of whole shingle sets decides
+MinHash bands over the distinct shingles propose, and so do SimHash fingerprints by the general pigeonhole of ``simhash``:
+texts that either brings together fall in one loose group. What bands connect is named first, by at most one link for each
+band and text, and fingerprints link different names only, so that links grow with the texts and not with the buckets that
+a large group's members share. Inside a group the similarity of whole shingle sets decides
 every link, by a search over members not yet reached, so no pair list is made. A group beyond ``CHUNK`` members is dealt
 to tasks as pairs of chunks. Labels are formed from the verified links.
 
@@ -165,19 +167,23 @@ def near_copy_groups(docs: DataFrame, id_col: str, text_col: str, width: int, si
     sketch = [F.max(c).alias(c) for c in ("print", "size", "bands")]
     nodes = marked.groupBy("key").agg(F.min("id").alias("low_id"), *sketch, F.min(F.struct("slot", "id")).alias("at"))
     nodes = materialize(nodes, "near-nodes")
-    # Fingerprints are filed with the set's digest behind them, which names the set and counts for no bit.
-    filed_prints = nodes.select(F.concat("print", "key").alias("key"), "size")
-    alike = link_fingerprints(filed_prints, FIRST_BITS, ALL_BITS, similarity, WORDS)
-    alike = alike.select(*[F.substring(c, 8 * WORDS + 1, 16).alias(c) for c in ("a", "b")])
     filed = nodes.select("key", F.explode("bands").alias("band"))
     first = filed.groupBy("band").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written, so that the join is of two plain shuffles and a hot band can be split.
     first = materialize(first.select("band", "a"), "near-bands")
     banded = filed.join(first, "band").where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b"))
-    loose = components(alike.unionByName(banded), "near-loose")
-    sizes = loose.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    large = materialize(sizes.where("chunks > 1"), "near-large")
-    placed = loose.join(large, "label", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    banded = components(banded, "near-banded").select(F.col("node").alias("key"), F.col("label").alias("name"))
+    nodes = nodes.drop("bands").join(banded, "key", "left").withColumn("name", F.coalesce("name", "key"))
+    nodes = materialize(nodes, "near-named")
+    # Fingerprints are filed with the name of what bands connect behind them, so that they link different names only.
+    prints = nodes.select(F.concat("print", "name").alias("key"), "size").distinct()
+    alike = components(link_fingerprints(prints, FIRST_BITS, ALL_BITS, similarity, WORDS), "near-loose")
+    alike = alike.withColumnRenamed("node", "name")
+    loose = nodes.select(F.col("key").alias("node"), "name").join(alike, "name", "left")
+    loose = materialize(loose.select("node", F.coalesce("label", "name").alias("label")), "near-placed")
+    sizes = loose.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(sizes.select("label", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "near-sizes")
+    placed = loose.join(sizes, "label")
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks").cast("bigint")).cast("int"))
     wanted = placed.withColumnRenamed("node", "key").join(nodes.select("key", "at"), "key")
     wanted = wanted.select("key", "label", "chunks", "chunk", F.col("at.slot").alias("slot"), F.col("at.id").alias("at_id"))

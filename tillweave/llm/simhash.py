@@ -8,7 +8,8 @@ fingerprint is filed under its value of each partition and probes the values wit
 in one bucket are verified on the whole fingerprint.
 
 No pair list is made: in a bucket a search over unvisited members gives a spanning forest, which is all
-that connectivity needs. A bucket beyond ``CHUNK`` members is dealt to tasks as pairs of chunks, so all its
+that connectivity needs, as links from the smallest name of each tree, which buckets of the same members
+share. Members of one name count as connected. A bucket beyond ``CHUNK`` members is dealt to tasks as pairs of chunks, so all its
 pairs are still compared.
 """
 
@@ -256,44 +257,42 @@ def _linked(keys: np.ndarray, sizes: np.ndarray, a: int, others: np.ndarray, rul
     return ok
 
 
-def spanning_links(keys: np.ndarray, sizes: np.ndarray, probe: np.ndarray, rule: tuple) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members, where two probes are not compared.
+def spanning_links(keys: np.ndarray, sizes: np.ndarray, probe: np.ndarray, rule: tuple, names: np.ndarray) -> list[list[int]]:
+    """The components of the links between members, where two probes are not compared; single members are left out.
 
-    First all pairs are compared on their first 64 bits, in blocks; most members differ from all others there. The
-    rest are searched member by member, each against those not yet visited.
+    ``names`` number the members; those of one name are connected beforehand, so a component has at least two names. First
+    all pairs are compared on their first 64 bits, in blocks; most members differ from all others there. The rest are
+    searched member by member, each against those not yet visited.
     """
+    if (names == names[0]).all():
+        return []
     filed = np.nonzero(~probe)[0]
     first, near = np.ascontiguousarray(keys[:, 0]), np.zeros(len(keys), bool)
     for a in range(0, len(filed), 256):
         part = filed[a : a + 256]
-        close = np.bitwise_count(first[part, None] ^ first[None, :]) <= rule[0]
-        close[np.arange(len(part)), part] = False
+        close = (np.bitwise_count(first[part, None] ^ first[None, :]) <= rule[0]) & (names[part, None] != names[None, :])
         near[part] |= close.any(1)
         near |= close.any(0)
     filed, probing = filed[near[filed]], np.nonzero(probe & near)[0]
-    out: list[tuple[int, int]] = []
-    for seed in filed.tolist():
-        todo = [seed]
-        where = np.searchsorted(filed, seed)
-        if where >= len(filed) or filed[where] != seed:
-            continue
-        filed = np.delete(filed, where)
-        while todo and (len(filed) or len(probing)):
-            a = todo.pop()
-            if len(filed):
-                ok = _linked(keys, sizes, a, filed, rule)
-                if ok.any():
-                    found = filed[ok].tolist()
-                    out += [(a, b) for b in found]
-                    todo += found
-                    filed = filed[~ok]
-            if len(probing) and not probe[a]:
-                ok = _linked(keys, sizes, a, probing, rule)
-                if ok.any():
-                    found = probing[ok].tolist()
-                    out += [(a, b) for b in found]
-                    todo += found
-                    probing = probing[~ok]
+    out: list[list[int]] = []
+    while len(filed):
+        todo, tree, found = [], [], filed[:1]
+        while True:
+            # All members of the names found are reached.
+            reached, at = np.unique(names[found], return_index=True)
+            tree += found[at].tolist()
+            own, other = np.isin(names[filed], reached), np.isin(names[probing], reached)
+            todo += [*filed[own].tolist(), *probing[other].tolist()]
+            filed, probing, found = filed[~own], probing[~other], found[:0]
+            while todo and (len(filed) or len(probing)) and not len(found):
+                a = todo.pop()
+                found = filed[_linked(keys, sizes, a, filed, rule)]
+                if not probe[a]:
+                    found = np.concatenate([found, probing[_linked(keys, sizes, a, probing, rule)]])
+            if not len(found):
+                break
+        if len(tree) > 1:
+            out.append(tree)
     return out
 
 
@@ -302,12 +301,17 @@ def _verify(rule: tuple):
 
     def links(group: pa.Table) -> Iterator[tuple[bytes, bytes]]:
         raw = group.column("key").to_pylist()
-        keys = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
+        # The bytes behind the words that are bits name a member; without any, the whole key does.
+        cut = 8 * rule[3] if rule[3] else 0
+        bits, called = ([key[:cut] for key in raw], [key[cut:] for key in raw]) if cut else (raw, raw)
+        keys = np.frombuffer(b"".join(bits), ">u8").astype(np.uint64).reshape(len(raw), -1)
         sizes = group.column("size").to_numpy()
         probe = group.column("probe").to_numpy()
-        for x, y in spanning_links(keys, sizes, probe, rule):
-            if raw[x] != raw[y]:
-                yield raw[x], raw[y]
+        number: dict[bytes, int] = {}
+        names = np.array([number.setdefault(name, len(number)) for name in called])
+        for tree in spanning_links(keys, sizes, probe, rule, names):
+            low, *others = sorted(called[x] for x in tree)
+            yield from ((low, other) for other in others)
 
     def emit(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         arrays = [pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())]
@@ -348,7 +352,8 @@ def link_fingerprints(
     ``nodes`` has distinct (key, size). Two of them link if the first 64 bits of their keys differ in at most
     ``max_bits`` bits and, where given, all bits in at most ``total_bits`` and the smaller size is at least
     ``size_ratio`` of the larger one. With ``words`` only that many 64-bit words of a key are bits, and those behind them
-    only tell keys apart. Links are a spanning forest per bucket, not all pairs.
+    are its name: links are between names, and keys of one name count as connected. Links are a spanning forest per
+    bucket, not all pairs, and go from the smallest name of each of its trees to the others.
     """
     rows = nodes.count()
     sample = hash_order_sample(nodes.select("key"), F.col("key"), SAMPLE_ROWS, rows).collect()
