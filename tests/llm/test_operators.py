@@ -140,6 +140,39 @@ def test_shard_pruning_is_exact():
         assert ids.tolist() == all_ids[:5].tolist() and scores.tolist() == all_scores[:5].tolist()
 
 
+@pytest.mark.parametrize("light", [0.0, 0.05, 0.4])
+def test_lists_read_as_a_matrix_change_no_result(monkeypatch, light):
+    monkeypatch.setattr(search, "LIGHT", light)
+    draw = np.random.default_rng(5)
+    rows = [(i, Counter(f"w{int(x)}" for x in draw.zipf(1.3, 40) if x < 300)) for i in range(400)]
+    rows += [(400 + i, rows[i % 7][1]) for i in range(60)] + [(500, Counter()), (501, Counter({"alone": 1}))]  # ties, no words
+    row = search._pack(rows).to_pylist()[0]
+    shards = []
+    for heavy in (0, 3, 40, 1024):
+        monkeypatch.setattr(search, "HEAVY", heavy)
+        shards.append(search.Shard(row, 25.0))
+    assert [len(s.matrix) for s in shards[:3]] == [0, 3, 40] and len(shards[3].matrix) == len(shards[3].vocabulary)
+    number = {t: i for i, t in enumerate(shards[0].vocabulary.to_pylist())}
+    asked = []
+    for _, counts in rows[::3]:
+        own = np.array(sorted(number[t] for t in counts), np.int64)
+        asked.append((own, draw.random(len(own)) + 0.01))
+    for shard in shards:
+        sums = shard.heavy_sums(asked)
+        for (query, _), (own, idf), heavy, (all_own, all_idf) in zip(rows[::3], asked, sums, asked):
+            full = np.zeros(len(rows))
+            for d in range(len(rows)):
+                at = slice(shard.starts[d], shard.starts[d + 1])
+                full[d] = sum(i * w for t, i in zip(shard.terms[at], shard.impacts[at]) for w in all_idf[all_own == t])
+            full[shard.ids == query] = 0.0
+            best = [d for d in sorted(range(len(rows)), key=lambda d: (-round(full[d], 9), shard.ids[d])) if full[d] > 0][:10]
+            ids, scores = shard.top(own, idf, 10, query, 0.0, heavy)
+            assert np.allclose(scores, full[best], rtol=1e-12) and set(ids.tolist()) <= set(shard.ids[np.round(full, 9) >= np.round(full[best[-1]], 9)].tolist() if best else [])
+            floor = float(scores[-1]) if len(scores) == 10 else 0.0
+            again = shard.top(own, idf, 10, query, floor, heavy)
+            assert again[0].tolist() == ids.tolist() and again[1].tolist() == scores.tolist()
+
+
 # 4
 
 
