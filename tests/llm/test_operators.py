@@ -173,6 +173,49 @@ def test_lists_read_as_a_matrix_change_no_result(monkeypatch, light):
             assert again[0].tolist() == ids.tolist() and again[1].tolist() == scores.tolist()
 
 
+def test_blocks_out_of_reach_are_not_read(monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 32)
+    draw = np.random.default_rng(6)
+    rows = [(i, Counter(f"{'ab'[i % 2]}{int(x)}" for x in draw.zipf(1.3, 30) if x < 200)) for i in range(512)]
+    shard = search.Shard(search._pack(rows).to_pylist()[0], 25.0)
+    number = {t: i for i, t in enumerate(shard.vocabulary.to_pylist())}
+    read, products = [], search.Shard._products
+    monkeypatch.setattr(search.Shard, "_products", lambda self, asked, edges: read.append(len(asked)) or products(self, asked, edges))
+    asked = [np.array(sorted(number[t] for t in counts), np.int64) for _, counts in rows[::5]]
+    sizes, ids = np.array([len(own) for own in asked]), np.array([i for i, _ in rows[::5]])
+    idf = draw.random(len(number)) + 0.01
+    terms = np.concatenate(asked)
+    first = {q: (a.tolist(), b.tolist()) for q, a, b in shard.best(terms, idf[terms], sizes, 5, ids, np.zeros(len(ids)))}
+    # Half of the documents share no word with a query; blocks hold either half, but for some at the edges of kinds.
+    assert read[0] < 0.7 * len(ids) * shard.blocks
+    for q, own in enumerate(asked):
+        full = {}
+        for d in range(len(rows)):
+            at = slice(shard.starts[d], shard.starts[d + 1])
+            full[int(shard.ids[d])] = sum(i * idf[t] for t, i in zip(shard.terms[at], shard.impacts[at]) if t in own)
+        full.pop(int(ids[q]))
+        best = sorted((d for d in full if full[d] > 0), key=lambda d: (-round(full[d], 9), d))[:5]
+        assert first[q][0] == best and np.allclose(first[q][1], [full[d] for d in best], rtol=1e-12)
+    floors = np.array([first[q][1][-1] if len(first[q][1]) == 5 else 0.0 for q in range(len(ids))])
+    again = {q: (a.tolist(), b.tolist()) for q, a, b in shard.best(terms, idf[terms], sizes, 5, ids, floors)}
+    assert again == first and read[1] <= read[0]
+
+
+def test_shards_hold_the_words_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 3)
+    texts = ["A\u00a0b\x1cB, ...\u2003c\x85d", None, "  ", "The the THE end.", "b\u3000\u200bc \x0b\x0c a", "(new) “words” new"]
+    shards = search.build_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), "doc_id", "text").collect()
+    held = {}
+    for r in shards:
+        shard = search.Shard(r.asDict(), 3.0)
+        tfs, words = np.frombuffer(r["tfs"], np.int32), shard.vocabulary.to_pylist()
+        for d, i in enumerate(shard.ids.tolist()):
+            at = slice(shard.starts[d], shard.starts[d + 1])
+            held[i] = {words[t]: int(n) for t, n in zip(shard.terms[at], tfs[at])}
+        assert r["frequencies"] == np.array([sum(w in held[i] for i in shard.ids.tolist()) for w in words], np.int64).tobytes()
+    assert len(shards) == 2 and held == {i: dict(search.term_counts(t, search._Bare())) for i, t in enumerate(texts)}
+
+
 # 4
 
 
