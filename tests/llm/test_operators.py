@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -201,6 +202,62 @@ def test_blocks_out_of_reach_are_not_read(monkeypatch):
     assert again == first and read[1] <= read[0]
 
 
+def test_parts_of_blocks_out_of_reach_are_not_multiplied(monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 128)
+    monkeypatch.setattr(search, "PART", 16)
+    monkeypatch.setattr(search, "HEAVY", 40)
+    draw = np.random.default_rng(8)
+    rows = [(i, Counter(f"w{int(x)}" for x in draw.zipf(1.3, 2 ** (1 + i % 7)) if x < 200)) for i in range(500)]
+    shard = search.Shard(search._pack(rows).to_pylist()[0], 25.0)
+    number = {t: i for i, t in enumerate(shard.vocabulary.to_pylist())}
+    read, products = [], search.Shard._products
+    monkeypatch.setattr(search.Shard, "_products", lambda self, rows, edges: read.append(len(rows)) or products(self, rows, edges))
+    asked = [np.array(sorted(number[t] for t in counts), np.int64) for _, counts in rows[::5]]
+    sizes, ids = np.array([len(own) for own in asked]), np.array([i for i, _ in rows[::5]])
+    idf, terms = draw.random(len(number)) + 0.01, np.concatenate(asked)
+    full = np.zeros((len(ids), len(rows)))
+    for d in range(len(rows)):
+        at = slice(shard.starts[d], shard.starts[d + 1])
+        for q, own in enumerate(asked):
+            full[q, shard.ids[d]] = sum(i * idf[t] for t, i in zip(shard.terms[at], shard.impacts[at]) if t in own)
+    full[np.arange(len(ids)), ids] = 0.0
+    floors = np.sort(full, axis=1)[:, -5]
+    found = {q: (a.tolist(), b.tolist()) for q, a, b in shard.best(terms, idf[terms], sizes, 5, ids, floors)}
+    for q in range(len(ids)):
+        best = sorted(range(len(rows)), key=lambda d: (-round(full[q, d], 9), d))[:5]
+        best = [d for d in best if full[q, d] > 0]
+        assert found.get(q, ([], []))[0] == best and np.allclose(found.get(q, ([], []))[1], full[q, best], rtol=1e-12)
+    # Short documents, which are in parts of their own, are out of the longer queries' reach.
+    assert read[0] < 0.7 * len(ids) * shard.blocks * (search.BLOCK // search.PART)
+
+
+def test_rows_of_shards_grow_less_than_shards(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 2)
+    rows = [(i, f"same w{i * 7919 % 97} v{i * 104729 % 89} x{i % 5}") for i in range(960)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8, "doc_id")
+    shards = search.build_shards(docs, "doc_id", "text")
+    rounds = [{bytes(r["ids"]) for r in some.collect()} for some in search._rounds(shards, shards.count())]
+    assert len(rounds) == 5 and sum(map(len, rounds)) == len(set().union(*rounds)) == shards.count() and len(rounds[0]) < 20
+    made, merged = [], search._merged
+    monkeypatch.setattr(search, "_merged", lambda found, k: made.append(found.count()) or merged(found, k))
+    got = defaultdict(list)
+    for r in search.top_k(docs, docs.where("doc_id < 20"), 2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], round(r["score"], 6)))
+    texts = [[i, t] for i, t in rows]
+    for query in range(0, 20):
+        want = brute_search([[0 if i == query else i * 20 + 1, t] for i, t in texts], 2)[0]
+        assert got[query] == [((d - 1) // 20, s) for d, s in want]
+    # Each of 480 shards would give 20 queries two rows without floors.
+    assert sum(made) < 480 * 20 * 2 / 8
+
+
+def test_bare_words_by_batch_are_those_one_by_one():
+    raw = ["The", "(the)", "İstanbul", "“ΟΔΟΣ”", "straße!", "...", "…", "", "a\x1fb", "É,", "é", "ABC_", "don't", "ǅ", "ﬁ"]
+    codes, names = search._bare_codes(pa.array(raw, pa.string()))
+    assert [names[c].as_py() if c >= 0 else "" for c in codes.tolist()] == [search.bare(w) for w in raw]
+    assert len(set(names.to_pylist())) == len(names)
+
+
 def test_shards_hold_the_words_of_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 3)
     texts = ["A\u00a0b\x1cB, ...\u2003c\x85d", None, "  ", "The the THE end.", "b\u3000\u200bc \x0b\x0c a", "(new) “words” new"]
